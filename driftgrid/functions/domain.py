@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -128,6 +126,23 @@ def energy_density(weight_g: Column) -> Column:
         F.lit(5763.0) + F.lit(0.986) * weight_g)
 
 
+# Weight- and temperature-dependent activity of the reference respiration model.
+ACT, BACT, RTO, RK4 = 9.7, 0.0405, 0.0234, 0.13
+
+
+def weight_respiration(weight_g: Column, temp: Column) -> Column:
+    """struct(mass_loss_g, joules) of one hour, with activity rising with weight and warmth."""
+    ed = energy_density(weight_g)
+    activity = F.exp(F.lit(RTO * ACT) * F.pow(weight_g, F.lit(RK4)) * F.exp(F.lit(BACT) * temp))
+    fraction = F.lit(RA * OXYCAL) / ed * F.pow(weight_g, F.lit(RB)) * F.exp(F.lit(RQ) * temp) * activity / F.lit(24.0)
+    return F.struct((weight_g * fraction).alias("mass_loss_g"), (weight_g * fraction * ed).alias("joules"))
+
+
+def daily_to_hourly(survival: Column) -> Column:
+    """Hourly survival probability whose 24th power is the daily one."""
+    return F.pow(survival, F.lit(1.0 / 24.0))
+
+
 def affine(px: Column, py: Column, a, b, c, d, e, f) -> Column:
     """struct(x, y) of a six-parameter world-file transform."""
     return F.struct((F.lit(a) * px + F.lit(b) * py + F.lit(c)).alias("x"),
@@ -141,7 +156,3 @@ def seasonal_discharge(date: Column) -> Column:
 
 def depth_from_elevation(z: Column) -> Column:
     return F.when(F.isnan(z), 0.0).otherwise(F.greatest(-z, F.lit(0.0)))
-
-
-def normal_cosine(u1: Column, u2: Column) -> Column:
-    return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
