@@ -75,3 +75,21 @@ def previous(df: DataFrame, keys, order: str, cols: dict, *, span: int = STEP_SP
 def ranked(df: DataFrame, keys, order: str, name: str = "rank", *, ties=(), span: int = ID_SPAN) -> DataFrame:
     """1-based row number per key in order, without gathering a key."""
     return running(df, keys, order, {name: ("count", F.lit(1))}, ties=ties, span=span)
+
+
+def ranked_by_value(df: DataFrame, keys, value: str, tie: str, name: str = "rank", *, descending: bool = False,
+                    scale: float = 1000.0, span: int = 4096) -> DataFrame:
+    """1-based rank by a numeric value, ties by the integral column tie.
+
+    Distinct values are counted and scanned for the offset of each value; rows of one value are
+    ranked by tie in id spans. Neither a key nor a popular value has to fit one task.
+    """
+    keys = list(keys)
+    sign = F.lit(-1.0) if descending else F.lit(1.0)
+    counts = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__axis", F.col(value) * sign)
+              .withColumn("__tick", F.floor(F.col("__axis") * F.lit(scale)).cast("long")))
+    ahead = running(counts, keys, "__tick", {"__ahead": ("sum", F.col("__n"))}, ties=["__axis"], before=True, span=span)
+    inner = ranked(df, [*keys, value], tie, "__pos")
+    return (inner.join(ahead.select(*keys, value, "__ahead"), [*keys, value])
+            .withColumn(name, F.coalesce("__ahead", F.lit(0)) + F.col("__pos")).select(*df.columns, name))
