@@ -251,7 +251,9 @@ def line_crossings(lines: DataFrame, cells: DataFrame, edge: float = 1.0, both_w
     s = s.select(along("x1", "x2", was).alias("ax"), along("y1", "y2", was).alias("ay"),
                  along("x1", "x2", now).alias("bx"), along("y1", "y2", now).alias("by"))
     s = point_to_hex(point_to_hex(s, "ax", "ay", "r0", "c0", edge), "bx", "by", "r1", "c1", edge)
-    s = (s.select("r0", "c0", "r1", "c1").distinct()
+    # Later filters must not be rewritten in terms of the rounding, so the result passes a generator.
+    s = s.select(F.explode(F.array(F.struct("r0", "c0", "r1", "c1"))).alias("h")).select("h.*")
+    s = (s.distinct()
          .filter(hex_distance(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1")) == 1))
     ids = cells.select("row", "col", "cell_id")
     e = (s.join(ids.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("cell_id").alias("src")), ["r0", "c0"])
