@@ -74,6 +74,17 @@ def tracks(spark, sf_dir) -> DataFrame:
         (agent % 10 - 1).cast("int").alias("group_id"))
 
 
+def as_positions(e: DataFrame) -> DataFrame:
+    """Events as a position stream, one row per event; works on batch and streaming frames."""
+    agent, ev, hour = F.col("user_id"), F.col("event_id"), hour_of("ts").cast("int")
+    return e.select(
+        agent.alias("agent_id"), ev.alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), hour.alias("hour"),
+        F.when(ev % 97 == 0, F.lit(-1)).otherwise(agent * 10 + ev % 25).cast("long").alias("cell"),
+        (F.lit(4.0) + F.col("value") / 100.0).alias("ed_kJ_g"), (F.lit(3000.0) + F.col("value")).alias("mass_g"),
+        index_of("event_type", EVENT_TYPES).alias("behavior"), (~((hour >= 480) & (agent % 7 == 0))).alias("alive"),
+        ((hour >= 600) & (agent % 3 == 0)).alias("arrived"))
+
+
 def cells(spark, sf_dir) -> DataFrame:
     p = table(spark, sf_dir, "part")
     base = p.select(
@@ -194,6 +205,10 @@ SQL["tracks"] = f"""tracks AS (SELECT "time", agent_id,
    (datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600)::INTEGER AS "time",
    row_number() OVER (PARTITION BY user_id, datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600
      ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
+SQL["positions"] = f"""positions AS (SELECT agent_id, event_id, ts, hour, (CASE WHEN event_id % 97 = 0 THEN -1 ELSE agent_id * 10 + event_id % 25 END)::BIGINT AS cell,
+  4.0::DOUBLE + value / 100.0::DOUBLE AS ed_kJ_g, 3000.0::DOUBLE + value AS mass_g, ({sql_case('event_type', EVENT_TYPES)})::INTEGER AS behavior,
+  NOT (hour >= 480 AND agent_id % 7 = 0) AS alive, (hour >= 600 AND agent_id % 3 = 0) AS arrived
+  FROM (SELECT *, user_id AS agent_id, (datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600)::INTEGER AS hour FROM events))"""
 SQL["cells"] = f"""cells AS (SELECT p_partkey AS cell_id, p_partkey // {WIDTH} AS r, p_partkey % {WIDTH} AS c,
   p_size > 4 AS water, p_size::DOUBLE AS depth, p_retailprice AS area,
   (CASE WHEN p_brand = 'Brand#13' THEN -1 ELSE ((p_partkey // {WIDTH}) // 2) % 5 END)::INTEGER AS region_id,
