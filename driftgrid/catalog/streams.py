@@ -7,7 +7,7 @@ from driftgrid.operators import reports as rep
 from driftgrid.plans import star
 from driftgrid.plans.star import hour_of, with_views
 from driftgrid.streaming import state, windows
-from driftgrid.streaming.source import MARKER, positions, run_to_table
+from driftgrid.streaming.source import MARKER, deliver, positions, run_to_table
 
 P = with_views("positions")
 W = "WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -94,3 +94,15 @@ def str7(spark, d):
   SELECT cell_id, sum(d)::BIGINT AS net FROM (SELECT cell AS cell_id, 1 AS d FROM m UNION ALL SELECT old, -1 FROM m) GROUP BY 1""")
 def str7f(spark, d):
     return windows.flux(real(run_to_table(state.moves(stream(spark, d)), "moves")))
+
+
+@query("str8_late_rows", P + """, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM positions WHERE event_id % 10 <> 0 AND hour < (SELECT max(hour) FROM positions))
+  SELECT hour, count(*) AS n FROM positions, w WHERE event_id % 10 <> 0 OR TIMESTAMP '2024-01-01' + to_hours(hour + 1) > mark GROUP BY 1""")
+def str8(spark, d):
+    """Every tenth event arrives after all others: those whose hour the watermark closed are dropped."""
+    e = star.table(spark, d, "events")
+    last = e.select(hour_of("ts").alias("h")).agg(F.max("h")).first()[0]
+    early, on_time = hour_of("ts") < last, F.col("event_id") % 10 != 0
+    path = deliver(spark, [e.filter(on_time & early), e.filter(on_time & ~early), e.filter(~on_time)])
+    out = run_to_table(windows.counts(positions(spark, path, replay=False, maxFilesPerTrigger="1")), "late")
+    return out.select(hour_of("start").cast("int").alias("hour"), "n")

@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftgrid import schemas
 from driftgrid.plans.lineage import work_path
@@ -69,7 +70,16 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     with rocksdb(spark):
         q = writer.start()
         q.awaitTermination()
-    rows = stream.schema
+    fields = list(stream.schema.fields)
     if mode != "append":
-        rows = rows.add("batch", "int")
-    return spark.read.schema(rows).parquet(out)
+        fields.append(T.StructField("batch", T.IntegerType()))
+    return spark.read.schema(T.StructType(fields)).parquet(out)
+
+
+def deliver(spark: SparkSession, parts) -> str:
+    """Write event frames one after the other into one folder, as files that arrive in this order."""
+    path = work_path(spark, "arrivals")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    spark.read.parquet(end_marker(spark)).coalesce(1).write.mode("append").parquet(path)
+    return path

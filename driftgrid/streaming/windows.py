@@ -22,6 +22,11 @@ def tallies(positions: DataFrame, width: str = "1 hour") -> DataFrame:
     return _open(positions.filter("alive").groupBy(F.window("ts", width), F.col("cell").alias("cell_id")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def counts(positions: DataFrame, width: str = "1 hour") -> DataFrame:
+    """Rows per window that arrived before the watermark closed it."""
+    return _open(positions.groupBy(F.window("ts", width)).agg(F.count(F.lit(1)).alias("n")))
+
+
 def occupancy_density(tally: DataFrame) -> DataFrame:
     """Roll up emitted tallies: windows occupied and rows seen per cell."""
     return tally.groupBy("cell_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("n").alias("n"))
