@@ -92,8 +92,8 @@ def grf10(spark, d):
     c, e = star.cells(spark, d), star.edges(spark, d)
     def r(x):
         return F.round(x, 6) + 0.0
-    u = g.gradient(c, e, "dist").select("cell_id", r("gy").alias("unit_y"), r("gx").alias("unit_x"))
-    m = g.gradient(c, e, "dist", "metric").select("cell_id", r("gy").alias("metric_y"), r("gx").alias("metric_x"))
+    u = g.gradient(c, e, "dist", least=1e-10).select("cell_id", r("gy").alias("unit_y"), r("gx").alias("unit_x"))
+    m = g.gradient(c, e, "dist", "metric", least=1e-10).select("cell_id", r("gy").alias("metric_y"), r("gx").alias("metric_x"))
     return u.join(m, "cell_id")
 
 

@@ -71,10 +71,10 @@ def grid_points(spark, d):
   v AS (SELECT point_id, lat, lon, CASE WHEN ok THEN a.value * (1 - (fi - i)) * (1 - (fj - j)) + b.value * (1 - (fi - i)) * (fj - j) + c.value * (fi - i) * (1 - (fj - j)) + e.value * (fi - i) * (fj - j) END AS val
     FROM q LEFT JOIN grid a ON a.gi = i AND a.gj = j LEFT JOIN grid b ON b.gi = i AND b.gj = j + 1 LEFT JOIN grid c ON c.gi = i + 1 AND c.gj = j LEFT JOIN grid e ON e.gi = i + 1 AND e.gj = j + 1),
   nn AS (SELECT point_id, value AS near FROM v, grid WHERE val IS NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY sqrt(power(20 + gj * 0.5 - lon, 2) + power(10 + gi - lat, 2)), gi * 25 + gj) = 1)
-  SELECT point_id, round(coalesce(val, near), 6) AS value FROM v LEFT JOIN nn USING (point_id)""")
+  SELECT point_id, round(coalesce(val, near), 9) AS value FROM v LEFT JOIN nn USING (point_id)""")
 def spa2(spark, d):
     out = spa.bilinear(grid_points(spark, d), grid(spark, d), (10.0, 20.0), (1.0, 0.5), (50, 25))
-    return out.withColumn("value", F.round("value", 6))
+    return out.withColumn("value", F.round("value", 9))
 
 
 @query("spa3_nearest_raster", SQL_GRID + """SELECT point_id, coalesce(value, 0) AS value FROM pt LEFT JOIN grid ON gi = least(greatest(trunc((60 - lat) / 50 * 49), 0), 49) AND gj = least(greatest(trunc((lon - 20) / 13 * 24), 0), 24)""")

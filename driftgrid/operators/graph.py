@@ -12,6 +12,9 @@ from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked
 
 
+MERGE_EVERY = 16        # rounds between merges of the improvement log
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "downstream") -> DataFrame:
     """(seed, node) for every node reachable from each seed; the seed itself only on a cycle."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "downstream" else \
@@ -53,14 +56,21 @@ def distance_from_sources(cells: DataFrame, edges: DataFrame, sources: DataFrame
     wet = cut(cells.select("cell_id", "water"))
     e = cut(edges.select("src", "dst", F.col(weight).alias("w"))
             .join(wet.filter("water").select(F.col("cell_id").alias("dst")), "dst", "left_semi"))
-    dist = cut(sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct().withColumn("dist", F.lit(0.0)))
-    front = dist
+    # Improvements are only appended; a cell's distance is its smallest entry. A round reads the log
+    # for the candidate cells alone and writes nothing but the new frontier.
+    log = front = cut(sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct().select("cell_id", F.lit(0.0).alias("dist")))
+    rounds = 0
     while not front.isEmpty():
-        cand = (front.select(F.col("cell_id").alias("src"), "dist").join(e, "src")
-                .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
-        better = cand.join(dist, "cell_id", "left").filter(F.col("dist").isNull() | (F.col("cand") < F.col("dist")))
+        cand = cut(front.select(F.col("cell_id").alias("src"), "dist").join(e, "src")
+                   .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
+        known = log.join(cand.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").agg(F.min("dist").alias("dist"))
+        better = cand.join(known, "cell_id", "left").filter(F.col("dist").isNull() | (F.col("cand") < F.col("dist")))
         front = cut(better.select("cell_id", F.col("cand").alias("dist")))
-        dist = cut(dist.join(front.select("cell_id"), "cell_id", "left_anti").unionByName(front))
+        log = log.unionByName(front)
+        rounds += 1
+        if rounds % MERGE_EVERY == 0:
+            log = cut(log.groupBy("cell_id").agg(F.min("dist").alias("dist")))
+    dist = log.groupBy("cell_id").agg(F.min("dist").alias("dist"))
     value = F.when(~F.col("water"), F.lit(float("nan"))).otherwise(F.coalesce("dist", F.lit(float("inf"))))
     return wet.join(dist, "cell_id", "left").select("cell_id", value.alias("dist"))
 
@@ -170,11 +180,13 @@ def edge_adjacency(triangles: DataFrame) -> DataFrame:
     return out.select("tri", "slot", nb.alias("neighbour")).filter("neighbour is not null")
 
 
-def gradient(cells: DataFrame, edges: DataFrame, field: str, form: str = "unit", geographic: bool = False) -> DataFrame:
+def gradient(cells: DataFrame, edges: DataFrame, field: str, form: str = "unit", geographic: bool = False,
+             least: float = 1e-12) -> DataFrame:
     """(cell_id, gy, gx): normalised gradient; (0, 0) without neighbours or direction.
 
     unit sums the difference times the unit vector to each neighbour; metric sums it times the
-    metric difference and ignores magnitudes below 1e-12.
+    metric difference. Magnitudes below least count as zero: sums in any order leave such noise
+    where neighbours cancel, and it has no direction.
     """
     c = cells.select("cell_id", "x", "y", F.col(field).alias("f"))
     e = (edges.join(c.select(F.col("cell_id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("f").alias("f0")), "src")
@@ -185,14 +197,12 @@ def gradient(cells: DataFrame, edges: DataFrame, field: str, form: str = "unit",
         dx = dx * cos if geographic else dx
         norm = F.sqrt(dy * dy + dx * dx)
         ty, tx = F.when(norm > 0, df * dy / norm).otherwise(0.0), F.when(norm > 0, df * dx / norm).otherwise(0.0)
-        least = 0.0
     else:
         ty = df * dy * (F.lit(110540.0) if geographic else F.lit(1.0))
         tx = df * dx * (F.lit(111320.0) * cos if geographic else F.lit(1.0))
-        least = 1e-12
     g = e.groupBy(F.col("src").alias("cell_id")).agg(F.sum(ty).alias("sy"), F.sum(tx).alias("sx"))
     mag = F.sqrt(F.col("sy") * F.col("sy") + F.col("sx") * F.col("sx"))
-    ok = (mag > least) if form == "unit" else (mag >= least)
+    ok = mag >= F.lit(least)
     return (cells.select("cell_id").join(g, "cell_id", "left")
             .select("cell_id", F.coalesce(F.when(ok, F.col("sy") / mag), F.lit(0.0)).alias("gy"),
                     F.coalesce(F.when(ok, F.col("sx") / mag), F.lit(0.0)).alias("gx")))

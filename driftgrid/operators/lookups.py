@@ -103,7 +103,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, size: float, point_key: st
     """(point key, by..., cell_id, dist) of the nearest centre; ties go to the smallest id.
 
     Points meet only cells of the 3x3 buckets around them. A hit within one bucket width is final;
-    points without one try again with doubled buckets, so each round handles only the remainder.
+    points without one try again with buckets four times as wide, so each round handles only the remainder.
     by names columns that must match on both sides.
     """
     by, key = list(by), [point_key, *by]
@@ -125,7 +125,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, size: float, point_key: st
         left = cut(left.join(final.select(*key), key, "left_anti"))
         if left.isEmpty():
             return done
-        size *= 2.0
+        size *= 4.0
 
 
 def _nearest_round(points: DataFrame, xy: DataFrame, size: float, key, by) -> DataFrame:

@@ -21,14 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="driftgrid-ckpt-")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the checkpoint folder so the plan stops growing."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table or a stream's checkpoint."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so the plan stops growing.
+
+    A written table survives lost executors, and its real size lets the planner broadcast a small
+    frontier instead of shuffling the large table it meets.
+    """
+    path = work_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
