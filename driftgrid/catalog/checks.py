@@ -97,7 +97,7 @@ def cmp1(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("val_a", "val_b", "rel_error")})
 
 
-SQL_AG = with_views("tracks") + """, a AS (SELECT group_id AS pop, "time" AS step, ed_kJ_g * 1.0123457::DOUBLE AS ed, mass_g * 1.0123457::DOUBLE AS mass FROM tracks), b AS (SELECT pop, step, ed * 1.02::DOUBLE + 0.1 AS ed, mass - step AS mass FROM a WHERE step % 2 = 0),
+SQL_AG = with_views("tracks") + """, a AS (SELECT group_id AS pop, "time" AS step, ed_kJ_g * 1.0123456789::DOUBLE AS ed, mass_g * 1.0123456789::DOUBLE AS mass FROM tracks), b AS (SELECT pop, step, ed * 1.02::DOUBLE + 0.1 AS ed, mass - step AS mass FROM a WHERE step % 2 = 0),
   s AS (SELECT pop, step, count(*) AS n, avg(ed) AS ed, avg(mass) AS m, stddev_pop(ed) AS sd FROM a GROUP BY 1, 2), u AS (SELECT pop, step, count(*) AS n, avg(ed) AS ed, avg(mass) AS m, stddev_pop(ed) AS sd FROM b GROUP BY 1, 2),
   ca AS (SELECT s.pop, s.step, 'mean_ed' AS metric, s.ed AS val_a, u.ed AS val_b, abs(s.ed - u.ed) / s.ed AS rel_error FROM s JOIN u USING (pop, step)
    UNION ALL SELECT s.pop, s.step, 'mean_mass', s.m, u.m, abs(s.m - u.m) / s.m FROM s JOIN u USING (pop, step)
@@ -106,14 +106,14 @@ SQL_AG = with_views("tracks") + """, a AS (SELECT group_id AS pop, "time" AS ste
 
 
 def agent_pair(spark, d):
-    a = star.tracks(spark, d).select(F.col("group_id").alias("pop"), F.col("time").alias("step"), (F.col("ed_kJ_g") * 1.0123457).alias("ed"), (F.col("mass_g") * 1.0123457).alias("mass"))
+    a = star.tracks(spark, d).select(F.col("group_id").alias("pop"), F.col("time").alias("step"), (F.col("ed_kJ_g") * 1.0123456789).alias("ed"), (F.col("mass_g") * 1.0123456789).alias("mass"))
     return a, a.filter("step % 2 = 0").withColumns({"ed": F.col("ed") * 1.02 + 0.1, "mass": F.col("mass") - F.col("step")})
 
 
-@query("cmp2_compare_agents", SQL_AG + "SELECT pop, step, metric, round(val_a, 7) AS val_a, round(val_b, 7) AS val_b, round(rel_error, 7) AS rel_error FROM ca WHERE rel_error > 1e-9")
+@query("cmp2_compare_agents", SQL_AG + "SELECT pop, step, metric, round(val_a, 5) AS val_a, round(val_b, 5) AS val_b, round(rel_error, 7) AS rel_error FROM ca WHERE rel_error > 1e-9")
 def cmp2(spark, d):
     out = cmp.compare_agents(*agent_pair(spark, d)).filter("rel_error > 1e-9")
-    return out.withColumns({c: F.round(c, 7) for c in ("val_a", "val_b", "rel_error")})
+    return out.withColumns({"val_a": F.round("val_a", 5), "val_b": F.round("val_b", 5), "rel_error": F.round("rel_error", 7)})
 
 
 @query("cmp3_spatial_jsd", with_views("tracks") + """, a AS (SELECT group_id, cell // 20 AS cell, count(*) AS n FROM tracks WHERE origin = 0 GROUP BY 1, 2), b AS (SELECT group_id - 1 AS group_id, cell // 20 AS cell, count(*) AS n FROM tracks WHERE origin = 1 GROUP BY 1, 2),

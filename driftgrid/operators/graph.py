@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from driftgrid.functions.domain import haversine
 from driftgrid.functions.rand import hash_u
 from driftgrid.operators.grid import cube
-from driftgrid.plans.lineage import cut
+from driftgrid.plans.lineage import cut, frontier
 from driftgrid.plans.ordered import ranked
 
 
-MERGE_EVERY = 16        # rounds between merges of the improvement log
+MERGE_EVERY = 8         # rounds between merges of the improvement log
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "downstream") -> DataFrame:
@@ -20,12 +20,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "downstream")
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "downstream" else \
         edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     e = cut(e.distinct())
-    frontier = cut(seeds.select("seed", F.col("seed").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
-    seen = frontier
-    while not frontier.isEmpty():
-        step = (frontier.select("seed", F.col("node").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
-        frontier = cut(step.join(seen, ["seed", "node"], "left_anti"))
-        seen = seen.unionByName(frontier)
+    front, n = frontier(seeds.select("seed", F.col("seed").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
+    seen = front
+    while n:
+        step, _ = frontier(front.select("seed", F.col("node").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
+        # Only the part of seen that the step touches decides what is new.
+        old = seen.join(step, ["seed", "node"], "left_semi")
+        front, n = frontier(step.join(old, ["seed", "node"], "left_anti"))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -58,14 +60,14 @@ def distance_from_sources(cells: DataFrame, edges: DataFrame, sources: DataFrame
             .join(wet.filter("water").select(F.col("cell_id").alias("dst")), "dst", "left_semi"))
     # Improvements are only appended; a cell's distance is its smallest entry. A round reads the log
     # for the candidate cells alone and writes nothing but the new frontier.
-    log = front = cut(sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct().select("cell_id", F.lit(0.0).alias("dist")))
-    rounds = 0
-    while not front.isEmpty():
-        cand = cut(front.select(F.col("cell_id").alias("src"), "dist").join(e, "src")
-                   .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
+    front, n = frontier(sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct().select("cell_id", F.lit(0.0).alias("dist")))
+    log, rounds = front, 0
+    while n:
+        cand, _ = frontier(front.select(F.col("cell_id").alias("src"), "dist").join(e, "src")
+                           .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
         known = log.join(cand.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").agg(F.min("dist").alias("dist"))
         better = cand.join(known, "cell_id", "left").filter(F.col("dist").isNull() | (F.col("cand") < F.col("dist")))
-        front = cut(better.select("cell_id", F.col("cand").alias("dist")))
+        front, n = frontier(better.select("cell_id", F.col("cand").alias("dist")))
         log = log.unionByName(front)
         rounds += 1
         if rounds % MERGE_EVERY == 0:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,11 +28,22 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, so the plan stops growing.
+    """Materialise df in the checkpoint folder so the plan stops growing and lost executors cost little."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
 
-    A written table survives lost executors, and its real size lets the planner broadcast a small
-    frontier instead of shuffling the large table it meets.
+
+BROADCAST_ROWS = 200_000    # a few narrow columns each: well under the default broadcast threshold
+
+
+def frontier(df: DataFrame) -> tuple[DataFrame, int]:
+    """Cut df and count it; up to BROADCAST_ROWS it is marked for broadcast.
+
+    A small frontier then meets a large table without shuffling that table; a larger one is joined
+    by shuffle. Only for frames of a few narrow columns.
     """
-    path = work_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = cut(df)
+    n = out.count()
+    return (F.broadcast(out) if n <= BROADCAST_ROWS else out), n
