@@ -170,9 +170,9 @@ SQL_KIDS = with_views("genotypes") + """, kids AS (SELECT o_orderkey AS child_id
 
 
 def kids(spark, d):
-    n = star.table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
-    return (star.table(spark, d, "orders").crossJoin(F.broadcast(n))
-            .select(F.col("o_orderkey").alias("child_id"), F.col("o_custkey").alias("parent1_id"), ((F.col("o_custkey") * 7 + 3) % F.col("n")).alias("parent2_id")))
+    n = star.table(spark, d, "customer").agg(F.count(F.lit(1))).scalar()
+    return star.table(spark, d, "orders").select(F.col("o_orderkey").alias("child_id"), F.col("o_custkey").alias("parent1_id"),
+                                                 ((F.col("o_custkey") * 7 + 3) % n).alias("parent2_id"))
 
 
 @query("gen21_gametes", SQL_KIDS + _sql_gamete("g1", "parent1_id") + " SELECT child_id, locus_idx, allele FROM g1")

@@ -7,9 +7,13 @@ from driftgrid.operators import reports as rep
 from driftgrid.plans import star
 from driftgrid.plans.star import hour_of, with_views
 from driftgrid.streaming import state, windows
-from driftgrid.streaming.source import MARKER, deliver, positions, run_to_table
+from driftgrid.streaming.source import MARKER, deliver, hourly_steps, positions, run_to_table
 
 P = with_views("positions")
+# One row per individual and hour: its last event.
+STEPS = "positions AS (SELECT * FROM every_position QUALIFY row_number() OVER (PARTITION BY agent_id, hour ORDER BY ts DESC, event_id DESC) = 1)"
+S = with_views("positions").replace("positions AS", "every_position AS", 1).rstrip() + ", " + STEPS + "\n"
+SC = with_views("positions", "cells").replace("positions AS", "every_position AS", 1).rstrip() + ", " + STEPS + "\n"
 W = "WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
@@ -23,6 +27,10 @@ def end():
     return F.col("agent_id") == MARKER
 
 
+def steps(spark, d):
+    return hourly_steps(stream(spark, d))
+
+
 def real(df):
     return df.filter(F.col("agent_id") != MARKER)
 
@@ -34,18 +42,18 @@ def str1(spark, d):
     return out.select(hour_of("start").cast("int").alias("hour"), "n_alive", "n_arrived", F.round("mean_ed", 12).alias("mean_ed"), *[f"behavior_{b}" for b in range(5)])
 
 
-@query("str2_rolling_mean", P + """, act AS (SELECT event_id, (mass_g + coalesce(lag(mass_g) OVER v, 15.0) + coalesce(lag(mass_g, 2) OVER v, 15.0)) / 3.0 AS m
+@query("str2_rolling_mean", S + """, act AS (SELECT event_id, (mass_g + coalesce(lag(mass_g) OVER v, 15.0) + coalesce(lag(mass_g, 2) OVER v, 15.0)) / 3.0 AS m
    FROM positions WHERE alive AND NOT arrived WINDOW v AS (PARTITION BY agent_id ORDER BY ts, event_id))
   SELECT agent_id, event_id, round(coalesce(last_value(m IGNORE NULLS) OVER w, 15.0), 6)::DOUBLE AS mean3 FROM positions LEFT JOIN act USING (event_id) """ + W)
 def str2(spark, d):
-    return real(run_to_table(state.rolling_mean(stream(spark, d), "mass_g"), "rolling")).withColumn("mean3", F.round("mean3", 6))
+    return real(run_to_table(state.rolling_mean(steps(spark, d), "mass_g"), "rolling")).withColumn("mean3", F.round("mean3", 6))
 
 
-@query("str3_residence", P + """, a AS (SELECT *, alive AND NOT arrived AS act, behavior = 2 AS s, sum((alive AND NOT arrived)::INT) OVER w AS rn FROM positions """ + W + """),
+@query("str3_residence", S + """, a AS (SELECT *, alive AND NOT arrived AS act, behavior = 2 AS s, sum((alive AND NOT arrived)::INT) OVER w AS rn FROM positions """ + W + """),
   b AS (SELECT *, last_value(CASE WHEN act THEN s END IGNORE NULLS) OVER w AS st, max(CASE WHEN act AND s THEN rn END) OVER w AS li, max(CASE WHEN act AND NOT s THEN rn END) OVER w AS lo FROM a """ + W + """)
   SELECT agent_id, event_id, (CASE WHEN st THEN rn - coalesce(lo, 0) ELSE 0 END)::BIGINT AS hours_in, (CASE WHEN st THEN 0 WHEN li IS NULL THEN 999 + rn ELSE rn - li END)::BIGINT AS steps_since FROM b""")
 def str3(spark, d):
-    return real(run_to_table(state.residence(stream(spark, d), F.col("behavior") == 2), "residence"))
+    return real(run_to_table(state.residence(steps(spark, d), F.col("behavior") == 2), "residence"))
 
 
 @query("str3_sessions", P + """, s AS (SELECT agent_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM positions WHERE behavior = 2 WINDOW w AS (PARTITION BY agent_id ORDER BY ts)),
@@ -56,7 +64,7 @@ def str3s(spark, d):
     return out.select("agent_id", hour_of("start").cast("int").alias("start_hour"), "n")
 
 
-@query("str4_sticky_flags", with_views("positions", "cells") + f""", r AS (SELECT p.*, coalesce(region_id, -1) AS region, dist FROM positions p LEFT JOIN cells ON cell = cell_id),
+@query("str4_sticky_flags", SC + f""", r AS (SELECT p.*, coalesce(region_id, -1) AS region, dist FROM positions p LEFT JOIN cells ON cell = cell_id),
   thr AS (SELECT region_id, quantile_cont(dist, 0.75) FILTER (water) - 1e-9 AS threshold FROM cells WHERE region_id >= 0 GROUP BY 1),
   n AS (SELECT r.*, first_value(region) OVER w AS natal FROM r {W}),
   e AS (SELECT n.*, bool_or(alive AND region IN (0, 4)) OVER w AS ever, alive AND natal >= 0 AND region = natal AND dist >= threshold AS up FROM n LEFT JOIN thr ON region_id = natal {W})
@@ -64,16 +72,16 @@ def str3s(spark, d):
 def str4(spark, d):
     c = star.cells(spark, d)
     thr = rep.region_thresholds(c).withColumn("threshold", F.col("threshold") - 1e-9)
-    return real(run_to_table(state.sticky(stream(spark, d), c, thr, [1, 3], [0, 4]), "sticky"))
+    return real(run_to_table(state.sticky(steps(spark, d), c, thr, [1, 3], [0, 4]), "sticky"))
 
 
-@query("str5_trips", with_views("positions", "cells") + """, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS k FROM positions JOIN cells ON cell = cell_id WHERE alive),
+@query("str5_trips", SC + """, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS k FROM positions JOIN cells ON cell = cell_id WHERE alive),
   g AS (SELECT agent_id, list(x ORDER BY ts, event_id) AS xs, list(y ORDER BY ts, event_id) AS ys FROM p WHERE k <= 40 GROUP BY 1),
   b AS (SELECT agent_id, behavior FROM positions WHERE alive QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) = 1)
   SELECT agent_id, len(xs)::INTEGER AS points, round(xs[1], 6) AS x0, round(xs[-1], 6) AS x1, round(ys[-1], 6) AS y1, behavior FROM g JOIN b USING (agent_id) WHERE len(xs) >= 2 AND (len(list_distinct(xs)) > 1 OR len(list_distinct(ys)) > 1)""")
 def str5(spark, d):
-    out = real(run_to_table(state.trips(stream(spark, d), star.cells(spark, d)), "trips", "update"))
-    last = out.groupBy("agent_id").agg(F.max_by(F.struct("xs", "ys", "behavior"), "batch").alias("s")).select("agent_id", "s.*")
+    out = real(run_to_table(state.trips(steps(spark, d), star.cells(spark, d)), "trips"))
+    last = out.groupBy("agent_id").agg(F.max_by(F.struct("xs", "ys", "behavior"), F.element_at("us", -1)).alias("s")).select("agent_id", "s.*")
     return last.select("agent_id", F.size("xs").alias("points"), F.round(F.get("xs", F.lit(0)), 6).alias("x0"), F.round(F.element_at("xs", -1), 6).alias("x1"),
                        F.round(F.element_at("ys", -1), 6).alias("y1"), "behavior")
 
@@ -90,10 +98,10 @@ def str7(spark, d):
     return windows.occupancy_density(run_to_table(windows.tallies(stream(spark, d)), "tallies"))
 
 
-@query("str7_flux", P + """, m AS (SELECT cell, old FROM (SELECT *, lag(cell) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS old FROM positions) WHERE alive AND old IS NOT NULL AND old <> cell)
+@query("str7_flux", S + """, m AS (SELECT cell, old FROM (SELECT *, lag(cell) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS old FROM positions) WHERE alive AND old IS NOT NULL AND old <> cell)
   SELECT cell_id, sum(d)::BIGINT AS net FROM (SELECT cell AS cell_id, 1 AS d FROM m UNION ALL SELECT old, -1 FROM m) GROUP BY 1""")
 def str7f(spark, d):
-    return windows.flux(real(run_to_table(state.moves(stream(spark, d)), "moves")))
+    return windows.flux(real(run_to_table(state.moves(steps(spark, d)), "moves")))
 
 
 @query("str8_late_rows", P + """, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM positions WHERE event_id % 10 <> 0 AND hour < (SELECT max(hour) FROM positions))

@@ -90,8 +90,8 @@ def win8(spark, d):
   FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)""")
 def win9(spark, d):
     rows = star.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
-    top = star.table(spark, d, "customer").agg((F.max("c_custkey") + 1).alias("next_id"))
-    return (trk.assign_ids(rows.crossJoin(F.broadcast(top)), "l_orderkey", F.col("next_id"), ties=["l_linenumber"])
+    next_id = star.table(spark, d, "customer").agg(F.max("c_custkey") + 1).scalar()
+    return (trk.assign_ids(rows, "l_orderkey", next_id, ties=["l_linenumber"])
             .select("l_orderkey", "l_linenumber", "agent_id"))
 
 

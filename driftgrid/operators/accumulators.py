@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions import num
 from driftgrid.functions.rand import hash_u
-from driftgrid.operators.filters import combo_mask
+from driftgrid.operators.filters import combo_mask, tick_of, up_to
 from driftgrid.plans.lineage import cut
-from driftgrid.plans.ordered import ranked
+from driftgrid.plans.ordered import nth_smallest, ranked
 
 log = logging.getLogger(__name__)
-ALL = F.lit  # mask factory used as ALL(True)
 
 
 def update(df: DataFrame, acc: str, value: Column, mask: Column | None = None) -> DataFrame:
@@ -195,11 +194,10 @@ def mate_verification(df: DataFrame, acc: str, mask=None) -> DataFrame:
 def assign_random_n(df: DataFrame, acc: str, n: int, value: float, seed: int, mask=None) -> DataFrame:
     """min(n, candidates) masked rows, drawn without replacement, get value."""
     mask = F.lit(True) if mask is None else mask
-    tick = (hash_u(seed, "assign", "agent_id") * F.lit(4294967296.0)).cast("long")
-    # Unmasked rows sort after every masked one, so one scan serves both.
-    rows = df.withColumn("__tick", F.when(mask, tick).otherwise(F.lit(1 << 33)))
-    out = ranked(rows, [], "__tick", "__rank", ties=["agent_id"], span=1 << 20)
-    return update(out, acc, F.lit(float(value)), mask & (F.col("__rank") <= n)).drop("__tick", "__rank")
+    rows = df.withColumn("__tick", tick_of(hash_u(seed, "assign", "agent_id")))
+    cutoff = nth_smallest(rows.filter(mask), "__tick", "agent_id", n)
+    chosen = mask if cutoff is None else mask & up_to("__tick", "agent_id", cutoff)
+    return update(rows, acc, F.lit(float(value)), chosen).drop("__tick")
 
 
 def select_first_n_per_group(df: DataFrame, acc: str, n: int, value: float, mask=None) -> DataFrame:

@@ -33,8 +33,8 @@ def unit_check(field: DataFrame, value: str, limit: float = 30.0) -> DataFrame:
 def zone_table_check(cells: DataFrame, zone_table: DataFrame) -> DataFrame:
     """Zones the cells use against rows of the table: both counts and ok."""
     need = cells.agg((F.greatest(F.max("zone_raw") - 1, F.lit(0)) + 1).cast("long").alias("zones_needed"))
-    have = zone_table.select("zone").distinct().agg(F.count(F.lit(1)).alias("zones_present"))
-    return need.crossJoin(F.broadcast(have)).withColumn("ok", F.col("zones_needed") == F.col("zones_present"))
+    have = zone_table.select("zone").distinct().agg(F.count(F.lit(1))).scalar()
+    return need.withColumn("zones_present", have).withColumn("ok", F.col("zones_needed") == F.col("zones_present"))
 
 
 def distance_check(cells: DataFrame, dist: str = "dist") -> DataFrame:
@@ -76,8 +76,8 @@ def matrix_rows_sum(matrix: DataFrame, tolerance: float = 1e-6) -> DataFrame:
 def dormant_gradient(df: DataFrame, field: DataFrame, value: str, directed=(3, 4)) -> DataFrame:
     """One row: is any individual directed while the field is zero everywhere?"""
     moving = df.agg(F.coalesce(F.bool_or(F.col("behavior").isin(list(directed))), F.lit(False)).alias("any_directed"))
-    flat = field.agg(F.coalesce(~F.bool_or(F.col(value) != 0), F.lit(True)).alias("all_zero"))
-    return moving.crossJoin(F.broadcast(flat)).withColumn("dormant", F.col("any_directed") & F.col("all_zero"))
+    flat = field.agg(F.coalesce(~F.bool_or(F.col(value) != 0), F.lit(True))).scalar()
+    return moving.withColumn("all_zero", flat).withColumn("dormant", F.col("any_directed") & F.col("all_zero"))
 
 
 def tagged_dry(cells: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ def verdict(census: DataFrame, agents: DataFrame) -> DataFrame:
     """One row: FAIL, WARN or PASS."""
     size = census.agg(F.coalesce(F.bool_or((F.col("metric") == "size") & (F.col("rel_error") > 0.05) &
                                            (F.abs(F.col("val_a") - F.col("val_b")) > 10)), F.lit(False)).alias("size_fail"))
-    worst = agents.agg(F.coalesce(F.max("rel_error"), F.lit(0.0)).alias("worst"))
-    return (size.crossJoin(F.broadcast(worst))
+    worst = agents.agg(F.coalesce(F.max("rel_error"), F.lit(0.0))).scalar()
+    return (size.withColumn("worst", worst)
             .select(F.when(F.col("size_fail") | (F.col("worst") > 0.15), "FAIL").when(F.col("worst") > 0.05, "WARN")
                     .otherwise("PASS").alias("verdict")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.rand import hash_u
-from driftgrid.plans.ordered import ranked
+from driftgrid.plans.ordered import TICKS, nth_smallest
 
 log = logging.getLogger(__name__)
 
@@ -133,8 +133,16 @@ def region_label(names) -> Column:
 def subsample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """All rows when there are at most n, else the n with the smallest keyed uniform.
 
-    The n-th smallest draw is found by a distributed rank, so no task or driver holds the sample.
+    The n-th smallest draw is found first; taking the sample is then a plain filter.
     """
-    drawn = df.withColumn("__tick", (hash_u(seed, "subsample", key) * F.lit(4294967296.0)).cast("long"))
-    return (ranked(drawn, [], "__tick", "__rank", ties=[key], span=1 << 20)
-            .filter(F.col("__rank") <= n).drop("__tick", "__rank"))
+    drawn = df.withColumn("__tick", tick_of(hash_u(seed, "subsample", key)))
+    cutoff = nth_smallest(drawn, "__tick", key, n)
+    return (drawn if cutoff is None else drawn.filter(up_to("__tick", key, cutoff))).drop("__tick")
+
+
+def tick_of(u: Column) -> Column:
+    return (u * F.lit(float(TICKS))).cast("long")
+
+
+def up_to(tick: str, tie: str, cutoff) -> Column:
+    return F.struct(tick, tie) <= F.struct(F.lit(cutoff[0]).alias(tick), F.lit(cutoff[1]).alias(tie))

@@ -149,10 +149,10 @@ def bridge_gaps(cells: DataFrame, labels: DataFrame, max_len: int = 10) -> DataF
     the disc and not by the anchor's size; a component farther away stays apart.
     """
     sized = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    anchor = sized.agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("anchor"))
+    anchor = sized.agg(F.min_by("component", F.struct(-F.col("n"), "component"))).scalar()
     q, r = cube(F.col("row"), F.col("col"))
     at = (cells.join(labels, "cell_id").withColumns({"q": q.cast("long"), "r": r.cast("long")})
-          .crossJoin(F.broadcast(anchor)).withColumn("home", F.col("component") == F.col("anchor")))
+          .withColumn("home", F.col("component") == anchor))
     disc = [(dq, dr) for dq in range(-max_len, max_len + 1) for dr in range(-max_len, max_len + 1) if abs(dq + dr) <= max_len]
     around = F.array(*[F.struct(F.lit(a).alias("dq"), F.lit(b).alias("dr"), F.lit(max(abs(a), abs(b), abs(a + b))).alias("hops")) for a, b in disc])
     probe = (at.filter(~F.col("home")).select("component", F.col("q").alias("oq"), F.col("r").alias("orr"), F.explode(around).alias("o"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Names a derived layer may not take.
@@ -43,9 +43,8 @@ def split_by_fraction(df: DataFrame, quantity: str, fractions: dict, label: str
 
 def negated_gradient(layer: DataFrame, value: str, out: str = "gradient") -> DataFrame:
     """-value / max(value); a maximum that is not positive counts as 1."""
-    top = layer.agg(F.max(value).alias("__top"))          # one row
-    scale: Column = F.when(F.col("__top") <= 0, F.lit(1.0)).otherwise(F.col("__top"))
-    return layer.crossJoin(F.broadcast(top)).withColumn(out, -F.col(value) / scale).drop("__top")
+    top = layer.agg(F.max(value)).scalar()
+    return layer.withColumn(out, -F.col(value) / F.when(top <= 0, F.lit(1.0)).otherwise(top))
 
 
 def trust_region_mask(cells: DataFrame) -> DataFrame:

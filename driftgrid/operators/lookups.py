@@ -73,9 +73,7 @@ def switch_population(src: DataFrame, dst: DataFrame, p: float, seed: int, next_
     kept = [c for c in ("cell", "natal", "exit_branch", "origin", "sea_age", "been_to_sea", "arrived") if c in src.columns]
     movers = ranked(src.filter(goes).select("agent_id", *kept), [], "agent_id", "__rank")
     if next_id is None:
-        top = dst.agg(F.coalesce(F.max("agent_id") + 1, F.lit(0)).alias("__next"))
-        movers = movers.crossJoin(F.broadcast(top))
-        next_id = F.col("__next")
+        next_id = dst.agg(F.coalesce(F.max("agent_id") + 1, F.lit(0))).scalar()
     new = movers.withColumn("agent_id", next_id + F.col("__rank") - 1).select("agent_id", *kept)
     return src.withColumn("alive", F.col("alive") & ~goes), add_agents(dst, new)
 

@@ -112,14 +112,13 @@ def trips(tracks: DataFrame, centroids: DataFrame, max_agents: int = 2000, lengt
     """
     started = tracks.groupBy(KEY).agg(F.min_by("alive", T).alias("alive")).filter("alive").select(KEY)
     order = ranked(started, [], KEY, "__rank")
-    n = started.agg(F.count(F.lit(1)).alias("__n"))
-    step = F.greatest(F.lit(1), F.when(F.col("__n") > max_agents, F.expr(f"__n div {max_agents}")).otherwise(1))
-    tracked = (order.crossJoin(F.broadcast(n)).withColumn("__step", step)
-               .filter(((F.col("__rank") - 1) % F.col("__step") == 0) & ((F.col("__rank") - 1) / F.col("__step") < max_agents)).select(KEY))
-    end = tracks.agg(F.max(T).alias("__end"))
+    n = started.agg(F.count(F.lit(1))).scalar()
+    step = F.greatest(F.lit(1), F.when(n > max_agents, F.floor(n / max_agents)).otherwise(1))
+    nth = order.withColumn("__step", step)
+    tracked = nth.filter(((F.col("__rank") - 1) % F.col("__step") == 0) & ((F.col("__rank") - 1) / F.col("__step") < max_agents)).select(KEY)
+    end = tracks.agg(F.max(T)).scalar()
     last = (tracks.filter("alive").groupBy(KEY).agg(F.max_by("behavior", T).alias("behavior")))
-    pts = (tracks.filter("alive").crossJoin(F.broadcast(end)).filter(F.col(T) > F.col("__end") - length)
-           .withColumn("__t", F.col(T) - (F.col("__end") - length + 1))
+    pts = (tracks.filter("alive").withColumn("__t", F.col(T) - (end - length + 1)).filter(F.col("__t") >= 0)
            .join(centroids.select(F.col("cell_id").alias("cell"), "x", "y"), "cell")
            .join(tracked, KEY, "left_semi"))
     # At most `length` rows per individual are gathered here.

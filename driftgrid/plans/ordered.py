@@ -93,3 +93,23 @@ def ranked_by_value(df: DataFrame, keys, value: str, tie: str, name: str = "rank
     inner = ranked(df, [*keys, value], tie, "__pos")
     return (inner.join(ahead.select(*keys, value, "__ahead"), [*keys, value])
             .withColumn(name, F.coalesce("__ahead", F.lit(0)) + F.col("__pos")).select(*df.columns, name))
+
+
+TICKS = 1 << 32         # ticks of a 32-bit uniform
+_BUCKET = 1 << 12       # ticks per bucket: about a million buckets
+
+
+def nth_smallest(df: DataFrame, tick: str, tie: str, n: int):
+    """(tick, tie) of the n-th row in (tick, tie) order, or None with fewer than n rows.
+
+    Rows are counted per bucket of ticks, and only the bucket that holds the n-th row is ranked.
+    """
+    b = df.withColumn("__b", F.expr(f"{tick} div {_BUCKET}"))
+    counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    at = (running(counts, [], "__b", {"__cum": ("sum", F.col("__n"))}).filter(F.col("__cum") >= n)
+          .agg(F.min(F.struct("__b", "__cum", "__n")).alias("m")).first()["m"])
+    if at is None:
+        return None
+    k = n - (at["__cum"] - at["__n"])
+    row = ranked(b.filter(F.col("__b") == at["__b"]), [], tick, "__k", ties=[tie], span=1).filter(F.col("__k") == k).select(tick, tie).first()
+    return tuple(row)

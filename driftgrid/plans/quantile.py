@@ -23,9 +23,11 @@ def quantiles(df: DataFrame, keys, value: str, wanted: dict, *, scale: float = 1
               .agg(F.count(F.lit(1)).alias("__n"))
               .withColumn("__tick", F.floor(F.col(value) * F.lit(scale)).cast("long")))
     cum = running(counts, keys, "__tick", {"__cum": ("sum", F.col("__n"))}, ties=[value], span=span)
-    size = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     # The running total at a value is one more than the last 0-based position it covers.
-    joined = cum.join(size, keys) if keys else cum.crossJoin(F.broadcast(size))
+    if keys:
+        joined = cum.join(counts.groupBy(*keys).agg(F.sum("__n").alias("__size")), keys)
+    else:
+        joined = cum.withColumn("__size", counts.agg(F.sum("__n")).scalar())
     aggs: list[Column] = []
     for name, q in wanted.items():
         pos = (F.col("__size") - 1) * F.lit(float(q))

@@ -6,7 +6,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftgrid import schemas
 from driftgrid.plans.lineage import work_path
@@ -22,6 +21,18 @@ def event_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(schemas.EVENTS).options(**options).parquet(path)
 
 
+def hourly_steps(positions: DataFrame, width: str = "1 hour") -> DataFrame:
+    """The last position of each individual per step, once the step is closed.
+
+    This is the one-row-per-step form that the keyed state works on. It is an ordinary windowed
+    aggregate with partial aggregation, so an individual that sends a large share of all events
+    reaches its keyed state with at most one row per step.
+    """
+    rest = [c for c in positions.columns if c not in ("agent_id", "ts")]
+    last = positions.groupBy(F.window("ts", width), "agent_id").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("s"))
+    return last.select("agent_id", F.window_time("window").alias("ts"), "s.*")
+
+
 def end_marker(spark: SparkSession) -> str:
     """Folder with one far-future row. A replay of a finished table needs it: without later rows the
     watermark would never pass the last real ones and their results would stay in state."""
@@ -52,28 +63,15 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(key, old)
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain what is available into a parquet table in the shared folder and return it.
-
-    Update-mode results are written per batch with their batch number.
-    """
+def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+    """Drain what is available into a parquet table in the shared folder and return it."""
     spark = stream.sparkSession
     out, ckpt = work_path(spark, label), work_path(spark, label + "-state")
-    writer = stream.writeStream.option("checkpointLocation", ckpt).outputMode(mode).trigger(availableNow=True)
-    if mode == "append":
-        writer = writer.format("parquet").option("path", out)
-    else:
-        def save(batch: DataFrame, number: int) -> None:
-            # Overwriting the batch's own folder keeps a repeated batch from counting twice.
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        writer = writer.foreachBatch(save)
     with rocksdb(spark):
-        q = writer.start()
+        q = (stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).start())
         q.awaitTermination()
-    fields = list(stream.schema.fields)
-    if mode != "append":
-        fields.append(T.StructField("batch", T.IntegerType()))
-    return spark.read.schema(T.StructType(fields)).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def deliver(spark: SparkSession, parts) -> str:

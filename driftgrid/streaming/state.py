@@ -165,10 +165,10 @@ class Moves(InOrder):
         return (cell,), out
 
 
-def keyed(stream: DataFrame, processor: InOrder, mode: str = "append") -> DataFrame:
+def keyed(stream: DataFrame, processor: InOrder) -> DataFrame:
     """Run a processor per individual in event time."""
     return (stream.groupBy("agent_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.schema, outputMode=mode, timeMode="EventTime"))
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode="append", timeMode="EventTime"))
 
 
 def active():
@@ -196,9 +196,10 @@ def sticky(positions: DataFrame, cells: DataFrame, thresholds: DataFrame, tag_re
 
 
 def trips(positions: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Trails as they advance; the row with the latest waypoint is the current one."""
     xy = centroids.select(F.col("cell_id").alias("cell"), "x", "y")
     p = positions.join(xy, "cell", "left")
-    return keyed(p.select("agent_id", "event_id", "ts", "alive", "x", "y", "behavior"), Trips(), "update")
+    return keyed(p.select("agent_id", "event_id", "ts", "alive", "x", "y", "behavior"), Trips())
 
 
 def moves(positions: DataFrame) -> DataFrame:
