@@ -6,11 +6,11 @@ groupBy aggregates, so neither needs a whole individual in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.operators.filters import active_mask
-from driftgrid.plans.ordered import STEP_SPAN, previous, ranked, running
+from driftgrid.plans.ordered import STEP_SPAN, previous, ranked, running, scan
 
 KEY, T = "agent_id", "time"
 
@@ -20,30 +20,69 @@ def rolling_mean3(tracks: DataFrame, value: str, initial: float = 15.0, span: in
 
     Rows that are dead or arrived keep the mean of their last active row.
     """
-    live = F.when(active_mask(), F.col(value))
-    # Each active row remembers its value and the one before; two scans give the last three.
-    one = running(tracks.withColumn("__v", live), [KEY], T, {"__p1": ("last", F.col("__v"))}, before=True, span=span)
-    pair = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("a"), F.coalesce("__p1", F.lit(initial)).alias("b")))
-    two = running(one.withColumn("__pair", pair), [KEY], T, {"__p2": ("last", F.col("__pair"))}, before=True, span=span)
-    mean = (F.col("__v") + F.coalesce(F.col("__p2.a"), F.lit(initial)) + F.coalesce(F.col("__p2.b"), F.lit(initial))) / 3.0
-    own = two.withColumn("__m", F.when(F.col("__v").isNotNull(), mean))
-    out = running(own, [KEY], T, {"mean3": ("last", F.col("__m"))}, span=span)
-    return out.select(*tracks.columns, F.coalesce("mean3", F.lit(initial)).alias("mean3"))
+    v = F.when(active_mask(), F.col(value))
+
+    def history(rows, w):
+        """__v, and on active rows the two values before it in __p1 and __p2."""
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("__p1", F.last("__v", ignorenulls=True).over(before))
+        older = F.when(F.col("__seed"), F.col("__seed_b")).otherwise(F.col("__p1")) if "__seed_b" in rows.columns else F.col("__p1")
+        pair = F.when(F.col("__v").isNotNull(), F.struct("__v", older.alias("p")))
+        return rows.withColumn("__p2", F.last(pair, ignorenulls=True).over(before)["p"])
+
+    def last_three(spans, cw):
+        """The last three active values before each span, from the last three within each span."""
+        a = F.last("t1", ignorenulls=True).over(cw)
+        spans = spans.withColumn("pa", a).withColumn("b", F.when(F.col("t1").isNotNull(), F.coalesce("t2", "pa")))
+        spans = spans.withColumn("pb", F.last(F.when(F.col("t1").isNotNull(), F.struct("b")), ignorenulls=True).over(cw)["b"])
+        third = F.coalesce("t3", F.when(F.col("t2").isNull(), F.col("pb")).otherwise(F.col("pa")))
+        spans = spans.withColumn("s", F.when(F.col("t1").isNotNull(), F.struct(F.col("t1").alias("a"), "b", third.alias("c"))))
+        s = F.last("s", ignorenulls=True).over(cw)
+        return spans.withColumn("s", s).select(KEY, "__span", F.col("s.a").alias("__v"), F.col("s.b").alias("__seed_b"), F.col("s.c").alias("__seed_c"))
+
+    def means(rows, w):
+        rows = history(rows, w)
+        def or_start(c):
+            return F.coalesce(c, F.lit(initial))
+        p1 = F.when(F.col("__seed"), F.col("__seed_b")).otherwise(F.col("__p1"))
+        p2 = F.when(F.col("__seed"), F.col("__seed_c")).otherwise(F.col("__p2"))
+        own = F.when(F.col("__v").isNotNull(), (F.col("__v") + or_start(p1) + or_start(p2)) / 3.0)
+        rows = rows.withColumn("__m", own)
+        return rows.withColumn("mean3", or_start(F.last("__m", ignorenulls=True).over(w)))
+
+    newest = F.when(F.col("__v").isNotNull(), F.col(T))
+    out = scan(tracks.withColumn("__v", v), [KEY], T, local=history, state=last_three, apply=means, span=span,
+               totals=[F.max_by(c, newest).alias(n) for n, c in (("t1", "__v"), ("t2", "__p1"), ("t3", "__p2"))])
+    return out.select(*tracks.columns, "mean3")
 
 
 def residence_counters(tracks: DataFrame, in_state: Column, start: int = 999, span: int = STEP_SPAN) -> DataFrame:
     """hours in the state and steps since it, counted over active rows and frozen otherwise."""
-    act = active_mask()
-    one = running(tracks.withColumn("__on", in_state), [KEY], T, {"__rn": ("sum", act.cast("long"))}, span=span)
-    two = running(one, [KEY], T, {
-        "__state": ("last", F.when(act, F.col("__on"))),
-        "__last_in": ("last", F.when(act & F.col("__on"), F.col("__rn"))),
-        "__last_out": ("last", F.when(act & ~F.col("__on"), F.col("__rn")))}, span=span)
-    state = F.coalesce(F.col("__state"), F.lit(False))
-    hours = F.when(state, F.col("__rn") - F.coalesce("__last_out", F.lit(0))).otherwise(0)
-    since = (F.when(state, 0).when(F.col("__last_in").isNull(), F.lit(start) + F.col("__rn"))
-             .otherwise(F.col("__rn") - F.col("__last_in")))
-    return two.select(*tracks.columns, hours.alias("hours_in"), since.alias("steps_since"))
+    act, on = F.col("__act"), F.col("__on")
+
+    def local(rows, w):
+        return rows.withColumn("__rn", F.sum(act.cast("long")).over(w))
+
+    def state(spans, cw):
+        spans = spans.withColumn("base", F.coalesce(F.sum("n").over(cw), F.lit(0)))
+        return spans.select(KEY, "__span", F.col("base").alias("__seed_rn"), F.max(F.col("base") + F.col("li")).over(cw).alias("__seed_in"),
+                            F.max(F.col("base") + F.col("lo")).over(cw).alias("__seed_out"), F.last("st", ignorenulls=True).over(cw).alias("__seed_st"))
+
+    def apply(rows, w):
+        seed = F.col("__seed")
+        rows = rows.withColumn("__rn", F.sum(F.when(seed, F.col("__seed_rn")).otherwise(act.cast("long"))).over(w))
+        return rows.withColumns({
+            "__in": F.max(F.when(seed, F.col("__seed_in")).when(act & on, F.col("__rn"))).over(w),
+            "__out": F.max(F.when(seed, F.col("__seed_out")).when(act & ~on, F.col("__rn"))).over(w),
+            "__st": F.last(F.when(seed, F.col("__seed_st")).when(act, on), ignorenulls=True).over(w)})
+
+    rows = scan(tracks.withColumns({"__act": active_mask(), "__on": in_state}), [KEY], T, local=local, state=state, apply=apply, span=span,
+                totals=[F.sum(act.cast("long")).alias("n"), F.max(F.when(act & on, F.col("__rn"))).alias("li"),
+                        F.max(F.when(act & ~on, F.col("__rn"))).alias("lo"), F.max_by(on, F.when(act, F.col(T))).alias("st")])
+    inside = F.coalesce("__st", F.lit(False))
+    hours = F.when(inside, F.col("__rn") - F.coalesce("__out", F.lit(0))).otherwise(0)
+    since = (F.when(inside, 0).when(F.col("__in").isNull(), F.lit(start) + F.col("__rn")).otherwise(F.col("__rn") - F.col("__in")))
+    return rows.select(*tracks.columns, hours.alias("hours_in"), since.alias("steps_since"))
 
 
 def step_timers(tracks: DataFrame, countdown: int, span: int = STEP_SPAN) -> DataFrame:

@@ -5,7 +5,7 @@ derived tables grow with the inputs and no key is gathered. The SQL text of each
 by the oracles.
 
 Rules (fixed values):
-  tracks       events, one state per (user, hour): the last event of the hour
+  tracks       events, one state per (user, hour): the event with the largest id
   cells        part, on a 40-column odd-row hex grid
   edges        adjacency of water cells
   field        lineitem per (part, ship day mod 24)
@@ -45,8 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def hour_of(ts) -> "F.Column":
     """Whole hours since 2024-01-01 00:00."""
-    return F.floor(F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"),
-                                    F.date_trunc("SECOND", ts).cast("timestamp_ntz")) / 3600)
+    return F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
 def day_of(ts) -> "F.Column":
@@ -59,15 +58,16 @@ def index_of(col: str, names) -> "F.Column":
 
 def tracks(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
+    # Every aggregate keeps numbers only, so the hash aggregate combines them before the shuffle.
     last = e.groupBy(F.col("user_id").alias("agent_id"), hour_of("ts").cast("int").alias("time")).agg(
-        F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id")).alias("s"))
-    hour, agent, ev = F.col("time"), F.col("agent_id"), F.col("s.event_id")
+        F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"),
+        F.max_by(index_of("event_type", EVENT_TYPES), "event_id").alias("behavior"))
+    hour, agent, ev = F.col("time"), F.col("agent_id"), F.col("event_id")
     return last.select(
         "time", "agent_id",
         F.when(ev % 97 == 0, F.lit(-1)).otherwise(agent * 10 + ev % 25).cast("long").alias("cell"),
-        (F.lit(4.0) + F.col("s.value") / 100.0).alias("ed_kJ_g"),
-        (F.lit(3000.0) + F.col("s.value")).alias("mass_g"),
-        index_of("s.event_type", EVENT_TYPES).alias("behavior"),
+        (F.lit(4.0) + F.col("value") / 100.0).alias("ed_kJ_g"),
+        (F.lit(3000.0) + F.col("value")).alias("mass_g"), "behavior",
         (~((hour >= 480) & (agent % 7 == 0))).alias("alive"),
         ((hour >= 600) & (agent % 3 == 0)).alias("arrived"),
         (agent % 2).cast("int").alias("origin"),
@@ -204,7 +204,7 @@ SQL["tracks"] = f"""tracks AS (SELECT "time", agent_id,
  FROM (SELECT user_id AS agent_id, event_id, event_type, value,
    (datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600)::INTEGER AS "time",
    row_number() OVER (PARTITION BY user_id, datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', ts)) // 3600
-     ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"""
+     ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1)"""
 SQL["positions"] = f"""positions AS (SELECT agent_id, event_id, ts, hour, (CASE WHEN event_id % 97 = 0 THEN -1 ELSE agent_id * 10 + event_id % 25 END)::BIGINT AS cell,
   4.0::DOUBLE + value / 100.0::DOUBLE AS ed_kJ_g, 3000.0::DOUBLE + value AS mass_g, ({sql_case('event_type', EVENT_TYPES)})::INTEGER AS behavior,
   NOT (hour >= 480 AND agent_id % 7 = 0) AS alive, (hour >= 600 AND agent_id % 3 = 0) AS arrived

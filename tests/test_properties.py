@@ -234,3 +234,31 @@ def test_nothing_uses_local_checkpoints():
     from pathlib import Path
     root = Path(__file__).resolve().parent.parent / "driftgrid"
     assert not [p for p in root.rglob("*.py") if "local" + "Checkpoint" in p.read_text()]
+
+
+@pytest.fixture(scope="module")
+def lives(spark):
+    """Individuals with gaps, dead and arrived stretches; one holds a third of the rows."""
+    rnd = random.Random(11)
+    rows = [(0 if i % 3 == 0 else rnd.randrange(1, 15), i, rnd.random() < 0.8, rnd.random() < 0.1, float(rnd.randrange(100)), rnd.randrange(4)) for i in range(1500)]
+    return rows, spark.createDataFrame(rows, "agent_id long, time long, alive boolean, arrived boolean, v double, behavior int")
+
+
+@pytest.mark.parametrize("span", [1, 5, 64, 10 ** 9])
+def test_rolling_and_residence_for_any_span(lives, span):
+    from driftgrid.operators import tracks as trk
+    rows, df = lives
+    memo, want = {}, {}
+    for a, t, alive, arrived, v, b in rows:
+        h, hours, since, mean = memo.get(a, ([15.0] * 3, 0, 999, 15.0))
+        if alive and not arrived:
+            h = [v, *h[:2]]
+            mean = sum(h) / 3
+            hours, since = (hours + 1, 0) if b == 2 else (0, since + 1)
+        memo[a] = (h, hours, since, mean)
+        want[t] = (mean, hours, since)
+    mean = {r["time"]: r["mean3"] for r in trk.rolling_mean3(df, "v", span=span).collect()}
+    res = {r["time"]: (r["hours_in"], r["steps_since"]) for r in trk.residence_counters(df, F.col("behavior") == 2, span=span).collect()}
+    assert len(mean) == len(res) == len(rows)
+    for t, (m, h, s) in want.items():
+        assert mean[t] == pytest.approx(m) and res[t] == (h, s)
