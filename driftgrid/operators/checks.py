@@ -94,3 +94,8 @@ def monotone_flags(tracks: DataFrame, flag: str) -> DataFrame:
     """Rows where a sticky flag went back to false."""
     out = previous(tracks, ["agent_id"], "time", {"before": flag})
     return out.filter(F.coalesce(F.col("before"), F.lit(False)) & ~F.col(flag)).drop("before")
+
+
+def degree(edges: DataFrame, most: int) -> DataFrame:
+    """Cells with more neighbours than the grid allows; neighbour arrays rely on this bound."""
+    return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")).filter(F.col("degree") > most)

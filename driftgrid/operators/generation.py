@@ -63,8 +63,9 @@ def pick_mate(parents: DataFrame, members: DataFrame, seed: int) -> DataFrame:
 
     Members get a distributed rank in their group; the drawn rank joins back on (group, rank).
     """
-    order = ranked(members.filter(F.col("alive") & (F.col("group_id") >= 0)).select("group_id", "agent_id"), ["group_id"], "agent_id", "__r")
-    sizes = order.groupBy("group_id").agg(F.max("__r").alias("__k"))
+    able = members.filter(F.col("alive") & (F.col("group_id") >= 0)).select("group_id", "agent_id")
+    order = ranked(able, ["group_id"], "agent_id", "__r")
+    sizes = able.groupBy("group_id").agg(F.count(F.lit(1)).alias("__k"))
     own = (parents.join(order, ["group_id", "agent_id"], "left").join(sizes, "group_id", "left")
            .withColumn("__others", F.coalesce("__k", F.lit(0)) - F.col("__r").isNotNull().cast("int")))
     j = F.floor(hash_u(seed, "mate", "agent_id") * F.col("__others")) + 1

@@ -220,7 +220,7 @@ def move_along_network(positions: DataFrame, segments: DataFrame, edges: DataFra
     up = direction == "upstream"
     nxt = edges.select((F.col("dst") if up else F.col("src")).alias("segment_id"), (F.col("src") if up else F.col("dst")).alias("next_id")).distinct()
     order = ranked(nxt, ["segment_id"], "next_id", "pick")
-    n = order.groupBy("segment_id").agg(F.max("pick").alias("n"))
+    n = nxt.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
     length = segments.select("segment_id", "length")
     p = positions.join(length, "segment_id").join(n, "segment_id", "left")
     raw = F.col("offset") - F.col(step) if up else F.col("offset") + F.col(step)

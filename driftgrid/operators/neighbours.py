@@ -15,7 +15,11 @@ from driftgrid.plans.lineage import cut
 
 
 def adjacency(cells: DataFrame, edges: DataFrame, attrs=()) -> DataFrame:
-    """One row per cell: cell, own attributes as c_<attr>, and nbrs = array(slot, dst, attrs...)."""
+    """One row per cell: cell, own attributes as c_<attr>, and nbrs = array(slot, dst, attrs...).
+
+    A cell has at most the grid's degree of neighbours (six on a hexagonal grid, a few dozen across
+    levels); checks.degree finds edge tables that break this.
+    """
     own = cells.select(F.col("cell_id").alias("cell"), *[F.col(a).alias(f"c_{a}") for a in attrs])
     tagged = edges.join(cells.select(F.col("cell_id").alias("dst"), *attrs), "dst") if attrs else edges
     packed = tagged.groupBy(F.col("src").alias("cell")).agg(

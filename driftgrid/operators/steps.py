@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.plans.lineage import cut
+from driftgrid.plans.lineage import cut, ship
 
 STEPS: dict[str, Callable] = {}
 
@@ -43,6 +43,7 @@ def custom(df: DataFrame, fn: Callable, schema=None, by=None) -> DataFrame:
     """User callback: df -> df, or with a schema an Arrow batch function (per group when by is set)."""
     if schema is None:
         return df.transform(fn)
+    ship(fn)
     return df.groupBy(*by).applyInPandas(fn, schema) if by else df.mapInPandas(fn, schema)
 
 

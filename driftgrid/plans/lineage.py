@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +49,10 @@ def frontier(df: DataFrame) -> tuple[DataFrame, int]:
     out = cut(df)
     n = out.count()
     return (F.broadcast(out) if n <= BROADCAST_ROWS else out), n
+
+
+def ship(obj) -> None:
+    """Send the module of a class or function along with it, so workers need no installed package."""
+    module = sys.modules.get(obj.__module__)
+    if module is not None and obj.__module__.split(".")[0] == __name__.split(".")[0]:
+        cloudpickle.register_pickle_by_value(module)

@@ -16,7 +16,7 @@ STEP_SPAN = 4096        # time steps per span; (key, step) is unique in tracks
 ID_SPAN = 65536         # ids per span; ids are unique
 
 _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min,
-         "last": lambda c: F.last(c, ignorenulls=True),
+         "row": F.last, "last": lambda c: F.last(c, ignorenulls=True),
          "first": lambda c: F.first(c, ignorenulls=True)}
 
 
@@ -25,6 +25,8 @@ def _col(c) -> Column:
 
 
 def _total(kind: str, value: Column, order: Column) -> Column:
+    if kind == "row":
+        return F.max_by(value, order)
     if kind == "last":
         return F.max_by(value, F.when(value.isNotNull(), order))
     if kind == "first":
@@ -36,8 +38,8 @@ def running(df: DataFrame, keys, order: str, folds: dict, *, ties=(), before: bo
             span: int = STEP_SPAN) -> DataFrame:
     """Add one running value per entry of folds = {name: (kind, column)}.
 
-    kind is sum, count, max, min, last or first (the last two skip nulls). before=True excludes the
-    current row, so ('last', struct(...)) with before=True is lag. order is an integral column
+    kind is sum, count, max, min, last or first (the last two skip nulls), or row, the last row's
+    value even when null. before=True excludes the current row, so row is then lag. order is an integral column
     whose values per key are unique, or unique together with the ties columns; with ties, rows of
     one order value must be few.
     """
@@ -89,9 +91,7 @@ def scan(df: DataFrame, keys, order: str, *, local, totals, state, apply, span:
 
 def previous(df: DataFrame, keys, order: str, cols: dict, *, span: int = STEP_SPAN) -> DataFrame:
     """Lag by one row: cols = {new_name: column}; null on a key's first row."""
-    packed = F.struct(*[_col(c).alias(n) for n, c in cols.items()])
-    out = running(df, keys, order, {"__prev": ("last", packed)}, before=True, span=span)
-    return out.select(*df.columns, *[F.col(f"__prev.{n}").alias(n) for n in cols])
+    return running(df, keys, order, {n: ("row", c) for n, c in cols.items()}, before=True, span=span)
 
 
 def ranked(df: DataFrame, keys, order: str, name: str = "rank", *, ties=(), span: int = ID_SPAN) -> DataFrame:

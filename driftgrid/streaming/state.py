@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from driftgrid.plans.lineage import ship
+
 TRAIL = 40
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
@@ -167,6 +169,7 @@ class Moves(InOrder):
 
 def keyed(stream: DataFrame, processor: InOrder) -> DataFrame:
     """Run a processor per individual in event time."""
+    ship(type(processor))
     return (stream.groupBy("agent_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.schema, outputMode="append", timeMode="EventTime"))
 
