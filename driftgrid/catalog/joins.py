@@ -237,3 +237,14 @@ def grf12(spark, d):
     g = nb.adjacency(c, star.edges(spark, d), ("dist", "n_micro"))
     return (nb.bounded_walk(star.agents(spark, d).select("agent_id", "cell"), g, "dist", "directed", 3, SEED)
             .select("agent_id", "walk_cell", F.round("budget", 6).alias("budget"), "distance"))
+
+
+@query("grf12_hops_per_cell", with_views("cells") + "SELECT cell_id, least(greatest(round_even(0.5::DOUBLE * 3600 / greatest(depth * 40, 1), 0), 1), 8)::INTEGER AS n_micro FROM cells")
+def grf12h(spark, d):
+    return star.cells(spark, d).select("cell_id", lk.edge_length_hops(0.5, 3600.0, F.col("depth") * 40, 8).alias("n_micro"))
+
+
+@query("val11_degree", with_views("edges") + "SELECT src, count(*) AS degree FROM edges GROUP BY 1 HAVING count(*) > 5")
+def val11(spark, d):
+    from driftgrid.operators.checks import degree
+    return degree(star.edges(spark, d), 5)

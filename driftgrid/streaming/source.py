@@ -63,14 +63,19 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(key, old)
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
-    """Drain what is available into a parquet table in the shared folder and return it."""
+def run_to_table(stream: DataFrame, label: str, finished: list | None = None) -> DataFrame:
+    """Drain what is available into a parquet table in the shared folder and return it.
+
+    The finished query is added to the list, for its progress.
+    """
     spark = stream.sparkSession
     out, ckpt = work_path(spark, label), work_path(spark, label + "-state")
     with rocksdb(spark):
         q = (stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
              .option("path", out).option("checkpointLocation", ckpt).start())
         q.awaitTermination()
+    if finished is not None:
+        finished.append(q)
     return spark.read.schema(stream.schema).parquet(out)
 
 

@@ -7,8 +7,8 @@ from driftgrid.operators import steps as st
 from driftgrid.plans import star
 from driftgrid.sources import readers as rd
 from driftgrid.sources import writers as wr
-from driftgrid.streaming import state
-from driftgrid.streaming.source import MARKER, deliver, positions, run_to_table
+from driftgrid.streaming import state, windows
+from driftgrid.streaming.source import MARKER, deliver, hourly_steps, positions, run_to_table
 
 
 def put(path, text):
@@ -121,3 +121,23 @@ def test_sticky_flags_never_fall(spark, sf):
         old = per.get(r["agent_id"], (-1, False, False))
         assert not (old[1] and not r["ever_in"]) and not (old[2] and not r["arrived"]) and (old[0] == -1 or old[0] == r["tag"])
         per[r["agent_id"]] = (r["tag"], r["ever_in"], r["arrived"])
+
+
+def test_late_rows_are_dropped_and_counted(spark, sf):
+    e = star.table(spark, sf, "events")
+    n = e.count()
+    late = F.col("event_id") % 10 == 0
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    path = deliver(spark, [e.filter(~late & (F.col("event_id") < half)), e.filter(~late & (F.col("event_id") >= half)), e.filter(late)])
+    queries = []
+    out = real(run_to_table(state.rolling_mean(positions(spark, path, replay=False, maxFilesPerTrigger="1"), "mass_g"), "late", queries))
+    kept, dropped = out.count(), windows.dropped_rows(queries[0])
+    assert dropped > 0 and kept + dropped == n
+    assert out.filter(late).count() == n - dropped - e.filter(~late).count()
+
+
+def test_hourly_steps_match_the_batch_view(spark, sf, rows):
+    steps = real(run_to_table(hourly_steps(positions(spark, f"{sf}/events.parque[t]")), "steps"))
+    e = star.table(spark, sf, "events").withColumn("hour", star.hour_of("ts").cast("int"))
+    last = e.groupBy("user_id", "hour").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    assert rows(steps, "agent_id", "hour", "event_id") == rows(last)
