@@ -26,6 +26,38 @@ HEADLINE = [
 ]
 
 
+COPIES = 160     # copies of the tracks that make about 15.3 million agent-steps at sf0.1
+
+
+def step_update(spark):
+    """Seconds and agent-steps per millisecond of one full state update over copied tracks.
+
+    Field lookup, behaviour draw, overrides and energy balance for every agent-step.
+    """
+    from pyspark.sql import functions as F
+
+    from driftgrid.catalog.functions import BEHAVIOUR
+    from driftgrid.functions import domain as dom
+    from driftgrid.functions.rand import hash_u
+    from driftgrid.operators import lookups as lk
+    from driftgrid.plans import star
+
+    # The tracks are small before they are copied; spread them so that every core copies a share.
+    t = star.tracks(spark, SF_DIR).repartition(4 * int(CPUS)).withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
+    t = t.withColumn("t", lk.align_time_wrap(F.col("time"), star.FIELD_STEPS))
+    t = lk.sample_field(t, star.field(spark, SF_DIR), ["temperature", "salinity"], ("cell", "t"))
+    temp = F.coalesce(F.nanvl("temperature", F.lit(15.0)), F.lit(15.0))
+    u = hash_u(1, "bench", "run_id", "agent_id", "time")
+    beh = dom.behaviour_overrides(dom.pick_behaviour(temp, F.lit(720) - F.col("time"), u, BEHAVIOUR), F.col("time"), F.lit(0), F.lit(999))
+    act = F.get(F.array(*[F.lit(x) for x in (1.0, 1.2, 0.8, 1.5, 1.0)]), F.col("beh"))
+    cost = dom.salinity_cost(F.coalesce("salinity", F.lit(10.0)))
+    out = t.withColumn("beh", beh).withColumn("e", dom.update_energy(F.col("ed_kJ_g"), F.col("mass_g"), temp, act, cost))
+    t0 = time.perf_counter()
+    n = out.agg(F.count(F.lit(1)), F.sum("e.ed"), F.sum("beh")).first()[0]
+    secs = time.perf_counter() - t0
+    return secs, n, n / (secs * 1000)
+
+
 def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.adaptive.enabled", "true")
@@ -40,8 +72,12 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - t0, 3)
+    extra = {}
+    if not sys.argv[1:]:
+        secs, n, rate = step_update(spark)
+        extra = {"step_update": {"sec": round(secs, 3), "agent_steps": n, "agent_steps_per_ms": round(rate, 1)}}
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
-                      "sf": Path(SF_DIR).name.removeprefix("sf")}))
+                      "sf": Path(SF_DIR).name.removeprefix("sf"), **extra}))
     spark.stop()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftgrid.functions import num
-from driftgrid.functions.rand import cumulative
+from driftgrid.functions.rand import count_le_row, cumulative
 
 # Behaviour codes.
 HOLD, RANDOM, TO_REFUGE, UPSTREAM, DOWNSTREAM = 0, 1, 2, 3, 4
@@ -70,16 +70,15 @@ def pick_behaviour(t3h: Column, hours_to_spawn: Column, u: Column, table,
                    temp_bins=(16.0, 18.0, 20.0), time_bins=(360.0, 720.0)) -> Column:
     """Draw a behaviour from table[time bin][temperature bin][behaviour].
 
-    The table is a bounded parameter and travels as a literal array of cumulative rows.
+    The table is a bounded parameter and travels as literal arrays of cumulative probabilities.
     """
     def bin_of(v, bounds):
         total = F.lit(0)
         for b in bounds:
             total = total + F.when(v >= F.lit(float(b)), 1).otherwise(0)
         return total
-    rows = F.array(*[F.array(*[F.lit(c) for c in cumulative(p)[:-1]]) for plane in table for p in plane])
     idx = bin_of(hours_to_spawn, time_bins) * (len(temp_bins) + 1) + bin_of(t3h, temp_bins)
-    return F.size(F.filter(F.get(rows, idx), lambda c: c <= u)).cast("int")
+    return count_le_row(u, [cumulative(p)[:-1] for plane in table for p in plane], idx).cast("int")
 
 
 def behaviour_overrides(behaviour: Column, steps: Column, refuge_hours: Column, since_refuge: Column,

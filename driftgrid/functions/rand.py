@@ -45,9 +45,24 @@ def poisson(u: Column, mean: float) -> Column:
 
 
 def count_le(u: Column, bounds) -> Column:
-    """Number of bounds <= u, as one array filter inside codegen."""
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= u))
+    """Number of bounds <= u. Short lists stay plain conditions, which compile; long ones use an array."""
+    bounds = [float(b) for b in bounds]
+    if len(bounds) <= 16:
+        total = F.lit(0)
+        for b in bounds:
+            total = total + F.when(u >= F.lit(b), 1).otherwise(0)
+        return total
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= u))
+
+
+def count_le_row(u: Column, table, row: Column) -> Column:
+    """Number of bounds <= u in one row of a literal table, column by column; null off the table."""
+    width = len(table[0])
+    total = F.lit(0)
+    for k in range(width):
+        bound = F.get(F.array(*[F.lit(float(r[k])) for r in table]), row)
+        total = total + F.when(u >= bound, 1).when(bound.isNotNull(), 0)
+    return total
 
 
 def cumulative(probs) -> list[float]:

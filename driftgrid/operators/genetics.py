@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.domain import haldane
-from driftgrid.functions.rand import cumulative, hash_u
+from driftgrid.functions.rand import count_le_row, cumulative, hash_u
 
 
 def random_genotypes(ids: DataFrame, loci, seed: int) -> DataFrame:
@@ -49,11 +49,11 @@ def recombine(children: DataFrame, genotypes: DataFrame, seed: int) -> DataFrame
 
 def mutate(genotypes: DataFrame, name: str, matrix, seed: int, mask=None) -> DataFrame:
     """Redraw both copies of a locus from their matrix rows; adds changed (0..2) per row."""
-    rows = F.array(*[F.array(*[F.lit(c) for c in cumulative(r)[:-1]]) for r in matrix])
+    rows = [cumulative(r)[:-1] for r in matrix]
     here = (F.col("locus") == name) & (F.lit(True) if mask is None else mask)
     def draw(c):
         u = hash_u(seed, f"mutate.{c}", "agent_id", "locus_idx")
-        new = F.size(F.filter(F.get(rows, F.col(c)), lambda x: x <= u)).cast("int")
+        new = count_le_row(u, rows, F.col(c)).cast("int")
         return F.when(here & (F.col(c) < len(matrix)), new).otherwise(F.col(c))
     out = genotypes.withColumns({"__n0": draw("a0"), "__n1": draw("a1")})
     changed = (F.col("__n0") != F.col("a0")).cast("int") + (F.col("__n1") != F.col("a1")).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import cumulative, hash_u
+from driftgrid.functions.rand import count_le_row, cumulative, hash_u
 from driftgrid.operators.filters import resolve_category
 from driftgrid.plans.ordered import previous
 
@@ -40,11 +40,9 @@ def category_name(trait: str, labels) -> Column:
 def markov_transition(df: DataFrame, trait: str, matrix, seed: int, key: str = "agent_id", mask=None) -> DataFrame:
     """Redraw the category from the matrix row of the current one; a category without a row stays.
 
-    The matrix is a bounded parameter, so its cumulative rows travel as a literal array.
+    The matrix is a bounded parameter, so its cumulative rows travel as literals.
     """
-    rows = F.array(*[F.array(*[F.lit(c) for c in cumulative(r)[:-1]]) for r in matrix])
-    u = hash_u(seed, "transition", key)
-    drawn = F.size(F.filter(F.get(rows, F.col(trait)), lambda c: c <= u)).cast("int")
+    drawn = count_le_row(hash_u(seed, "transition", key), [cumulative(r)[:-1] for r in matrix], F.col(trait)).cast("int")
     known = (F.col(trait) >= 0) & (F.col(trait) < len(matrix))
     mask = F.lit(True) if mask is None else mask
     return df.withColumn(trait, F.when(mask & known, drawn).otherwise(F.col(trait)))
