@@ -38,7 +38,7 @@ def step_update(spark):
 
     from driftgrid.catalog.functions import BEHAVIOUR
     from driftgrid.functions import domain as dom
-    from driftgrid.functions.rand import hash_u
+    from driftgrid.operators import energy
     from driftgrid.operators import lookups as lk
     from driftgrid.plans import star
 
@@ -46,14 +46,13 @@ def step_update(spark):
     t = star.tracks(spark, SF_DIR).repartition(4 * int(CPUS)).withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(COPIES))))
     t = t.withColumn("t", lk.align_time_wrap(F.col("time"), star.FIELD_STEPS))
     t = lk.sample_field(t, star.field(spark, SF_DIR), ["temperature", "salinity"], ("cell", "t"))
-    temp = F.coalesce(F.nanvl("temperature", F.lit(15.0)), F.lit(15.0))
-    u = hash_u(1, "bench", "run_id", "agent_id", "time")
-    beh = dom.behaviour_overrides(dom.pick_behaviour(temp, F.lit(720) - F.col("time"), u, BEHAVIOUR), F.col("time"), F.lit(0), F.lit(999))
-    act = F.get(F.array(*[F.lit(x) for x in (1.0, 1.2, 0.8, 1.5, 1.0)]), F.col("beh"))
-    cost = dom.salinity_cost(F.coalesce("salinity", F.lit(10.0)))
-    out = t.withColumn("beh", beh).withColumn("e", dom.update_energy(F.col("ed_kJ_g"), F.col("mass_g"), temp, act, cost))
+    t = t.withColumn("temp", F.coalesce(F.nanvl("temperature", F.lit(15.0)), F.lit(15.0)))
+    t = energy.choose_behaviour(t, F.col("temp"), F.lit(720) - F.col("time"), BEHAVIOUR, 1, keys=("run_id", "agent_id", "time"))
+    t = t.withColumn("behavior", dom.behaviour_overrides(F.col("behavior"), F.col("time"), F.lit(0), F.lit(999)))
+    act = F.get(F.array(*[F.lit(x) for x in (1.0, 1.2, 0.8, 1.5, 1.0)]), F.col("behavior"))
+    out = energy.update_energy(t, F.col("temp"), act, dom.salinity_cost(F.coalesce("salinity", F.lit(10.0))))
     t0 = time.perf_counter()
-    n = out.agg(F.count(F.lit(1)), F.sum("e.ed"), F.sum("beh")).first()[0]
+    n = out.agg(F.count(F.lit(1)), F.sum("new_ed"), F.sum("behavior")).first()[0]
     secs = time.perf_counter() - t0
     return secs, n, n / (secs * 1000)
 

@@ -6,7 +6,7 @@ from driftgrid.catalog.base import query
 from driftgrid.functions import domain as dom
 from driftgrid.functions import num
 from driftgrid.functions.rand import hash_u, normal
-from driftgrid.operators import grid, layers
+from driftgrid.operators import energy, grid, layers
 from driftgrid.plans import star
 from driftgrid.plans.star import SEED, sql_u, with_views
 
@@ -85,8 +85,8 @@ def fn3(spark, d):
   SELECT agent_id, mass_g, e, greatest(e - resp * 1.25::DOUBLE, 0) AS l FROM (
   SELECT agent_id, mass_g, ed_kJ_g * 1000.0::DOUBLE * mass_g AS e, {SQL_RESP} AS resp FROM bio))))""")
 def fn4(spark, d):
-    s = dom.update_energy(F.col("ed_kJ_g"), F.col("mass_g"), F.col("temp"), F.col("act"), F.lit(1.25))
-    return with_bio(spark, d).select("agent_id", s.alias("s")).select("agent_id", r6("s.ed").alias("ed"), r6("s.mass").alias("mass"), "s.dead")
+    out = energy.update_energy(with_bio(spark, d), F.col("temp"), F.col("act"), F.lit(1.25))
+    return out.select("agent_id", r6("new_ed").alias("ed"), r6("new_mass").alias("mass"), "dead")
 
 
 @query("fn5_salinity_cost", with_views("field") + """SELECT cell_id, t, round(1.0::DOUBLE + 0.3::DOUBLE * greatest(s - 10, 0) / 25.0::DOUBLE
@@ -142,8 +142,7 @@ def _sql_behaviour():
 @query("fn9_pick_behaviour", _sql_behaviour())
 def fn9(spark, d):
     temp = F.lit(10.0) + F.col("stage") * 3.5
-    u = hash_u(SEED, "behaviour", "agent_id")
-    return star.agents(spark, d).select("agent_id", dom.pick_behaviour(temp, F.col("steps"), u, BEHAVIOUR).alias("behavior"))
+    return energy.choose_behaviour(star.agents(spark, d), temp, F.col("steps"), BEHAVIOUR, SEED).select("agent_id", "behavior")
 
 
 @query("fn10_behaviour_overrides", A + """SELECT agent_id, CASE WHEN b = 2 AND stage * 5 < 12 THEN 3 ELSE b END AS behavior FROM (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,11 @@ def hash_u(seed: int, stream: str, *keys) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def draw(df: DataFrame, name: str, seed: int, stream: str, *keys) -> DataFrame:
+    """Add the uniform as a column, so that expressions which read it often hash once per row."""
+    return df.withColumn(name, hash_u(seed, stream, *keys))
+
+
 def normal(seed: int, stream: str, *keys) -> Column:
     """Standard normal by Box-Muller on two streams; 1-u keeps the log finite."""
     u1 = hash_u(seed, stream + ".r", *keys)
@@ -45,7 +50,10 @@ def poisson(u: Column, mean: float) -> Column:
 
 
 def count_le(u: Column, bounds) -> Column:
-    """Number of bounds <= u. Short lists stay plain conditions, which compile; long ones use an array."""
+    """Number of bounds <= u. Short lists stay plain conditions, which compile; long ones use an array.
+
+    u is read once per bound, so pass a column that already holds the draw (see draw).
+    """
     bounds = [float(b) for b in bounds]
     if len(bounds) <= 16:
         total = F.lit(0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.domain import daily_to_hourly
-from driftgrid.functions.rand import categorical, hash_u, normal, poisson
+from driftgrid.functions.rand import categorical, count_le, draw, hash_u, normal, poisson
 from driftgrid.operators.filters import active_mask
 from driftgrid.plans.ordered import ranked, running
 
@@ -45,7 +45,8 @@ def spawners(parents: DataFrame, clutch_mean: float, min_group: int, skip_p: flo
         big = able.groupBy("group_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_group)
         able = able.join(big.select("group_id"), "group_id", "left_semi")
     skip = (F.col("origin") == reared) & (hash_u(seed, "skip", "agent_id") < skip_p)
-    return able.filter(~skip).withColumn("clutch", poisson(hash_u(seed, "clutch", "agent_id"), clutch_mean))
+    able = draw(able.filter(~skip), "__u", seed, "clutch", "agent_id")
+    return able.withColumn("clutch", poisson(F.col("__u"), clutch_mean)).drop("__u")
 
 
 def reproduce(parents: DataFrame, clutch_mean: float = 4.0, min_group: int = 1, skip_p: float = 0.0, seed: int = 0,
@@ -129,8 +130,8 @@ def introduce_patch(cells: DataFrame, layer: str) -> DataFrame:
 def sample_category(df: DataFrame, name: str, dist: dict, seed: int, stream: str, key: str = "agent_id") -> DataFrame:
     """Draw from {value: probability}, values ascending."""
     values = sorted(dist)
-    idx = categorical(hash_u(seed, stream, key), [dist[v] for v in values])
-    return df.withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), idx))
+    idx = categorical(F.col("__u"), [dist[v] for v in values])
+    return draw(df, "__u", seed, stream, key).withColumn(name, F.get(F.array(*[F.lit(v) for v in values]), idx)).drop("__u")
 
 
 def init_agents(ids: DataFrame, cells: DataFrame, seed: int) -> DataFrame:
@@ -161,14 +162,13 @@ def homing_draw(touch: DataFrame, cells: DataFrame, edges: DataFrame, fractions:
             acc += x
             cum.append(acc)
         return order, cum
-    u = hash_u(seed, "homing", "agent_id")
     drawn = F.lit(None).cast("int")
     for natal in branches:
         for org, p in precision.items():
             order, cum = row(natal, p)
-            pick = F.get(F.array(*[F.lit(b) for b in order]), F.size(F.filter(F.array(*[F.lit(c) for c in cum]), lambda c: c <= u)))
+            pick = F.get(F.array(*[F.lit(b) for b in order]), count_le(F.col("__u"), cum))
             drawn = F.when((F.col("natal") == natal) & (F.col("origin") == org), pick).otherwise(drawn)
-    tagged = touch.withColumn("exit_branch", F.coalesce(drawn, F.col("region_id")).cast("int"))
+    tagged = draw(touch, "__u", seed, "homing", "agent_id").withColumn("exit_branch", F.coalesce(drawn, F.col("region_id")).cast("int"))
     entry = entry_cells(cells, edges).select(F.col("region_id").alias("exit_branch"), "entry")
     moved = F.when(F.col("exit_branch") != F.col("region_id"), F.col("entry")).otherwise(F.col("cell"))
     return tagged.join(entry, "exit_branch", "left").select(*touch.columns, "exit_branch", moved.alias("new_cell"))
@@ -180,7 +180,7 @@ def disperse_seeds(producers: DataFrame, adj: DataFrame, layer: DataFrame, resou
                    threshold: float, seed: int) -> DataFrame:
     """Poisson seeds, radius rounds of a coin and a random hop, kept where the resource suffices."""
     from driftgrid.operators.neighbours import pick_slot
-    seeds = (producers.withColumn("__n", poisson(hash_u(seed, "seeds", "agent_id"), rate)).filter("__n > 0")
+    seeds = (draw(producers, "__u", seed, "seeds", "agent_id").withColumn("__n", poisson(F.col("__u"), rate)).filter("__n > 0")
              .select(F.col("agent_id").alias("parent_id"), "cell", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("seed_no")))
     for h in range(radius):
         hop = pick_slot(F.col("nbrs"), hash_u(seed, f"seed.hop.{h}", "parent_id", "seed_no"))

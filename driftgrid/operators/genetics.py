@@ -51,11 +51,11 @@ def mutate(genotypes: DataFrame, name: str, matrix, seed: int, mask=None) -> Dat
     """Redraw both copies of a locus from their matrix rows; adds changed (0..2) per row."""
     rows = [cumulative(r)[:-1] for r in matrix]
     here = (F.col("locus") == name) & (F.lit(True) if mask is None else mask)
-    def draw(c):
-        u = hash_u(seed, f"mutate.{c}", "agent_id", "locus_idx")
-        new = count_le_row(u, rows, F.col(c)).cast("int")
+    def redraw(c):
+        new = count_le_row(F.col(f"__u_{c}"), rows, F.col(c)).cast("int")
         return F.when(here & (F.col(c) < len(matrix)), new).otherwise(F.col(c))
-    out = genotypes.withColumns({"__n0": draw("a0"), "__n1": draw("a1")})
+    out = genotypes.withColumns({f"__u_{c}": hash_u(seed, f"mutate.{c}", "agent_id", "locus_idx") for c in ("a0", "a1")})
+    out = out.withColumns({"__n0": redraw("a0"), "__n1": redraw("a1")})
     changed = (F.col("__n0") != F.col("a0")).cast("int") + (F.col("__n1") != F.col("a1")).cast("int")
     return (out.withColumn("changed", changed).withColumns({"a0": F.col("__n0"), "a1": F.col("__n1")})
-            .drop("__n0", "__n1"))
+            .drop("__n0", "__n1", "__u_a0", "__u_a1"))

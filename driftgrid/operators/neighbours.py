@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import draw, hash_u
 from driftgrid.plans.lineage import cut
 
 
@@ -123,7 +123,8 @@ def barrier_outcome(moves: DataFrame, edge_probs: DataFrame, seed: int, key: str
     """
     p = edge_probs.select(F.col("src").alias("cell"), F.col("dst").alias("new_cell"), "p_mort", "p_defl")
     out = moves.join(p, ["cell", "new_cell"], "left")
-    moved, u = F.col("cell") != F.col("new_cell"), hash_u(seed, "barrier", key)
+    out = draw(out, "__u", seed, "barrier", key)
+    moved, u = F.col("cell") != F.col("new_cell"), F.col("__u")
     state = (F.when(moved & (u < F.col("p_mort")), F.lit("died"))
              .when(moved & (u < F.col("p_mort") + F.col("p_defl")), F.lit("deflected")).otherwise(F.lit("passed")))
     out = out.withColumn("outcome", state)

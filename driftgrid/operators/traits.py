@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import count_le_row, cumulative, hash_u
+from driftgrid.functions.rand import count_le_row, cumulative, draw
 from driftgrid.operators.filters import resolve_category
 from driftgrid.plans.ordered import previous
 
@@ -42,10 +42,11 @@ def markov_transition(df: DataFrame, trait: str, matrix, seed: int, key: str = "
 
     The matrix is a bounded parameter, so its cumulative rows travel as literals.
     """
-    drawn = count_le_row(hash_u(seed, "transition", key), [cumulative(r)[:-1] for r in matrix], F.col(trait)).cast("int")
+    drawn = count_le_row(F.col("__u"), [cumulative(r)[:-1] for r in matrix], F.col(trait)).cast("int")
     known = (F.col(trait) >= 0) & (F.col(trait) < len(matrix))
     mask = F.lit(True) if mask is None else mask
-    return df.withColumn(trait, F.when(mask & known, drawn).otherwise(F.col(trait)))
+    out = draw(df, "__u", seed, "transition", key)
+    return out.withColumn(trait, F.when(mask & known, drawn).otherwise(F.col(trait))).drop("__u")
 
 
 def transition_counts(df: DataFrame, trait: str, key: str = "agent_id", t: str = "time") -> DataFrame:
