@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from driftgrid.catalog.base import query
-from driftgrid.functions.rand import hash_u
 from driftgrid.operators import reports as rep
 from driftgrid.plans import star
 from driftgrid.plans.star import REGIONS, SEED, sql_u, with_views
