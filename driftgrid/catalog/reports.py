@@ -16,14 +16,14 @@ def r(c, n=6):
 
 
 SQL_SUMMARY = """SELECT {keys}count(*) FILTER (alive) AS n_alive, count(*) FILTER (arrived) AS n_arrived,
-  round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 12) AS mean_ed, round(coalesce(avg(mass_g) FILTER (alive), 0), 10) AS mean_mass,
+  round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 9) AS mean_ed, round(coalesce(avg(mass_g) FILTER (alive), 0), 7) AS mean_mass,
   """ + ", ".join(f"count(*) FILTER (alive AND behavior = {b}) AS behavior_{b}" for b in range(5)) + " FROM tracks"
 
 
 @query("agg1_step_summary", T + SQL_SUMMARY.format(keys='"time", ') + ' GROUP BY "time"')
 def agg1(spark, d):
     out = rep.step_summary(star.tracks(spark, d))
-    return out.withColumns({"mean_ed": F.round("mean_ed", 12), "mean_mass": F.round("mean_mass", 10)})
+    return out.withColumns({"mean_ed": F.round("mean_ed", 9), "mean_mass": F.round("mean_mass", 7)})
 
 
 @query("agg2_productivity", with_views("runs") + """SELECT run_id, step, size, round_even(CASE WHEN p IS NULL THEN (size > 0)::INT WHEN p = 0 THEN 0 ELSE size / p END, 4)::DOUBLE AS lambda
@@ -33,10 +33,10 @@ def agg2(spark, d):
 
 
 @query("agg3_demographics", T + """SELECT "time", count(*) FILTER (alive) AS n_alive, count(*) FILTER (NOT alive) AS n_dead, count(*) AS n_total,
-  round(coalesce(avg(mass_g) FILTER (alive), 0), 10) AS mean_mass, round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 12) AS mean_ed FROM tracks GROUP BY 1""")
+  round(coalesce(avg(mass_g) FILTER (alive), 0), 7) AS mean_mass, round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 9) AS mean_ed FROM tracks GROUP BY 1""")
 def agg3(spark, d):
     out = rep.demographics(star.tracks(spark, d))
-    return out.withColumns({"mean_ed": F.round("mean_ed", 12), "mean_mass": F.round("mean_mass", 10)})
+    return out.withColumns({"mean_ed": F.round("mean_ed", 9), "mean_mass": F.round("mean_mass", 7)})
 
 
 @query("agg4_census", T + """SELECT "time", n_alive, n_dead, n_total, category, coalesce(n, 0) AS n FROM
@@ -166,7 +166,7 @@ def udf3(spark, d):
     """One job over every replicate: the run id is a grouping key."""
     t = star.tracks(spark, d).withColumnRenamed("origin", "run_id")
     out = rep.step_summary(t, keys=("run_id", "time"))
-    return out.withColumns({"mean_ed": F.round("mean_ed", 12), "mean_mass": F.round("mean_mass", 10)})
+    return out.withColumns({"mean_ed": F.round("mean_ed", 9), "mean_mass": F.round("mean_mass", 7)})
 
 
 @query("gen6_bernoulli", with_views("agents") + f"""SELECT agent_id, {sql_u('release', 'agent_id')} < 0.2::DOUBLE AS released,

@@ -35,11 +35,11 @@ def real(df):
     return df.filter(F.col("agent_id") != MARKER)
 
 
-@query("str1_step_summary", P + "SELECT hour, count(*) FILTER (alive) AS n_alive, count(*) FILTER (arrived) AS n_arrived, round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 12) AS mean_ed, " +
+@query("str1_step_summary", P + "SELECT hour, count(*) FILTER (alive) AS n_alive, count(*) FILTER (arrived) AS n_arrived, round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 9) AS mean_ed, " +
        ", ".join(f"count(*) FILTER (alive AND behavior = {b}) AS behavior_{b}" for b in range(5)) + " FROM positions GROUP BY 1")
 def str1(spark, d):
     out = run_to_table(windows.step_summaries(stream(spark, d)), "summary")
-    return out.select(hour_of("start").cast("int").alias("hour"), "n_alive", "n_arrived", F.round("mean_ed", 12).alias("mean_ed"), *[f"behavior_{b}" for b in range(5)])
+    return out.select(hour_of("start").cast("int").alias("hour"), "n_alive", "n_arrived", F.round("mean_ed", 9).alias("mean_ed"), *[f"behavior_{b}" for b in range(5)])
 
 
 @query("str2_rolling_mean", S + """, act AS (SELECT event_id, (mass_g + coalesce(lag(mass_g) OVER v, 15.0) + coalesce(lag(mass_g, 2) OVER v, 15.0)) / 3.0 AS m
