@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         cut = live.withColumns({"head": F.substring(raw, at + 1, width), "ended": F.length(raw) <= at + width})
         heads = stored(cut.groupBy("group", "ended", "head").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
                        .select("group", "ended", "head", F.monotonically_increasing_id().alias("next")), "radix-heads")
-        out = cut.join(heads, ["group", "ended", "head"], "left")
+        out = cut.join(heads.hint("merge"), ["group", "ended", "head"], "left")
         going = F.col("next").isNotNull() & ~F.col("ended")
         out = stored(out.select(*[F.col(c) for c in names if c not in ("group", "text")], F.col("next").alias("group"), "ended",
                                 *([] if carry else [F.when(going, F.col("text")).alias("text")])), "radix-rows")
@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     rank = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("none"), "id", "rid")
     best = stored(members.groupBy("level", "group").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
                   .select("level", "group", "group_size", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("keep_rid")), "radix-best")
-    shared = members.join(best, ["level", "group"]).select(
+    shared = members.join(best.hint("merge"), ["level", "group"]).select(
         F.col("id").alias(key), "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), *more)
     return alone.unionByName(shared)
