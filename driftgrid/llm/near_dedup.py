@@ -164,9 +164,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nodes = rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = nodes.select("node", "n", F.xxhash64("node").alias("turn"), F.explode("bands").alias("bucket"))
     several = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"), "near-buckets")
-    entries = stored(entries.join(several, "bucket"), "near-entries")
+    entries = stored(entries.join(several.hint("merge"), "bucket"), "near-entries")
     words = stored(source.select("text").mapInPandas(_words, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words"))
-                   .join(entries.select("node").distinct(), "node"), "near-words")
+                   .join(entries.select("node").distinct().hint("merge"), "node"), "near-words")
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -179,10 +179,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         first = live if last is None else live.join(last, "bucket").filter("turn > done or (turn = done and node > lead_done)")
         lead = stored(first.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n", "comp")).alias("m"))
                       .select("bucket", F.col("m.turn").alias("done"), F.col("m.node").alias("lead_done"), F.col("m.n").alias("lead_n"), F.col("m.comp").alias("lead_comp")), "near-leaders")
-        pairs = (live.join(lead, "bucket").filter((F.col("comp") != F.col("lead_comp")) & (F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n")))
+        pairs = (live.join(lead.hint("merge"), "bucket").filter((F.col("comp") != F.col("lead_comp")) & (F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n")))
                  .select("node", F.col("lead_done").alias("lead")).distinct())
         a, b = words.select("node", F.col("words").alias("a")), words.select(F.col("node").alias("lead"), F.col("words").alias("b"))
-        found = stored(pairs.join(a, "node").join(b, "lead").filter(similarity("a", "b") >= similar).select(F.col("node").alias("u"), F.col("lead").alias("v")), "near-links")
+        found = stored(pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "lead").filter(similarity("a", "b") >= similar).select(F.col("node").alias("u"), F.col("lead").alias("v")), "near-links")
         fresh = not found.isEmpty()
         quiet = 0 if fresh else quiet + 1
         if fresh:

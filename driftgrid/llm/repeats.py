@@ -232,18 +232,18 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, Data
     found = stored(texts.filter(F.octet_length("text") >= length).mapInPandas(_anchors(length), "d1 long, d2 long, pos long, a long, b long"), "repeat-anchors")
     place = F.xxhash64("d1", "d2", "pos")
     again = stored(found.groupBy("a").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("a"), "repeat-again")
-    found = stored(found.join(again, "a"), "repeat-found")
+    found = stored(found.join(again.hint("merge"), "a"), "repeat-found")
     several = stored(found.groupBy("a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("d1", "d2", "pos")).alias("at"))
                      .select("a", "b", (F.col("lo") != F.col("hi")).alias("full"), "at.*"), "repeat-contexts")
     reach = length - GRAM
-    whole = found.join(several.filter("full").select("a", "b"), ["a", "b"]).select(
+    whole = found.join(several.filter("full").select("a", "b").hint("merge"), ["a", "b"]).select(
         "d1", "d2", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), F.least(F.col("pos") + length, F.shiftright("d2", 32)).alias("stop")).filter(F.col("stop") - F.col("start") >= length)
 
     open_ = several.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("full")).alias("some")).filter("n > 1 and some").select("a")
-    wanted = several.join(open_, "a").groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "pos", "full")).alias("places"))
+    wanted = several.join(open_.hint("merge"), "a").groupBy("d1", "d2").agg(F.collect_list(F.struct("a", "pos", "full")).alias("places"))
     wanted = stored(wanted, "repeat-wanted")
     blobs = _packed(texts.filter(F.octet_length("text") >= length)).groupBy("d1", "d2").agg(F.first("blob").alias("blob"))
-    context = stored(blobs.join(wanted, ["d1", "d2"]).select("d1", "d2", "blob", "places").mapInPandas(
+    context = stored(blobs.join(wanted.hint("merge"), ["d1", "d2"]).select("d1", "d2", "blob", "places").mapInPandas(
         _contexts(length), "a long, d1 long, d2 long, pos long, full boolean, left binary, right binary"), "repeat-bytes")
     reached = sorted_reach(context, "right", "r")
     reached = sorted_reach(reached, "left", "l").filter(F.col("l") + F.col("r") >= length)
@@ -286,7 +286,7 @@ def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", tex
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     rows = rows.select(*_key(), *rows.columns)
     spans, copies = repeated_spans(rows.select("d1", "d2", "text"), length)
-    side = stored(copies.join(spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), ["d1", "d2"], "left"), "repeat-spans")
+    side = stored(copies.join(spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge"), ["d1", "d2"], "left"), "repeat-spans")
 
     def cut(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -303,7 +303,7 @@ def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", tex
     udf = F.pandas_udf(cut, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     if carry:
         rows = rows.withColumn("row", F.col("row").withField(text, F.lit(None).cast("string")))
-    out = _packed(rows).join(side, ["d1", "d2"], "left").withColumn("c", udf("blob", "spans", "copies"))
+    out = _packed(rows).join(side.hint("merge"), ["d1", "d2"], "left").withColumn("c", udf("blob", "spans", "copies"))
     return out.select(F.col("key").alias(key), "c.*", *(["row"] if carry else []))
 
 
