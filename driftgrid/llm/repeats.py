@@ -108,39 +108,49 @@ def lcp_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def maximal_repeats(places: list[tuple[bytes, bytes]], least: int) -> Iterator[tuple[int, int, list[int]]]:
+def maximal_repeats(places: list[tuple[bytes, bytes]], least: int) -> Iterator[tuple[int, int, np.ndarray]]:
     """Maximal repeats through one anchor: (left reach, right reach, all places), left + right >= least.
 
     places: (bytes before the anchor reversed, bytes from the anchor on). The suffixes from the anchor on are
     sorted into an enhanced suffix array; each interval of its LCP tree is a string that its places share
     to the right. Within an interval the left extensions are sorted the same way: an interval of theirs is
-    shared to the left as well, and its left end is maximal since its extensions differ there. A
-    pair is reported at every right depth that leaves a longer left reach than the deeper intervals did.
+    shared to the left as well, and its left end is maximal since its extensions differ there. Intervals run
+    from deep to shallow; a repeat whose places all lie in longer repeats to both sides is left out.
     """
-    order = sorted(range(len(places)), key=lambda i: places[i][1])
+    order = np.array(sorted(range(len(places)), key=lambda i: places[i][1]))
     lcp = [common_prefix(places[a][1], places[b][1]) for a, b in zip(order, order[1:], strict=False)]
+    by_left = np.argsort(np.array(sorted(range(len(places)), key=lambda i: places[i][0])))      # rank of each place by left bytes
+    size = np.array([len(p[0]) for p in places])
+    best_left, best_right = np.full(len(places), -1), np.full(len(places), -1)
     for right, first, last in lcp_intervals(lcp):
-        if right + max(len(places[i][0]) for i in order[first:last + 1]) < least:
+        inside = order[first:last + 1]
+        if right + size[inside].max() < least:
             continue
-        inside = sorted(order[first:last + 1], key=lambda i: places[i][0])
+        inside = inside[np.argsort(by_left[inside])]
         left = [common_prefix(places[a][0], places[b][0]) for a, b in zip(inside, inside[1:], strict=False)]
         for reach, a, b in lcp_intervals(left):
-            if reach + right >= least:
-                yield reach, right, inside[a:b + 1]
+            who = inside[a:b + 1]
+            if reach + right >= least and ((best_left[who] < reach) | (best_right[who] < right)).any():
+                best_left[who], best_right[who] = np.maximum(best_left[who], reach), np.maximum(best_right[who], right)
+                yield reach, right, who
 
 
-def sorted_reach(rows: DataFrame, side: str, name: str) -> DataFrame:
-    """rows with `name`: how many bytes of column `side` each row shares at most with any other row of its anchor.
+def sorted_reach(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """rows with `name`, how many bytes of column `side` each row shares at most with any other row of its anchor,
+    and `name`_with, how many bytes of `other` it shares with the neighbour that shares so many.
 
     A distributed suffix sort: rows are range-partitioned and sorted by (anchor, bytes), so an anchor of any
     size spreads over tasks, and the longest common prefix is with a neighbour. The two end rows of a
     task meet their neighbours of the next task on the driver: two rows per task.
     """
-    cols = ["a", side, "d1", "d2", "pos"]
+    cols = ["a", side, other, "d1", "d2", "pos"]
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartitionByRange(parts, *cols).sortWithinPartitions(*cols).withColumn("part", F.spark_partition_id())
     names = ordered.columns
-    schema = StructType([*ordered.schema.fields, StructField("reach", LongType()), StructField("edge", IntegerType())])
+    schema = StructType([*ordered.schema.fields, StructField("best", LongType()), StructField("edge", IntegerType())])
+
+    def shared(a1: int, s1: bytes, o1: bytes, a2: int, s2: bytes, o2: bytes) -> int:
+        return common_prefix(s1, s2) << 32 | common_prefix(o1, o2) if a1 == a2 else 0
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, mark, before = None, 1, 0            # the last row so far waits for its next neighbour; mark 1: first of the task
@@ -148,27 +158,28 @@ def sorted_reach(rows: DataFrame, side: str, name: str) -> DataFrame:
             if not len(f):
                 continue
             f = f if held is None else pd.concat([held, f], ignore_index=True)
-            a, s = f["a"].tolist(), f[side].tolist()
-            lcp = [common_prefix(s[i], s[i + 1]) if a[i] == a[i + 1] else 0 for i in range(len(f) - 1)]
+            keys = list(zip(f["a"], f[side], f[other], strict=True))
+            link = [shared(*x, *y) for x, y in zip(keys, keys[1:], strict=False)]
             edge = np.zeros(len(f), dtype=np.int32)
             edge[0] = mark
-            ready = f.assign(reach=np.maximum([before, *lcp], [*lcp, 0]), edge=edge)
-            held, mark, before = f.iloc[-1:][names], int(edge[-1]), (lcp[-1] if lcp else before)
+            ready = f.assign(best=np.maximum([before, *link], [*link, 0]), edge=edge)
+            held, mark, before = f.iloc[-1:][names], int(edge[-1]), (link[-1] if link else before)
             if len(f) > 1:
                 yield ready.iloc[:-1]
         if held is not None:
-            yield held.assign(reach=before, edge=mark | 2)
+            yield held.assign(best=before, edge=mark | 2)
 
-    out = stored(ordered.mapInPandas(scan, schema), "reach")
-    ends = sorted(out.filter("edge > 0").select("part", "edge", "a", side).collect(), key=lambda r: (r["part"], r["edge"]))
+    out = stored(ordered.mapInPandas(scan, schema), "repeat-reach")
+    ends = sorted(out.filter("edge > 0").select("part", "edge", "a", side, other).collect(), key=lambda r: (r["part"], r["edge"]))
     patch = [(-1, -1, 0)]
     for x, y in zip(ends, ends[1:], strict=False):
-        if x["part"] != y["part"] and x["a"] == y["a"]:
-            n = common_prefix(bytes(x[side]), bytes(y[side]))
+        if x["part"] != y["part"]:
+            n = shared(x["a"], bytes(x[side]), bytes(x[other]), y["a"], bytes(y[side]), bytes(y[other]))
             patch += [(x["part"], x["edge"], n), (y["part"], y["edge"], n)]
     more = rows.sparkSession.createDataFrame(patch, "part int, edge int, more long").groupBy("part", "edge").agg(F.max("more").alias("more"))
+    best = F.greatest("best", F.coalesce("more", F.lit(0)))
     return (out.join(F.broadcast(more), ["part", "edge"], "left")           # two rows per task at most
-            .withColumn(name, F.greatest("reach", F.coalesce("more", F.lit(0)))).drop("part", "edge", "reach", "more"))
+            .withColumns({name: F.shiftright(best, 32), f"{name}_with": best.bitwiseAND(F.lit((1 << 32) - 1))}).drop("part", "edge", "best", "more"))
 
 
 def _key(text: str = "text"):
@@ -214,12 +225,15 @@ def _contexts(length: int):
 def _groups(length: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             for places in f["places"]:
+                reach = np.zeros((2, len(places)), dtype=np.int64)      # all repeats of a place hold its anchor: their union is one span
                 for left, right, who in maximal_repeats([(p["left"], p["right"]) for p in places], length):
-                    mark = hashlib.blake2b(places[who[0]]["left"][:left][::-1] + places[who[0]]["right"][:right], digest_size=16).digest()
-                    out += [(places[i]["d1"], places[i]["d2"], places[i]["pos"] - left, places[i]["pos"] + right, mark) for i in who]
-            yield pd.DataFrame(out, columns=["d1", "d2", "start", "stop", "mark"])
+                    reach[0, who], reach[1, who] = np.maximum(reach[0, who], left), np.maximum(reach[1, who], right)
+                hit = np.flatnonzero(reach.sum(axis=0) >= length)
+                if len(hit):
+                    pos = np.array([places[i]["pos"] for i in hit], dtype=np.int64)
+                    yield pd.DataFrame({"d1": np.array([places[i]["d1"] for i in hit], dtype=np.int64), "d2": np.array([places[i]["d2"] for i in hit], dtype=np.int64),
+                                        "start": pos - reach[0, hit], "stop": pos + reach[1, hit]})
     return run
 
 
@@ -245,16 +259,21 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, Data
     blobs = _packed(texts.filter(F.octet_length("text") >= length)).groupBy("d1", "d2").agg(F.first("blob").alias("blob"))
     context = stored(blobs.join(wanted.hint("merge"), ["d1", "d2"]).select("d1", "d2", "blob", "places").mapInPandas(
         _contexts(length), "a long, d1 long, d2 long, pos long, full boolean, left binary, right binary"), "repeat-bytes")
-    reached = sorted_reach(context, "right", "r")
-    reached = sorted_reach(reached, "left", "l").filter(F.col("l") + F.col("r") >= length)
-    cut = stored(reached.select("a", "d1", "d2", "pos", "full", F.expr("substring(left, 1, int(l))").alias("left"), F.expr("substring(right, 1, int(r))").alias("right")), "repeat-cut")
-    same = stored(cut.groupBy("a", "left", "right").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d1", "d2", "pos", "full")).alias("at"))
-                  .select("a", "left", "right", "n", "at.*"), "repeat-same")
-    shared = cut.join(same.filter("n > 1").select("a", "left", "right"), ["a", "left", "right"])
-    shared = shared.select("d1", "d2", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
-    groups = same.groupBy("a").agg(F.collect_list(F.struct("d1", "d2", "pos", "left", "right")).alias("places"), F.max((F.col("n") == 1) & ~F.col("full")).alias("some"))
-    single = groups.filter(F.col("some") & (F.size("places") > 1)).select("places").mapInPandas(_groups(length), "d1 long, d2 long, start long, stop long, mark binary")
-    spans = reduce(DataFrame.unionByName, [whole, shared, single.drop("mark")])
+    reached = sorted_reach(context, "right", "left", "r")
+    reached = sorted_reach(reached, "left", "right", "l").filter(F.col("l") + F.col("r") >= length)
+    met = (F.col("r") + F.col("r_with") >= length) & (F.col("l") + F.col("l_with") >= length)        # both bounds are reached by repeats
+    cut = stored(reached.select("a", "d1", "d2", "pos", (met | F.col("full")).alias("met"), F.expr("substring(left, 1, int(l))").alias("left"),
+                                F.expr("substring(right, 1, int(r))").alias("right")), "repeat-cut")
+    shared = cut.filter("met").select("d1", "d2", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
+    rest = cut.filter("not met").select("a").distinct()
+    same = (cut.join(rest.hint("merge"), "a").groupBy("a", "left", "right").agg(F.min(F.struct("d1", "d2", "pos", "met")).alias("at"), F.count(F.lit(1)).alias("n"))
+            .select("a", "left", "right", "n", "at.*"))
+    same = stored(same, "repeat-same")
+    twins = cut.filter("not met").join(same.filter("n > 1").select("a", "left", "right").hint("merge"), ["a", "left", "right"])
+    twins = twins.select("d1", "d2", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
+    groups = same.groupBy("a").agg(F.collect_list(F.struct("d1", "d2", "pos", "left", "right")).alias("places"), F.max((F.col("n") == 1) & ~F.col("met")).alias("some"))
+    single = groups.filter(F.col("some") & (F.size("places") > 1)).select("places").mapInPandas(_groups(length), "d1 long, d2 long, start long, stop long")
+    spans = reduce(DataFrame.unionByName, [whole, shared, twins, single])
     copies = texts.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"))
     return spans.groupBy("d1", "d2", "start").agg(F.max("stop").alias("stop")), copies
 
