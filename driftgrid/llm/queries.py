@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from driftgrid.llm import exact_dedup, language, near_dedup, packing, pivot_search, quality, repeats, sharding, toxicity, word_bpe
 from driftgrid.llm.common import table
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 
 def op1_pivot_search(spark, sf_dir):
     return pivot_search.search(table(spark, sf_dir, "embeddings"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -12,17 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.llm.common import chunks
-from driftgrid.llm.tokens import LATIN, MEMO
+from driftgrid.llm.tokens import LATIN, MEMO, byte_letters
 
 END = "</w>"
-# The bytes that stand for themselves in byte-level vocabularies; the others follow from 256 on.
-PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-
-
-def byte_letters() -> dict[int, str]:
-    rest = [b for b in range(256) if b not in PLAIN]
-    return {**{b: chr(b) for b in PLAIN}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
-
 
 class TrieCoder:
     """Encodes sets of distinct words by depth-first traversal of their trie.
@@ -128,6 +121,7 @@ class WordTokens:
     WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\\s{LATIN}0-9]+")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library, self.coder = Tokenizer.from_file(path), TrieCoder(path)
         self.special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items()]
