@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.llm.common import stored
 
-QUERY_BLOCK = 8_192
+QUERY_BLOCK, SEEDS = 8_192, 2_048
 
 
 def _matrix(blobs: pd.Series, dims: int) -> np.ndarray:
@@ -55,25 +55,47 @@ def pivot_table(vectors: DataFrame, pivots: int, key: str = "vec_id", vector: st
     return stored(first.mapInPandas(measure, "vec_id long, q binary, to_pivots binary"), "pivot-table"), corners
 
 
-def _best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, order: np.ndarray, bound: np.ndarray, have: list, k: int) -> list:
-    """have, merged with the candidates whose bound can still reach the k-th score; order runs by falling bound."""
-    step, at = 64, 0
-    while at < len(order):
-        if len(have) == k and bound[order[at]] < have[-1][0]:
-            break
-        part = order[at:at + step]
-        have = sorted(have + [(int(s), int(i)) for s, i in zip(c[part] @ q, ids[part], strict=True) if i != own], key=lambda x: (-x[0], x[1]))[:k]
-        at, step = at + step, step * 2
+def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact integer inner products; by floating point where every partial sum is below 2^52."""
+    if c.size and float(np.abs(c).max()) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2.0 ** 52:
+        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    return c @ q
+
+
+def _best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, bound: np.ndarray, floor: float, have: list, k: int) -> list:
+    """have, merged with the candidates whose bound can still reach the k-th score, taken by falling bound."""
+    at = np.flatnonzero(bound >= (max(floor, have[-1][0]) if len(have) == k else floor))
+    at = at[np.argsort(-bound[at], kind="stable")]
+    step, i = 64, 0
+    while i < len(at) and not (len(have) == k and bound[at[i]] < have[-1][0]):
+        part = at[i:i + step]
+        s = _scores(c[part], q)
+        if len(have) == k:
+            part, s = part[s >= have[-1][0]], s[s >= have[-1][0]]
+        have = sorted(have + [(int(x), int(j)) for x, j in zip(s, ids[part], strict=True) if j != own], key=lambda x: (-x[0], x[1]))[:k]
+        i, step = i + step, step * 2
     return have
 
 
+def _floors(q: np.ndarray, own: np.ndarray, seeds: list, k: int) -> np.ndarray:
+    """For each query its k-th best score among the seed rows, which the true k-th score can't be under."""
+    out = np.full(len(q), -np.inf)
+    ids = np.array([r["vec_id"] for r in seeds], dtype=np.int64)
+    c = _matrix(pd.Series([bytes(r["q"]) for r in seeds], dtype=object), q.shape[1])
+    for i in range(len(q)):
+        s = np.sort(_scores(c, q[i])[ids != own[i]])
+        out[i] = s[-k] if len(s) >= k else -np.inf
+    return out
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query.
 
     Queries are the rows whose key is divisible by `every`; candidates all rows but those with the query's own
     key. By the triangle inequality |d(q, p) - d(c, p)| bounds the distance of q and c from below; the
     largest over all pivots bounds the inner product (|q|^2 + |c|^2 - d^2) / 2 from above. Candidates
-    are evaluated by falling bound until the bound is under the k-th score; equal scores go to the smaller
+    are evaluated by falling bound until the bound is under the k-th score (from the start, under the k-th
+    among 2,048 seed rows); equal scores go to the smaller
     vec_id, so a bound that equals the k-th score is still evaluated. Scores are exact 64-bit integers.
 
     Queries go to the tasks in blocks of at most 8,192 rows; a task returns k rows per query. Rows without
@@ -82,6 +104,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, ke
     empty table gives an empty result.
     """
     table, corners = pivot_table(vectors, pivots, key, vector)
+    seeds = table.orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(SEEDS).collect()
     dims, spark = corners.shape[1], vectors.sparkSession
     queries = stored(table.filter(F.col("vec_id") % every == 0).withColumn("turn", F.monotonically_increasing_id()), "pivot-queries")
     n = queries.count()
@@ -94,23 +117,24 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, ke
         own = np.array([r["vec_id"] for r in rows], dtype=np.int64)
         q = _matrix(pd.Series([bytes(r["q"]) for r in rows], dtype=object), dims)
         dq = np.array([np.frombuffer(r["to_pivots"]) for r in rows]).reshape(len(rows), len(corners))
-        sent = spark.sparkContext.broadcast((turn, own, q, dq))
+        sent = spark.sparkContext.broadcast((turn, own, q, dq, _floors(q, own, seeds, k)))
 
         def nearest(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            turn, own, q, dq = sent.value
+            turn, own, q, dq, floor = sent.value
             have: list[list] = [[] for _ in own]
             q2 = (q * q).sum(1)
             for f in frames:
                 if not len(f):
                     continue
                 c, ids = _matrix(f["q"], dims), f["vec_id"].to_numpy()
-                dc = np.array([np.frombuffer(x) for x in f["to_pivots"]])
+                dc = np.ascontiguousarray(np.array([np.frombuffer(x) for x in f["to_pivots"]]).T)
                 c2 = (c * c).sum(1)
                 for i in range(len(own)):
-                    low = np.abs(dc - dq[i]).max(axis=1)
+                    low = np.zeros(len(c))
+                    for p in range(len(dc)):
+                        np.maximum(low, np.abs(dc[p] - dq[i, p]), out=low)
                     low = np.maximum(low - 1e-6 * (1 + low), 0)              # rounding of the distances
-                    bound = (q2[i] + c2 - low * low) / 2 + 1
-                    have[i] = _best(q[i], own[i], c, ids, np.argsort(-bound, kind="stable"), bound, have[i], k)
+                    have[i] = _best(q[i], own[i], c, ids, (q2[i] + c2 - low * low) / 2 + 1, floor[i], have[i], k)
             rows = [(o, t, i, s) for o, t, h in zip(own, turn, have, strict=True) for s, i in h]
             yield pd.DataFrame(rows, columns=["query_id", "turn", "vec_id", "score"]).astype("int64")
 
