@@ -55,11 +55,10 @@ def pivot_table(vectors: DataFrame, pivots: int, key: str = "vec_id", vector: st
     return stored(first.mapInPandas(measure, "vec_id long, q binary, to_pivots binary"), "pivot-table"), corners
 
 
-def _scores(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; by floating point where every partial sum is below 2^52."""
-    if c.size and float(np.abs(c).max()) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2.0 ** 52:
-        return (c.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return c @ q
+def _floating(c: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles if every inner product stays under 2^52 and so is exact, else as they are."""
+    small = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1] < 2.0 ** 52
+    return (c.astype(np.float64), q.astype(np.float64)) if small else (c, q)
 
 
 def _best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, bound: np.ndarray, floor: float, have: list, k: int) -> list:
@@ -69,7 +68,7 @@ def _best(q: np.ndarray, own: int, c: np.ndarray, ids: np.ndarray, bound: np.nda
     step, i = 64, 0
     while i < len(at) and not (len(have) == k and bound[at[i]] < have[-1][0]):
         part = at[i:i + step]
-        s = _scores(c[part], q)
+        s = c[part] @ q
         if len(have) == k:
             part, s = part[s >= have[-1][0]], s[s >= have[-1][0]]
         have = sorted(have + [(int(x), int(j)) for x, j in zip(s, ids[part], strict=True) if j != own], key=lambda x: (-x[0], x[1]))[:k]
@@ -82,8 +81,9 @@ def _floors(q: np.ndarray, own: np.ndarray, seeds: list, k: int) -> np.ndarray:
     out = np.full(len(q), -np.inf)
     ids = np.array([r["vec_id"] for r in seeds], dtype=np.int64)
     c = _matrix(pd.Series([bytes(r["q"]) for r in seeds], dtype=object), q.shape[1])
+    c, q = _floating(c, q)
     for i in range(len(q)):
-        s = np.sort(_scores(c, q[i])[ids != own[i]])
+        s = np.sort((c @ q[i])[ids != own[i]])
         out[i] = s[-k] if len(s) >= k else -np.inf
     return out
 
@@ -129,12 +129,13 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = 32, ke
                 c, ids = _matrix(f["q"], dims), f["vec_id"].to_numpy()
                 dc = np.ascontiguousarray(np.array([np.frombuffer(x) for x in f["to_pivots"]]).T)
                 c2 = (c * c).sum(1)
+                c, fast = _floating(c, q)
                 for i in range(len(own)):
                     low = np.zeros(len(c))
                     for p in range(len(dc)):
                         np.maximum(low, np.abs(dc[p] - dq[i, p]), out=low)
                     low = np.maximum(low - 1e-6 * (1 + low), 0)              # rounding of the distances
-                    have[i] = _best(q[i], own[i], c, ids, (q2[i] + c2 - low * low) / 2 + 1, floor[i], have[i], k)
+                    have[i] = _best(fast[i], own[i], c, ids, (q2[i] + c2 - low * low) / 2 + 1, floor[i], have[i], k)
             rows = [(o, t, i, s) for o, t, h in zip(own, turn, have, strict=True) for s, i in h]
             yield pd.DataFrame(rows, columns=["query_id", "turn", "vec_id", "score"]).astype("int64")
 
