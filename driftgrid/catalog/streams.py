@@ -7,7 +7,7 @@ from driftgrid.operators import reports as rep
 from driftgrid.plans import star
 from driftgrid.plans.star import hour_of, with_views
 from driftgrid.streaming import state, windows
-from driftgrid.streaming.source import MARKER, deliver, hourly_steps, positions, run_to_table
+from driftgrid.streaming.source import MARKER, deliver, hourly_steps, marker_folder, positions, run_to_table
 
 P = with_views("positions")
 # One row per individual and hour: its last event.
@@ -17,9 +17,10 @@ SC = with_views("positions", "cells").replace("positions AS", "every_position AS
 W = "WINDOW w AS (PARTITION BY agent_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def stream(spark, d):
-    # As a pattern the path may be one file or a folder of files.
-    return positions(spark, f"{d}/events.parque[t]")
+def drained(spark, d, build, label):
+    """The table that build makes of all events, replayed as a stream; a pattern reads a file or a folder alike."""
+    marker = marker_folder(spark)
+    return run_to_table(build(positions(spark, f"{d}/events.parque[t]", marker=marker)), label, marker=marker)
 
 
 # Filters run before the watermark is taken, so they let the end marker through.
@@ -27,10 +28,6 @@ def end():
     return F.col("agent_id") == MARKER
 
 
-def steps(spark, d):
-    return hourly_steps(stream(spark, d))
-
-
 def real(df):
     return df.filter(F.col("agent_id") != MARKER)
 
@@ -38,7 +35,7 @@ def real(df):
 @query("str1_step_summary", P + "SELECT hour, count(*) FILTER (alive) AS n_alive, count(*) FILTER (arrived) AS n_arrived, round(coalesce(avg(ed_kJ_g) FILTER (alive), 0), 9) AS mean_ed, " +
        ", ".join(f"count(*) FILTER (alive AND behavior = {b}) AS behavior_{b}" for b in range(5)) + " FROM positions GROUP BY 1")
 def str1(spark, d):
-    out = run_to_table(windows.step_summaries(stream(spark, d)), "summary")
+    out = drained(spark, d, windows.step_summaries, "summary")
     return out.select(hour_of("start").cast("int").alias("hour"), "n_alive", "n_arrived", F.round("mean_ed", 9).alias("mean_ed"), *[f"behavior_{b}" for b in range(5)])
 
 
@@ -46,21 +43,21 @@ def str1(spark, d):
    FROM positions WHERE alive AND NOT arrived WINDOW v AS (PARTITION BY agent_id ORDER BY ts, event_id))
   SELECT agent_id, event_id, round(coalesce(last_value(m IGNORE NULLS) OVER w, 15.0), 6)::DOUBLE AS mean3 FROM positions LEFT JOIN act USING (event_id) """ + W)
 def str2(spark, d):
-    return real(run_to_table(state.rolling_mean(steps(spark, d), "mass_g"), "rolling")).withColumn("mean3", F.round("mean3", 6))
+    return real(drained(spark, d, lambda s: state.rolling_mean(hourly_steps(s), "mass_g"), "rolling")).withColumn("mean3", F.round("mean3", 6))
 
 
 @query("str3_residence", S + """, a AS (SELECT *, alive AND NOT arrived AS act, behavior = 2 AS s, sum((alive AND NOT arrived)::INT) OVER w AS rn FROM positions """ + W + """),
   b AS (SELECT *, last_value(CASE WHEN act THEN s END IGNORE NULLS) OVER w AS st, max(CASE WHEN act AND s THEN rn END) OVER w AS li, max(CASE WHEN act AND NOT s THEN rn END) OVER w AS lo FROM a """ + W + """)
   SELECT agent_id, event_id, (CASE WHEN st THEN rn - coalesce(lo, 0) ELSE 0 END)::BIGINT AS hours_in, (CASE WHEN st THEN 0 WHEN li IS NULL THEN 999 + rn ELSE rn - li END)::BIGINT AS steps_since FROM b""")
 def str3(spark, d):
-    return real(run_to_table(state.residence(steps(spark, d), F.col("behavior") == 2), "residence"))
+    return real(drained(spark, d, lambda s: state.residence(hourly_steps(s), F.col("behavior") == 2), "residence"))
 
 
 @query("str3_sessions", P + """, s AS (SELECT agent_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM positions WHERE behavior = 2 WINDOW w AS (PARTITION BY agent_id ORDER BY ts)),
   g AS (SELECT *, sum(new) OVER (PARTITION BY agent_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
   SELECT agent_id, (datediff('second', TIMESTAMP '2024-01-01', date_trunc('second', min(ts))) // 3600)::INTEGER AS start_hour, count(*) AS n FROM g GROUP BY agent_id, k""")
 def str3s(spark, d):
-    out = real(run_to_table(windows.sessions(stream(spark, d), (F.col("behavior") == 2) | end()), "sessions"))
+    out = real(drained(spark, d, lambda s: windows.sessions(s, (F.col("behavior") == 2) | end()), "sessions"))
     return out.select("agent_id", hour_of("start").cast("int").alias("start_hour"), "n")
 
 
@@ -72,7 +69,7 @@ def str3s(spark, d):
 def str4(spark, d):
     c = star.cells(spark, d)
     thr = rep.region_thresholds(c).withColumn("threshold", F.col("threshold") - 1e-9)
-    return real(run_to_table(state.sticky(steps(spark, d), c, thr, [1, 3], [0, 4]), "sticky"))
+    return real(drained(spark, d, lambda s: state.sticky(hourly_steps(s), c, thr, [1, 3], [0, 4]), "sticky"))
 
 
 @query("str5_trips", SC + """, p AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) AS k FROM positions JOIN cells ON cell = cell_id WHERE alive),
@@ -80,7 +77,7 @@ def str4(spark, d):
   b AS (SELECT agent_id, behavior FROM positions WHERE alive QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY ts DESC, event_id DESC) = 1)
   SELECT agent_id, len(xs)::INTEGER AS points, round(xs[1], 6) AS x0, round(xs[-1], 6) AS x1, round(ys[-1], 6) AS y1, behavior FROM g JOIN b USING (agent_id) WHERE len(xs) >= 2 AND (len(list_distinct(xs)) > 1 OR len(list_distinct(ys)) > 1)""")
 def str5(spark, d):
-    out = real(run_to_table(state.trips(steps(spark, d), star.cells(spark, d)), "trips"))
+    out = real(drained(spark, d, lambda s: state.trips(hourly_steps(s), star.cells(spark, d)), "trips"))
     last = out.groupBy("agent_id").agg(F.max_by(F.struct("xs", "ys", "behavior"), F.element_at("us", -1)).alias("s")).select("agent_id", "s.*")
     return last.select("agent_id", F.size("xs").alias("points"), F.round(F.get("xs", F.lit(0)), 6).alias("x0"), F.round(F.element_at("xs", -1), 6).alias("x1"),
                        F.round(F.element_at("ys", -1), 6).alias("y1"), "behavior")
@@ -89,19 +86,20 @@ def str5(spark, d):
 @query("str6_co_located", P + """SELECT hour, cell, count(*) FILTER (agent_id % 2 = 0) AS n_a, count(*) FILTER (agent_id % 2 = 1) AS n_b FROM positions GROUP BY 1, 2
   HAVING count(*) FILTER (agent_id % 2 = 0) > 0 AND count(*) FILTER (agent_id % 2 = 1) > 0""")
 def str6(spark, d):
-    a, b = (stream(spark, d).filter((F.col("agent_id") % 2 == k) | end()) for k in (0, 1))
-    return run_to_table(windows.co_located(a, b), "shared").select(hour_of("start").cast("int").alias("hour"), "cell", "n_a", "n_b")
+    def shared(s):
+        return windows.co_located(*(s.filter((F.col("agent_id") % 2 == k) | end()) for k in (0, 1)))
+    return drained(spark, d, shared, "shared").select(hour_of("start").cast("int").alias("hour"), "cell", "n_a", "n_b")
 
 
 @query("str7_tallies", P + "SELECT cell AS cell_id, count(DISTINCT hour) AS steps, count(*) AS n FROM positions WHERE alive GROUP BY 1")
 def str7(spark, d):
-    return windows.occupancy_density(run_to_table(windows.tallies(stream(spark, d)), "tallies"))
+    return windows.occupancy_density(drained(spark, d, windows.tallies, "tallies"))
 
 
 @query("str7_flux", S + """, m AS (SELECT cell, old FROM (SELECT *, lag(cell) OVER (PARTITION BY agent_id ORDER BY ts, event_id) AS old FROM positions) WHERE alive AND old IS NOT NULL AND old <> cell)
   SELECT cell_id, sum(d)::BIGINT AS net FROM (SELECT cell AS cell_id, 1 AS d FROM m UNION ALL SELECT old, -1 FROM m) GROUP BY 1""")
 def str7f(spark, d):
-    return windows.flux(real(run_to_table(state.moves(steps(spark, d)), "moves")))
+    return windows.flux(real(drained(spark, d, lambda s: state.moves(hourly_steps(s)), "moves")))
 
 
 @query("str8_late_rows", P + """, w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM positions WHERE event_id % 10 <> 0 AND hour < (SELECT max(hour) FROM positions))
@@ -112,5 +110,5 @@ def str8(spark, d):
     last = e.select(hour_of("ts").alias("h")).agg(F.max("h")).first()[0]
     early, on_time = hour_of("ts") < last, F.col("event_id") % 10 != 0
     path = deliver(spark, [e.filter(on_time & early), e.filter(on_time & ~early), e.filter(~on_time)])
-    out = run_to_table(windows.counts(positions(spark, path, replay=False, maxFilesPerTrigger="1")), "late")
+    out = run_to_table(windows.counts(positions(spark, path, maxFilesPerTrigger="1")), "late")
     return out.select(hour_of("start").cast("int").alias("hour"), "n")

@@ -70,9 +70,8 @@ def win7(spark, d):
     return trk.arrival(t, c, trk.natal_region(t, c), thr, [0, 1, 4])
 
 
-@query("win8_trips", with_views("tracks", "cells") + """, st AS (SELECT agent_id, row_number() OVER (ORDER BY agent_id) - 1 AS k, count(*) OVER () AS n FROM
+@query("win8_trips", with_views("tracks", "cells") + """, tk AS (SELECT agent_id FROM
    (SELECT * FROM tracks QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY "time") = 1) WHERE alive),
-  tk AS (SELECT agent_id FROM st WHERE k % greatest(1, CASE WHEN n > 60 THEN n // 60 ELSE 1 END) = 0 AND k / greatest(1, CASE WHEN n > 60 THEN n // 60 ELSE 1 END) < 60),
   p AS (SELECT agent_id, x, y, "time" - (SELECT max("time") FROM tracks) + 39 AS t FROM tracks JOIN cells ON cell = cell_id
    WHERE alive AND "time" > (SELECT max("time") FROM tracks) - 40 AND agent_id IN (SELECT agent_id FROM tk)),
   g AS (SELECT agent_id, list(x ORDER BY t) AS xs, list(y ORDER BY t) AS ys, list(t ORDER BY t) AS ts FROM p GROUP BY 1),
@@ -80,7 +79,7 @@ def win7(spark, d):
   SELECT agent_id, len(xs)::INTEGER AS points, round(xs[1], 6) AS x0, round(xs[-1], 6) AS x1, round(ys[-1], 6) AS y1, ts[1]::INTEGER AS t0, ts[-1]::INTEGER AS t1, behavior
   FROM g JOIN lb USING (agent_id) WHERE len(xs) >= 2 AND (len(list_distinct(xs)) > 1 OR len(list_distinct(ys)) > 1)""")
 def win8(spark, d):
-    t = trk.trips(star.tracks(spark, d), star.cells(spark, d), max_agents=60)
+    t = trk.trips(star.tracks(spark, d), star.cells(spark, d))
     first, last = F.col("path")[0], F.element_at("path", -1)
     return t.select("agent_id", F.size("path").alias("points"), F.round(first["x"], 6).alias("x0"), F.round(last["x"], 6).alias("x1"),
                     F.round(last["y"], 6).alias("y1"), first["t"].cast("int").alias("t0"), last["t"].cast("int").alias("t1"), "behavior")

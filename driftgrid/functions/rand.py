@@ -32,21 +32,34 @@ def normal(seed: int, stream: str, *keys) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def poisson_terms(mean: float) -> tuple[int, list[float]]:
+    """First count and cumulative probabilities from there on: all counts within ten deviations of the mean.
+
+    Terms are taken in logs, so a large mean neither underflows nor runs out of terms.
+    """
+    if mean <= 0:
+        return 0, [1.0]
+    reach = 10 * math.sqrt(mean) + 20
+    first = max(0, math.floor(mean - reach))
+    total, out = 0.0, []
+    for k in range(first, math.ceil(mean + reach) + 1):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        out.append(min(total, 1.0))
+        if k > mean and total >= 1.0 - 2.0 ** -33:
+            break
+    return first, out
+
+
 def poisson_cdf(mean: float) -> list[float]:
-    """Cumulative Poisson terms up to the resolution of a 32-bit uniform."""
-    term = math.exp(-mean)
-    total, k, out = term, 0, [term]
-    while total < 1.0 - 2.0 ** -33 and k < 10_000:
-        k += 1
-        term *= mean / k
-        total += term
-        out.append(total)
-    return out
+    """Cumulative Poisson terms from count 0, for means small enough that counts start there."""
+    first, out = poisson_terms(mean)
+    return [0.0] * first + out
 
 
 def poisson(u: Column, mean: float) -> Column:
     """Inverse-CDF Poisson: how many cumulative terms are <= u."""
-    return count_le(u, poisson_cdf(mean)).cast("int")
+    first, terms = poisson_terms(mean)
+    return (F.lit(first) + count_le(u, terms)).cast("int")
 
 
 def count_le(u: Column, bounds) -> Column:

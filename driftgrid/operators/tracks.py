@@ -143,18 +143,15 @@ def natal_region(tracks: DataFrame, cells: DataFrame) -> DataFrame:
     return with_region(first, cells).select(KEY, F.coalesce("region_id", F.lit(-1)).cast("int").alias("natal"))
 
 
-def trips(tracks: DataFrame, centroids: DataFrame, max_agents: int = 2000, length: int = 40) -> DataFrame:
-    """Paths of the last steps as arrays of (x, y, t) for evenly spaced tracked individuals.
+def trips(tracks: DataFrame, centroids: DataFrame, length: int = 40, sample: DataFrame | None = None) -> DataFrame:
+    """Paths of the last `length` steps as arrays of (x, y, t) for every individual that starts alive.
 
-    max_agents is the size of the wanted sample and length the trail, so an array holds at most
-    length points. Dead rows are left out; fewer than two points or no movement gives no trip.
+    An array holds at most `length` points. `sample` (agent_id) restricts the individuals, if given. Dead
+    rows are left out; fewer than two points or no movement gives no trip.
     """
-    started = tracks.groupBy(KEY).agg(F.min_by("alive", T).alias("alive")).filter("alive").select(KEY)
-    order = ranked(started, [], KEY, "__rank")
-    n = started.agg(F.count(F.lit(1))).scalar()
-    step = F.greatest(F.lit(1), F.when(n > max_agents, F.floor(n / max_agents)).otherwise(1))
-    nth = order.withColumn("__step", step)
-    tracked = nth.filter(((F.col("__rank") - 1) % F.col("__step") == 0) & ((F.col("__rank") - 1) / F.col("__step") < max_agents)).select(KEY)
+    tracked = tracks.groupBy(KEY).agg(F.min_by("alive", T).alias("alive")).filter("alive").select(KEY)
+    if sample is not None:
+        tracked = tracked.join(sample.select(KEY), KEY, "left_semi")
     end = tracks.agg(F.max(T)).scalar()
     last = (tracks.filter("alive").groupBy(KEY).agg(F.max_by("behavior", T).alias("behavior")))
     pts = (tracks.filter("alive").withColumn("__t", F.col(T) - (end - length + 1)).filter(F.col("__t") >= 0)

@@ -33,21 +33,29 @@ def hourly_steps(positions: DataFrame, width: str = "1 hour") -> DataFrame:
     return last.select("agent_id", F.window_time("window").alias("ts"), "s.*")
 
 
-def end_marker(spark: SparkSession) -> str:
-    """Folder with one far-future row. A replay of a finished table needs it: without later rows the
-    watermark would never pass the last real ones and their results would stay in state."""
+def _marker_rows(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.lit(-1).cast("long").alias("event_id"), F.lit(END_OF_TIME).cast("timestamp_ntz").alias("ts"),
+                                 F.lit(MARKER).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+
+
+def marker_folder(spark: SparkSession) -> str:
+    """An empty folder of events that `end_replay` fills once all real files are read."""
     path = work_path(spark, "marker")
-    (spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(END_OF_TIME).cast("timestamp_ntz").alias("ts"),
-                           F.lit(MARKER).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
-     .write.parquet(path))
+    _marker_rows(spark, 0).write.parquet(path)
     return path
 
 
-def positions(spark: SparkSession, path: str, delay: str = "10 minutes", replay: bool = True, **options) -> DataFrame:
-    """The position stream with its watermark; replay adds the end marker."""
+def end_replay(spark: SparkSession, marker: str) -> None:
+    """One far-future row. A replay of a finished table needs it, and after the last real batch: without later
+    rows the watermark would never pass the last real ones, and any earlier it would make them late."""
+    _marker_rows(spark, 1).write.mode("append").parquet(marker)
+
+
+def positions(spark: SparkSession, path: str, delay: str = "10 minutes", marker: str | None = None, **options) -> DataFrame:
+    """The position stream with its watermark; a replay also reads the marker folder (see run_to_table)."""
     s = event_stream(spark, path, **options)
-    if replay:
-        s = s.unionByName(event_stream(spark, end_marker(spark)))
+    if marker:
+        s = s.unionByName(event_stream(spark, marker))
     return as_positions(s).withWatermark("ts", delay)
 
 
@@ -63,19 +71,36 @@ def rocksdb(spark: SparkSession):
         spark.conf.set(key, old)
 
 
-def run_to_table(stream: DataFrame, label: str, finished: list | None = None) -> DataFrame:
+def _drain(query) -> int:
+    """Wait for a query's end; rows it dropped as late, over all batches.
+
+    A query keeps its last 100 reports only, so they are read every second while it runs.
+    """
+    seen, done = {}, False
+    while not done:
+        done = query.awaitTermination(1)
+        for p in query.recentProgress:
+            seen[p.batchId, p.timestamp] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+    return sum(seen.values())
+
+
+def run_to_table(stream: DataFrame, label: str, finished: list | None = None, marker: str | None = None) -> DataFrame:
     """Drain what is available into a parquet table in the shared folder and return it.
 
-    The finished query is added to the list, for its progress.
+    With a marker folder the marker is delivered after the last real batch and the query goes on from its
+    checkpoint, so results behind the watermark come out whatever the number of batches. The rows dropped as
+    late are added to the list `finished`, one count per run.
     """
     spark = stream.sparkSession
     out, ckpt = work_path(spark, label), work_path(spark, label + "-state")
-    with rocksdb(spark):
-        q = (stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
-             .option("path", out).option("checkpointLocation", ckpt).start())
-        q.awaitTermination()
-    if finished is not None:
-        finished.append(q)
+    for last in (False, True) if marker else (False,):
+        if last:
+            end_replay(spark, marker)
+        with rocksdb(spark):
+            dropped = _drain(stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
+                             .option("path", out).option("checkpointLocation", ckpt).start())
+        if finished is not None:
+            finished.append(dropped)
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -84,5 +109,5 @@ def deliver(spark: SparkSession, parts) -> str:
     path = work_path(spark, "arrivals")
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)
-    spark.read.parquet(end_marker(spark)).coalesce(1).write.mode("append").parquet(path)
+    end_replay(spark, path)
     return path

@@ -52,8 +52,3 @@ def sessions(positions: DataFrame, in_state, gap: str = "6 hours") -> DataFrame:
     w = F.session_window("ts", gap)
     out = positions.filter(in_state).groupBy("agent_id", w).agg(F.count(F.lit(1)).alias("n"))
     return out.select("agent_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
-
-
-def dropped_rows(query) -> int:
-    """Rows a finished query dropped for being older than the watermark."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)

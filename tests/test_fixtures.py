@@ -165,3 +165,9 @@ def test_raise_on(spark):
     checks.raise_on(spark.range(0), "none")
     with pytest.raises(ValueError, match="3 violation"):
         checks.raise_on(spark.range(3), "some")
+
+
+def test_poisson_means_without_a_cap(spark):
+    for mean in (0, 4, 500, 800, 100_000):
+        m = spark.range(4000).withColumn("u", hash_u(1, "p", "id")).select(F.avg(poisson(F.col("u"), mean)).alias("m")).first()["m"]
+        assert m == pytest.approx(mean, rel=0.03, abs=1e-9)
