@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftgrid.llm import exact_dedup, language, near_dedup, packing, pivot_search, quality, repeats, sharding, toxicity, word_bpe
@@ -52,7 +53,7 @@ def test_exact_dedup(docs, odd, empty):
 
 
 def test_sharding(docs, odd, empty):
-    out = sharding.shard(docs, 8).select("doc_id", "shard", "slot", sharding.size_of(docs["text"]).alias("size")).toPandas()
+    out = sharding.shard(docs, 8).select("doc_id", "shard", "slot", sharding.size_of(F.col("text")).alias("size")).toPandas()
     assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard")["slot"]) and len(out) == docs.count()
     share = out["size"].sum() / 8
     assert (abs(out.groupby("shard")["size"].sum() - share) <= out["size"].max()).all()
