@@ -14,7 +14,8 @@ from driftgrid.llm.common import stored
 
 WORDS, SIMILAR = 5, 0.8
 DRAWS, KEEP = 16, 3
-QUIET = 3
+BINS, BLOCK = 256, 64
+SHARES = (1 / 64, 1 / 8, 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64)
 
@@ -118,6 +119,16 @@ def components(links: DataFrame) -> DataFrame:
     return total if total is not None else links.select(F.col("u").alias("node"), F.col("v").alias("comp")).limit(0)
 
 
+def card_type(draws: int) -> np.dtype:
+    """What a block holds of a node: its digest, number of shingles, draws, folded shingle counts, and component."""
+    return np.dtype([("node", ">u8", 2), ("n", "<i8"), ("bands", "<i8", draws), ("bins", "u1", BINS), ("comp", ">u8", 2)])
+
+
+def folded(s: np.ndarray) -> bytes:
+    """Shingles counted in BINS bins, 255 at most: bins that differ tell how many shingles two texts can't share at least."""
+    return np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _sketch(draws: int, keep: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -125,9 +136,43 @@ def _sketch(draws: int, keep: int):
             for doc, mark, text in zip(f["key"], f["mark"], f["text"], strict=True):
                 w = word_ids(text if isinstance(text, str) else "")
                 s = shingles(w)
-                node = hashlib.blake2b(" ".join(text.lower().split()).encode(errors="surrogatepass"), digest_size=16).digest() if len(w) else None
-                out.append((doc, mark, node, len(s), order_minhash(s, draws, keep) if len(s) else []))
-            yield pd.DataFrame(out, columns=["key", "mark", "node", "n", "bands"])
+                if not len(s):
+                    out.append((doc, mark, None, 0, [], None))
+                    continue
+                node = hashlib.blake2b(" ".join(text.lower().split()).encode(errors="surrogatepass"), digest_size=16).digest()
+                bands = order_minhash(s, draws, keep)
+                out.append((doc, mark, node, len(s), bands, node + np.array([len(s), *bands], dtype="<i8").tobytes() + folded(s)))
+            yield pd.DataFrame(out, columns=["key", "mark", "node", "n", "bands", "card"])
+    return run
+
+
+def _candidates(draws: int, similar: float, whole: bool):
+    """Pairs of a block of probes and a block of targets that may be similar: other component, lengths and
+    folded counts within reach, and no earlier bucket that both share. whole: a pair of probes counts once."""
+    kind = card_type(draws)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for bucket, big, probes, targets in zip(f["bucket"], f["big"], f["probes"], f["targets"], strict=True):
+                p, t = np.frombuffer(b"".join(probes), kind), np.frombuffer(b"".join(targets), kind)
+                n, m = p["n"][:, None], t["n"][None]
+                ok = (p["comp"][:, None] != t["comp"][None]).any(-1) & (np.minimum(n, m) >= similar * np.maximum(n, m))
+                if whole:
+                    (a, b), (x, y) = p["node"].T[..., None], t["node"].T[:, None]
+                    probe = (t["comp"] != np.frombuffer(big, ">u8")).any(-1)
+                    ok &= ~probe[None] | (a < x) | (a == x) & (b < y)
+                i, j = np.nonzero(ok)
+                same = p["bands"][i] == t["bands"][j]
+                at = same.argmax(1)
+                here = p["bands"][i, at] == bucket
+                i, j = i[here], j[here]
+                for width in (4, 1):                     # bins in fours first: cheaper, and leaves few pairs
+                    x, y = (c["bins"].reshape(len(c), -1, width).sum(2, dtype=np.int16) for c in (p, t))
+                    near = np.abs(x[i] - y[j]).sum(1) <= (p["n"][i] + t["n"][j]) * (1 - similar) / (1 + similar) + 1e-6
+                    i, j = i[near], j[near]
+                if len(i):
+                    yield pd.DataFrame({"node": [x.tobytes() for x in p["node"][i]], "lead": [x.tobytes() for x in t["node"][j]],
+                                        "comp": [x.tobytes() for x in p["comp"][i]], "lead_comp": [x.tobytes() for x in t["comp"][j]]})
     return run
 
 
@@ -147,62 +192,64 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Two texts are linked if their five-word shingles, aligned in order, match with similarity 0.8 or more
     (`aligned`); classes are the connected components. Texts with the same lowered words are one node
-    from the start. A node enters one bucket per Order MinHash draw. In every bucket all nodes are
+    from the start. A node enters one bucket per Order MinHash draw. In every bucket all nodes are first
     aligned with one leader (the same order of nodes everywhere, so a large family has one leader and
-    repeated pairs vanish); buckets that still hold several components go on with their next
-    leader, against the other components only, until every bucket holds one component or QUIET
-    leaders in a row found no link anywhere. No pair list of a bucket is ever formed and nothing is capped.
+    repeated pairs vanish). In a bucket that still holds several components, the nodes outside its largest
+    one are probes; they meet 1/64, then 1/8, then all nodes of other components. Blocks of probes meet
+    blocks of targets, and only pairs whose lengths and folded shingle counts leave 0.8 possible are emitted,
+    each in the first bucket that both share. So every two texts that share a draw are in one class,
+    were aligned, or are provably less similar; nothing is capped.
     Two texts at similarity 0.8 share a draw with a chance of about one half, and no draw of 16 with 1e-5.
 
     Null, empty and white texts have no shingles: each is a class of its own. kept is true for one row
     of each class (smallest key, null last, then first row); repeated rows are members like others.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    schema = f"key {source.schema['key'].dataType.simpleString()}, mark long, node binary, n long, bands array<long>"
+    schema = f"key {source.schema['key'].dataType.simpleString()}, mark long, node binary, n long, bands array<long>, card binary"
     rows = stored(source.select("key", F.xxhash64("text").alias("mark"), "text").mapInPandas(_sketch(draws, keep), schema)
                   .withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     entries = nodes.select("node", "n", F.xxhash64("node").alias("turn"), F.explode("bands").alias("bucket"))
     several = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("bucket"), "near-buckets")
-    entries = stored(entries.join(several.hint("merge"), "bucket"), "near-entries")
+    named = stored(entries.join(several.hint("merge"), "bucket").withColumn("comp", F.col("node")), "near-entries")
+    met = named.select("node").distinct()
+    cards = stored(rows.filter("node is not null").groupBy("node").agg(F.first("card").alias("card")).join(met.hint("merge"), "node"), "near-cards")
     words = stored(source.select("text").mapInPandas(_words, "node binary, words binary").groupBy("node").agg(F.first("words").alias("words"))
-                   .join(entries.select("node").distinct().hint("merge"), "node"), "near-words")
+                   .join(met.hint("merge"), "node"), "near-words")
 
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([aligned(shingles(np.frombuffer(x, np.uint32)), shingles(np.frombuffer(y, np.uint32)), similar) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    links, comps, quiet = None, None, 0
-    live = entries.withColumn("comp", F.col("node"))
-    last = None                                              # (bucket, turn, lead) of the leaders that are done
-    while True:
-        first = live if last is None else live.join(last, "bucket").filter("turn > done or (turn = done and node > lead_done)")
-        lead = stored(first.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n", "comp")).alias("m"))
-                      .select("bucket", F.col("m.turn").alias("done"), F.col("m.node").alias("lead_done"), F.col("m.n").alias("lead_n"), F.col("m.comp").alias("lead_comp")), "near-leaders")
-        pairs = (live.join(lead.hint("merge"), "bucket").filter((F.col("comp") != F.col("lead_comp")) & (F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n")))
-                 .select("node", F.col("lead_done").alias("lead")).distinct())
+    def joined(named: DataFrame, pairs: DataFrame) -> DataFrame:
+        """named with the components that the links among pairs (node, lead, comp, lead_comp) bring together."""
         a, b = words.select("node", F.col("words").alias("a")), words.select(F.col("node").alias("lead"), F.col("words").alias("b"))
-        found = stored(pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "lead").filter(similarity("a", "b") >= similar).select(F.col("node").alias("u"), F.col("lead").alias("v")), "near-links")
-        fresh = not found.isEmpty()
-        quiet = 0 if fresh else quiet + 1
-        if fresh:
-            links = found if links is None else links.unionByName(found)
-            comps = components(links)
-        last = lead.select("bucket", "done", "lead_done")
-        if quiet >= QUIET:
-            break
-        named = entries if comps is None else entries.join(comps, "node", "left")
-        named = stored(named.withColumn("comp", F.col("node") if comps is None else F.coalesce("comp", "node")).select("bucket", "node", "n", "turn", "comp"), "near-named")
-        open_ = stored(named.join(last, "bucket", "left_semi").groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("bucket"), "near-open")
+        links = pairs.join(a.hint("merge"), "node").join(b.hint("merge"), "lead").filter(similarity("a", "b") >= similar)
+        step = components(links.select(F.col("comp").alias("u"), F.col("lead_comp").alias("v"))).select(F.col("node").alias("comp"), F.col("comp").alias("next"))
+        return stored(named.join(step, "comp", "left").select("bucket", "node", "n", "turn", F.coalesce("next", "comp").alias("comp")), "near-named")
+
+    lead = named.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n")).alias("m")).select("bucket", F.col("m.node").alias("lead"), F.col("m.n").alias("lead_n"))
+    stars = (named.join(lead.hint("merge"), "bucket").filter((F.col("node") != F.col("lead")) & (F.least("n", "lead_n") >= similar * F.greatest("n", "lead_n")))
+             .select("node", "lead").distinct())
+    named = joined(named, stars.withColumns({"comp": F.col("node"), "lead_comp": F.col("lead")}))
+    for share in SHARES:
+        parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
+        open_ = stored(parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("size"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+                       .select("bucket", F.col("m.comp").alias("big"), F.expr("size - m.c").alias("rest"), "size"), "near-open")
         if open_.isEmpty():
             break
-        live = named.join(open_, "bucket", "left_semi")
+        live = stored(named.join(open_.hint("merge"), "bucket").join(cards.hint("merge"), "node")
+                      .select("bucket", "turn", "big", "rest", "size", (F.col("comp") != F.col("big")).alias("probe"), F.concat("card", "comp").alias("body")), "near-live")
+        probes = (live.filter("probe").groupBy("bucket", "big", F.expr(f"pmod(turn, ceil(rest / {BLOCK}))").alias("block")).agg(F.collect_list("body").alias("probes")).drop("block"))
+        targets = (live.filter(F.expr(f"pmod(shiftright(turn, 8), 64) < {round(64 * share)}"))
+                   .groupBy("bucket", F.expr(f"pmod(shiftright(turn, 16), ceil(size * {share} / {BLOCK}))").alias("block")).agg(F.collect_list("body").alias("targets")).drop("block"))
+        pairs = probes.join(targets.hint("merge"), "bucket").select("bucket", "big", "probes", "targets")
+        pairs = pairs.mapInPandas(_candidates(draws, similar, share == 1), "node binary, lead binary, comp binary, lead_comp binary")
+        named = joined(named, pairs if share == 1 else pairs.distinct())
+    comps = named.select("node", "comp").distinct()
 
     member = rows.select("key", "mark", "rid", "node")
-    if comps is not None:
-        member = member.join(comps, "node", "left")
-    else:
-        member = member.withColumn("comp", F.lit(None).cast("binary"))
+    member = member.join(comps, "node", "left")
     own = F.concat(F.lit(b"row"), F.col("rid").cast("string").cast("binary"))
     member = stored(member.select("key", "mark", "rid", F.coalesce("comp", "node", own).alias("comp")), "near-members")
     heads = stored(member.groupBy("comp").agg(F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("m"))
