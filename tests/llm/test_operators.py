@@ -135,6 +135,76 @@ def test_near_duplicates(docs, odd, empty):
     assert near_dedup.without_near_copies(odd).columns == odd.columns and near_dedup.near_duplicates(empty).count() == 0
 
 
+def near_classes(texts):
+    """Class of each text by brute force: all pairs that share a draw are aligned."""
+    bags = [near_dedup.shingles(near_dedup.word_ids(t)) for t in texts]
+    draws = [set(near_dedup.order_minhash(s)) if len(s) else set() for s in bags]
+    same = [" ".join(t.lower().split()) for t in texts]
+    cls = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            linked = same[i] == same[j] and same[i] or draws[i] & draws[j] and near_dedup.aligned(bags[i], bags[j])
+            if linked and cls[i] != cls[j]:
+                lo, hi = sorted((cls[i], cls[j]))
+                cls = [lo if c == hi else c for c in cls]
+    return cls
+
+
+def test_near_duplicates_lose_no_link_of_a_large_family(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(300):                                 # 1 to 9 words changed, a third of them twice over
+        words = list(base)
+        for at in rng.integers(0, 120, 1 + k % 9):
+            words[at] = f"x{k if k % 3 else k % 12}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:60], *(f"y{k}_{i}" for i in range(60))]) for k in range(40)]      # half in common: no link
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == near_classes(texts)
+
+
+def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
+    """Each stage on what its predecessor kept, then run() as a whole."""
+    import corpus_pipeline
+
+    spark.createDataFrame(docs.collect()[:120] + docs.collect()[:10], docs.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    rows, frame = {}, table(spark, str(tmp_path), "documents")
+    start = frame.collect()
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, frame, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        frame = spark.read.parquet(f"{tmp_path}/{name}")
+        rows[name] = frame.collect()
+        assert name == "packing" or frame.columns == docs.columns
+    told = {r["doc_id"]: r for r in language.predict_language(docs, language.fit_language(docs)).collect()}
+    assert {r["doc_id"] for r in rows["language"]} <= {r["doc_id"] for r in start if told[r["doc_id"]]["lang_pred"] != "und"}
+    assert len(rows["language"]) >= 0.95 * sum(told[r["doc_id"]]["lang_pred"] != "und" for r in start)
+
+    best = {}
+    for r in rows["language"]:
+        k = "".join(c for c in r["text"] if c not in exact_dedup.WHITE)
+        best[k] = min(best.get(k, (0, 0)), (-len(r["text"]), r["doc_id"])) if k in best else (-len(r["text"]), r["doc_id"])
+    assert sorted(r["doc_id"] for r in rows["exact_dedup"]) == sorted(d for _, d in best.values())
+
+    left = sorted(rows["exact_dedup"], key=lambda r: r["doc_id"])
+    assert sorted(r["doc_id"] for r in rows["near_dedup"]) == [left[i]["doc_id"] for i in sorted(set(near_classes([r["text"] for r in left])))]
+
+    left = rows["near_dedup"]
+    want = {r["doc_id"]: k.decode(errors="ignore") for r, k in zip(left, covered([r["text"].encode() for r in left], 400), strict=True)}
+    assert {r["doc_id"]: r["text"] for r in rows["repeats"]} == want
+
+    coder = Tokenizer.from_file(BYTES)
+    want = {r["doc_id"]: [*coder.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in rows["repeats"]}
+    pieces = sorted(rows["packing"], key=lambda r: (r["doc_id"], r["start"]))
+    for d, ids in want.items():
+        own = [r for r in pieces if r["doc_id"] == d]
+        assert [r["start"] for r in own] == [0, *np.cumsum([r["length"] for r in own])[:-1]] and sum(r["length"] for r in own) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"]:r["start"] + r["length"]], dtype="<u4").tobytes()) for r in own)
+    whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
+    assert sorted(map(tuple, whole)) == sorted(tuple(r[c] for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")) for r in pieces)
+
+
 def test_aligned_is_lcs_over_union():
     rng = np.random.default_rng(1)
     for _ in range(50):
