@@ -14,6 +14,7 @@ from driftgrid.llm.common import bounded, chunks, crc_mod
 from driftgrid.llm.features import char_codes, char_points, ftrl, text_codes
 
 ORDERS, BITS, SCALE = (1, 2, 3), 16, 20.0
+CHARS = 250_000             # texts are taken together up to so many characters: some 100 bytes of arrays each
 UNKNOWN = "und"
 
 
@@ -29,7 +30,7 @@ def document_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each hashed n-gram occurs, over all texts; and their number."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros((1 << BITS) + 1, dtype=np.int64), 0
-        for f in chunks(frames, "text"):
+        for f in chunks(frames, "text", CHARS):
             points, starts, ends = char_points([t if isinstance(t, str) else "" for t in f["text"]])
             by_order = [char_codes(points, ends, k, BITS) for k in ORDERS]
             for a, b in zip(starts, ends, strict=True):
@@ -113,7 +114,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, key: str = "doc_id",
     def score(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in frames:
             part = [pd.DataFrame({"lang_pred": pd.Series(dtype=object), "score": pd.Series(dtype=float)})]
-            for f in chunks(iter([pd.DataFrame({"text": texts})]), "text"):
+            for f in chunks(iter([pd.DataFrame({"text": texts})]), "text", CHARS):
                 raw = [t if isinstance(t, str) else "" for t in f["text"]]
                 known = np.array([k > 0 and any(map(str.isalpha, t)) for t in raw], dtype=bool)
                 pred, best = np.full(len(raw), UNKNOWN, dtype=object), np.zeros(len(raw))
