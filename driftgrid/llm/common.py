@@ -25,6 +25,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From here on this session hands Python at most `rows` rows at once.
+
+    Ten thousand documents, the default, take hundreds of MB in each worker and in Arrow's buffers. Results do not
+    depend on it; a smaller value that the session has already is kept.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % n
