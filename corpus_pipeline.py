@@ -6,36 +6,41 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftgrid.llm import exact_dedup, language, near_dedup, packing, repeats
-from driftgrid.llm.common import lean_batches
+from driftgrid.llm.common import drop_finished_shuffles, lean_batches
 from driftgrid.plans.lineage import work_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is told with a probability of one half at least; the others go."""
     lean_batches(spark)
+    drop_finished_shuffles(spark)
     return language.in_known_language(docs)
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that are equal but for white space."""
+    drop_finished_shuffles(spark)
     return exact_dedup.without_copies(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near-duplicates."""
     lean_batches(spark)
+    drop_finished_shuffles(spark)
     return near_dedup.without_near_copies(docs)
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages of 400 bytes and more that occur elsewhere too."""
     lean_batches(spark)
+    drop_finished_shuffles(spark)
     return repeats.without_repeats_text(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their place in sequences of 2,048 tokens."""
     lean_batches(spark)
+    drop_finished_shuffles(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -36,6 +36,14 @@ def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """From here on this session deletes a query's shuffle files when the query ends, not when the driver collects garbage.
+
+    A frame that is executed again writes its shuffles again.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key written as text, modulo n; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % n
