@@ -209,3 +209,8 @@ def gen24(spark, d):
 @query("gen25_locus", with_views("genotypes") + "SELECT agent_id, a0, a1 FROM genotypes WHERE locus = 'C'")
 def gen25(spark, d):
     return gtc.locus(star.genotypes(spark, d), "C")
+
+
+@query("gen6_bernoulli_each_step", with_views("tracks") + f"""SELECT agent_id, "time", {sql_u('each', 'agent_id', '"time"')} < 0.05::DOUBLE AS hit FROM tracks""")
+def gen6_each_step(spark, d):
+    return gen.bernoulli(star.tracks(spark, d), "hit", 0.05, SEED, "each", ("agent_id", "time")).select("agent_id", "time", "hit")

@@ -7,13 +7,18 @@ re-run, a lost executor or a different partition count gives the same rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+Key = str | Column | Sequence[str | Column]    # what a draw depends on: ("agent_id", "time") draws anew at every step
+
+
 def hash_u(seed: int, stream: str, *keys) -> Column:
-    """Uniform in [0, 1) from the first 32 bits of md5(seed:stream:key:...)."""
+    """Uniform in [0, 1) from the first 32 bits of md5(seed:stream:key:...); a key may be a sequence of columns."""
+    keys = [k for key in keys for k in (key if isinstance(key, (list, tuple)) else [key])]
     parts = [F.lit(str(seed)), F.lit(stream)]
     parts += [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
     digest = F.md5(F.concat_ws(":", *parts).cast("binary"))

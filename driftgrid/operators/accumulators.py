@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions import num
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import Key, hash_u
 from driftgrid.operators.filters import combo_mask, tick_of, up_to
 from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import nth_smallest, ranked
@@ -38,7 +38,7 @@ def increment(acc: str, amount: float, lo=None, hi=None) -> Column:
     return num.clamp(F.col(acc) + F.lit(float(amount)), lo, hi)
 
 
-def stochastic_increment(acc: str, low: float, high: float, seed: int, key: str = "agent_id",
+def stochastic_increment(acc: str, low: float, high: float, seed: int, key: Key = "agent_id",
                          lo=None, hi=None) -> Column:
     u = hash_u(seed, "increment", key)
     return num.clamp(F.col(acc) + (F.lit(float(low)) + F.lit(float(high - low)) * u), lo, hi)
@@ -59,7 +59,7 @@ def individual_id(key: str = "agent_id") -> Column:
     return F.col(key).cast("double")
 
 
-def stochastic_trigger(p: float, seed: int, key: str = "agent_id") -> Column:
+def stochastic_trigger(p: float, seed: int, key: Key = "agent_id") -> Column:
     return F.when(hash_u(seed, "acc.trigger", key) < p, 1.0).otherwise(0.0)
 
 

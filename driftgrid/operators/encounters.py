@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import Key, hash_u
 from driftgrid.plans.ordered import ranked
 
 
@@ -43,12 +43,15 @@ def first_hit(u: Column, p: float) -> Column:
     return F.floor(F.log(F.lit(1.0) - u) / F.lit(math.log1p(-p))).cast("long")
 
 
-def kills(a: DataFrame, b: DataFrame, p: float, seed: int, keys=("cell",)) -> DataFrame:
-    """(cell, predator_id, prey_id): each prey dies at most once, to the smallest hitting id."""
+def kills(a: DataFrame, b: DataFrame, p: float, seed: int, keys=("cell",), key: Key = "agent_id") -> DataFrame:
+    """(cell, predator_id, prey_id): each prey dies at most once, to the smallest hitting id.
+
+    key names columns of the prey; give ("agent_id", "time") with keys=("time", "cell").
+    """
     pred = (ranked(a.filter("alive").select(*keys, "agent_id"), list(keys), "agent_id", "__r")
             .select(*keys, (F.col("__r") - 1).alias("__hit"), F.col("agent_id").alias("predator_id")))
-    drawn = (b.filter("alive").select(*keys, F.col("agent_id").alias("prey_id"))
-             .withColumn("__hit", first_hit(hash_u(seed, "encounter", "prey_id"), p)).filter(F.col("__hit").isNotNull()))
+    drawn = (b.filter("alive").select(*keys, F.col("agent_id").alias("prey_id"), first_hit(hash_u(seed, "encounter", key), p).alias("__hit"))
+             .filter(F.col("__hit").isNotNull()))
     return drawn.join(pred, [*keys, "__hit"]).select(*keys, "predator_id", "prey_id")
 
 
@@ -63,14 +66,15 @@ def gains(a: DataFrame, killed: DataFrame, acc: str, amount: float) -> DataFrame
             .withColumn(acc, F.col(acc) + F.coalesce("__n", F.lit(0)) * F.lit(float(amount))).drop("__n"))
 
 
-def encounter_totals(a: DataFrame, b: DataFrame, p: float, seed: int, predation: bool = True, keys=("cell",)) -> DataFrame:
+def encounter_totals(a: DataFrame, b: DataFrame, p: float, seed: int, predation: bool = True, keys=("cell",),
+                     key: Key = "agent_id") -> DataFrame:
     """(cell, pairs, encounters, kills): hits over all pairs of a cell, and prey killed.
 
     Given the first hit of every prey, the hits that remain in a cell are one binomial draw over the
     pairs not yet tried, so a cell costs one draw. Without predation no prey dies.
     """
     n = cell_counts(a, b, keys)
-    drawn = (b.filter("alive").select(*keys, first_hit(hash_u(seed, "encounter", "agent_id"), p).alias("__hit"))
+    drawn = (b.filter("alive").select(*keys, first_hit(hash_u(seed, "encounter", key), p).alias("__hit"))
              .groupBy(*keys, "__hit").agg(F.count(F.lit(1)).alias("__k")).join(n, list(keys)))
     hit = F.col("__hit").isNotNull() & (F.col("__hit") < F.col("n_a"))
     per = drawn.groupBy(*keys).agg(

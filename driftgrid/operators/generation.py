@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.domain import daily_to_hourly
-from driftgrid.functions.rand import categorical, count_le, draw, hash_u, normal, poisson
+from driftgrid.functions.rand import Key, categorical, count_le, draw, hash_u, normal, poisson
 from driftgrid.operators.filters import active_mask
 from driftgrid.plans.ordered import ranked, running
 
 
-def bernoulli(df: DataFrame, name: str, p, seed: int, stream: str, key: str = "agent_id") -> DataFrame:
+def bernoulli(df: DataFrame, name: str, p, seed: int, stream: str, key: Key = "agent_id") -> DataFrame:
     return df.withColumn(name, hash_u(seed, stream, key) < (p if isinstance(p, Column) else F.lit(float(p))))
 
 
-def survival_deaths(df: DataFrame, region: str, daily: dict, default: float, seed: int, key: str = "agent_id") -> DataFrame:
+def survival_deaths(df: DataFrame, region: str, daily: dict, default: float, seed: int, key: Key = "agent_id") -> DataFrame:
     """died where the draw exceeds the hourly survival of the row's region."""
     rate = F.coalesce(F.element_at(F.create_map(*[x for k, v in daily.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(region)),
                       F.lit(float(default)))
@@ -127,7 +127,7 @@ def introduce_patch(cells: DataFrame, layer: str) -> DataFrame:
     return cells.filter(F.col(layer) != 0).select(F.col("cell_id").alias("cell"))
 
 
-def sample_category(df: DataFrame, name: str, dist: dict, seed: int, stream: str, key: str = "agent_id") -> DataFrame:
+def sample_category(df: DataFrame, name: str, dist: dict, seed: int, stream: str, key: Key = "agent_id") -> DataFrame:
     """Draw from {value: probability}, values ascending."""
     values = sorted(dist)
     idx = categorical(F.col("__u"), [dist[v] for v in values])

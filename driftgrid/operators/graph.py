@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.domain import haversine
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import Key, hash_u
 from driftgrid.operators.grid import cube
 from driftgrid.plans.lineage import cut, frontier
 from driftgrid.plans.ordered import ranked
@@ -211,7 +211,7 @@ def gradient(cells: DataFrame, edges: DataFrame, field: str, form: str = "unit",
 
 
 def move_along_network(positions: DataFrame, segments: DataFrame, edges: DataFrame, step: str, seed: int,
-                       direction: str = "upstream") -> DataFrame:
+                       direction: str = "upstream", key: Key = "agent_id") -> DataFrame:
     """positions(agent_id, segment_id, offset, <step>) moved by one step of at most one segment.
 
     Past an end the rest of the step enters a random next segment; without one the position stops at
@@ -226,7 +226,7 @@ def move_along_network(positions: DataFrame, segments: DataFrame, edges: DataFra
     raw = F.col("offset") - F.col(step) if up else F.col("offset") + F.col(step)
     inside = (raw >= 0) if up else (raw <= F.col("length"))
     over = (-raw) if up else (raw - F.col("length"))
-    u = hash_u(seed, "branch", "agent_id")
+    u = hash_u(seed, "branch", key)
     p = p.withColumns({"__raw": raw, "__in": inside, "__over": over,
                        "pick": F.when(~inside & F.col("n").isNotNull(), F.least(F.floor(u * F.col("n")), F.col("n") - 1) + 1)})
     p = (p.join(order, ["segment_id", "pick"], "left")

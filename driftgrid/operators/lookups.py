@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import Key, hash_u
 from driftgrid.plans.lineage import cut
 
 
@@ -61,7 +61,7 @@ def origin_dispatch(rows: DataFrame, table_a: dict, table_b: dict | None, name:
     return rows.withColumn(name, F.when(F.col("origin") == 1, F.coalesce(over, base)).otherwise(base))
 
 
-def switch_population(src: DataFrame, dst: DataFrame, p: float, seed: int, next_id: Column | None = None):
+def switch_population(src: DataFrame, dst: DataFrame, p: float, seed: int, next_id: Column | None = None, key: Key = "agent_id"):
     """Move a Bernoulli subset of living rows to dst. Returns (src, dst).
 
     Moved rows keep position, natal region, exit branch, origin, sea age and sticky flags; the rest
@@ -69,7 +69,7 @@ def switch_population(src: DataFrame, dst: DataFrame, p: float, seed: int, next_
     """
     from driftgrid.operators.sets import add_agents
     from driftgrid.plans.ordered import ranked
-    goes = F.col("alive") & (hash_u(seed, "switch", "agent_id") < p)
+    goes = F.col("alive") & (hash_u(seed, "switch", key) < p)
     kept = [c for c in ("cell", "natal", "exit_branch", "origin", "sea_age", "been_to_sea", "arrived") if c in src.columns]
     movers = ranked(src.filter(goes).select("agent_id", *kept), [], "agent_id", "__rank")
     if next_id is None:

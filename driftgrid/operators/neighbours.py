@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import draw, hash_u
+from driftgrid.functions.rand import Key, draw, hash_u
 from driftgrid.plans.lineage import cut
 
 
@@ -89,14 +89,14 @@ def pick_slot(nbrs: Column, u: Column) -> Column:
     return F.when(n > 0, F.get(nbrs, i)["dst"])
 
 
-def random_neighbour(agents: DataFrame, adj: DataFrame, seed: int, stream: str = "hop", key: str = "agent_id") -> DataFrame:
+def random_neighbour(agents: DataFrame, adj: DataFrame, seed: int, stream: str = "hop", key: Key = "agent_id") -> DataFrame:
     out = agents.join(adj, "cell", "left")
     new = pick_slot(F.col("nbrs"), hash_u(seed, stream, key))
     return out.select(*agents.columns, F.coalesce(new, F.col("cell")).alias("new_cell"))
 
 
 def flow_neighbour(agents: DataFrame, adj: DataFrame, seed: int, scale_x: float = 1.0, scale_y: float = 1.0,
-                   slowest: float = 0.01, key: str = "agent_id") -> DataFrame:
+                   slowest: float = 0.01, key: Key = "agent_id") -> DataFrame:
     """Drift to the neighbour most aligned with the current, with probability min(5 x speed, 0.8).
 
     adj carries x, y, u and v; scale_x and scale_y turn centroid differences into metres.
@@ -115,7 +115,7 @@ def flow_neighbour(agents: DataFrame, adj: DataFrame, seed: int, scale_x: float
     return out.select(*agents.columns, F.coalesce(F.when(drifts, best["dst"]), F.col("cell")).alias("new_cell"))
 
 
-def barrier_outcome(moves: DataFrame, edge_probs: DataFrame, seed: int, key: str = "agent_id") -> DataFrame:
+def barrier_outcome(moves: DataFrame, edge_probs: DataFrame, seed: int, key: Key = "agent_id") -> DataFrame:
     """Resolve moves(cell -> new_cell) against directed edge probabilities.
 
     Adds outcome (passed, deflected, died) and final_cell. No move, or an edge without

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import hash_u
+from driftgrid.functions.rand import Key, hash_u
 from driftgrid.plans.ordered import previous
 from driftgrid.plans.quantile import quantiles
 
@@ -137,7 +137,7 @@ def region_thresholds(cells: DataFrame, q: float = 0.75, dist: str = "dist") ->
 
 
 def density_survival(df: DataFrame, rates: dict, trait: str | None, labels=(), scale: float | None = None,
-                     seed: int = 0, key: str = "agent_id") -> DataFrame:
+                     seed: int = 0, key: Key = "agent_id") -> DataFrame:
     """Add died: rate of the category, raised by local crowding, against a keyed draw.
 
     Cell head counts are reduced before they are joined back.

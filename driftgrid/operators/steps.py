@@ -51,11 +51,11 @@ def repeat(df: DataFrame, steps, times: int, mask: Callable[[], Column] | None =
     """Apply a group of steps several times with the mask taken once per iteration.
 
     Steps read the column in_mask, so later members see the rows as they were when the iteration
-    began.
+    began, and the column iteration (from 0): a step with key ("agent_id", "iteration") draws anew each time.
     """
     cols = df.columns
     for i in range(times):
-        df = df.withColumn("in_mask", mask() if mask else F.lit(True))
+        df = df.withColumns({"in_mask": mask() if mask else F.lit(True), "iteration": F.lit(i)})
         df = chain(df, steps).select(*cols)
         if i % cut_every == cut_every - 1 and i + 1 < times:
             df = cut(df)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.rand import count_le_row, cumulative, draw
+from driftgrid.functions.rand import Key, count_le_row, cumulative, draw
 from driftgrid.operators.filters import resolve_category
 from driftgrid.plans.ordered import previous
 
@@ -37,7 +37,7 @@ def category_name(trait: str, labels) -> Column:
     return F.get(F.array(*[F.lit(x) for x in labels]), F.col(trait))
 
 
-def markov_transition(df: DataFrame, trait: str, matrix, seed: int, key: str = "agent_id", mask=None) -> DataFrame:
+def markov_transition(df: DataFrame, trait: str, matrix, seed: int, key: Key = "agent_id", mask=None) -> DataFrame:
     """Redraw the category from the matrix row of the current one; a category without a row stays.
 
     The matrix is a bounded parameter, so its cumulative rows travel as literals.

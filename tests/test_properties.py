@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from driftgrid.catalog import QUERIES
 from driftgrid.operators import encounters as enc
+from driftgrid.operators import generation as gen
 from driftgrid.operators import graph as g
 from driftgrid.operators import neighbours as nb
+from driftgrid.operators import steps
 from driftgrid.operators import territories as ter
+from driftgrid.operators import traits
 from driftgrid.operators.grid import EVEN_OFFSETS, ODD_OFFSETS, hex_adjacency
 from driftgrid.plans import star
 
@@ -262,3 +265,19 @@ def test_rolling_and_residence_for_any_span(lives, span):
     assert len(mean) == len(res) == len(rows)
     for t, (m, h, s) in want.items():
         assert mean[t] == pytest.approx(m) and res[t] == (h, s)
+
+
+def test_draws_change_with_the_step(spark):
+    """Keyed by step, a chance of 5 % hits 1 - 0.95^50 of all individuals in 50 steps; by individual alone, 5 %."""
+    rows = spark.range(2000).select(F.col("id").alias("agent_id"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("time"))
+    def share(key):
+        out = gen.bernoulli(rows, "hit", 0.05, 1, "each", key).groupBy("agent_id").agg(F.max(F.col("hit").cast("int")).alias("m"))
+        return out.agg(F.avg("m")).first()[0]
+    assert share(("agent_id", "time")) == pytest.approx(1 - 0.95 ** 50, abs=0.02)
+    assert share("agent_id") == pytest.approx(0.05, abs=0.02)
+
+
+def test_repeated_steps_draw_anew(spark):
+    df = spark.range(2000).select(F.col("id").alias("agent_id"), F.lit(0).alias("stage"))
+    step = lambda d: traits.markov_transition(d, "stage", [[0.9, 0.1], [0.0, 1.0]], 3, ("agent_id", "iteration"))
+    assert steps.repeat(df, [step], 10).agg(F.avg("stage")).first()[0] == pytest.approx(1 - 0.9 ** 10, abs=0.04)
