@@ -86,32 +86,40 @@ class TrieCoder:
         return known
 
     def encode(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """(word, ids) for words in byte letters without repeats; sorted here."""
-        ids, path = self.ids, ""
-        codes: list[tuple[int, ...]] = [()]            # of the prefix of each length on the path
-        longest = self.longest
+        """(word, ids) for words in byte letters without repeats; sorted here.
 
-        def extend(body: str, mark: str) -> tuple[int, ...]:
-            n = len(body)
+        A node keeps its last token and the length of the prefix before it, so memory grows with the word's
+        length; the ids are read off backwards.
+        """
+        ids, longest, path = self.ids, self.longest, ""
+        last, start = [-1], [0]            # of the prefix of each length on the path
+
+        def ending(word: str, n: int, mark: str) -> tuple[int, int]:
             for size in range(min(n, longest), 0, -1):
-                t = ids.get(body[n - size:] + mark)
+                t = ids.get(word[n - size:n] + mark)
                 if t is None or not self.whole(t):
                     continue
-                before = codes[n - size]
-                if not before or self.keeps_apart(before[-1], t):
-                    return (*before, t)
-            raise ValueError(f"no token ends {body!r}")
+                if size == n or self.keeps_apart(last[n - size], t):
+                    return t, n - size
+            raise ValueError(f"no token ends {word[max(0, n - longest):n]!r}")
 
         for word in sorted(words):
             stem, shared = word[:-1], 0
             top = min(len(stem), len(path))
             while shared < top and stem[shared] == path[shared]:
                 shared += 1
-            del codes[shared + 1:]
+            del last[shared + 1:], start[shared + 1:]
             for n in range(shared + 1, len(stem) + 1):
-                codes.append(extend(stem[:n], ""))
+                t, before = ending(stem, n, "")
+                last.append(t)
+                start.append(before)
             path = stem
-            yield word, extend(word, END)
+            t, n = ending(word, len(word), END)
+            out = [t]
+            while n:
+                out.append(last[n])
+                n = start[n]
+            yield word, tuple(out[::-1])
 
 
 class WordTokens:

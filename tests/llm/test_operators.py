@@ -96,6 +96,16 @@ def test_word_bpe(docs, odd, empty):
     assert word_bpe.encode_decode(empty, WORDS).count() == 0
 
 
+def test_word_bpe_of_a_word_of_a_million_letters(spark):
+    letters = np.array(list("acgt"))[np.random.default_rng(4).integers(0, 4, 1_000_000)]
+    word = "".join(letters)
+    rows = [(1, word), (2, word[:1000]), (3, word[:1000] + "é")]
+    coder = Tokenizer.from_file(WORDS)
+    want = {d: (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()) for d, ids in ((d, coder.encode(t, add_special_tokens=False).ids) for d, t in rows)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"]) for r in word_bpe.encode_decode(frame, WORDS, digest=True).collect()} == want
+
+
 def covered(texts, n):
     seen = collections.Counter(b[i:i + n] for b in texts for i in range(len(b) - n + 1))
     for b in texts:
