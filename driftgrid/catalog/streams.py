@@ -7,7 +7,7 @@ from driftgrid.operators import reports as rep
 from driftgrid.plans import star
 from driftgrid.plans.star import hour_of, with_views
 from driftgrid.streaming import state, windows
-from driftgrid.streaming.source import MARKER, deliver, hourly_steps, marker_folder, positions, run_to_table
+from driftgrid.streaming.source import MARKER, hourly_steps, marker_folder, positions, replay, run_to_table
 
 P = with_views("positions")
 # One row per individual and hour: its last event.
@@ -109,6 +109,5 @@ def str8(spark, d):
     e = star.table(spark, d, "events")
     last = e.select(hour_of("ts").alias("h")).agg(F.max("h")).first()[0]
     early, on_time = hour_of("ts") < last, F.col("event_id") % 10 != 0
-    path = deliver(spark, [e.filter(on_time & early), e.filter(on_time & ~early), e.filter(~on_time)])
-    out = run_to_table(windows.counts(positions(spark, path, maxFilesPerTrigger="1")), "late")
+    out = replay(spark, [e.filter(on_time & early), e.filter(on_time & ~early), e.filter(~on_time)], windows.counts, "late")
     return out.select(hour_of("start").cast("int").alias("hour"), "n")

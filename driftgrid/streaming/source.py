@@ -104,8 +104,38 @@ def run_to_table(stream: DataFrame, label: str, finished: list | None = None, ma
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def replay(spark: SparkSession, parts, build, label: str, finished: list | None = None) -> DataFrame:
+    """The table that build makes of the position stream when the event frames `parts` arrive one after the other.
+
+    The normal tasks write each part, and one run from the same checkpoint reads all its files as one batch. Until
+    the marker has arrived no empty batch follows a part, so the watermark moves from part to part only.
+    """
+    path, out, ckpt = work_path(spark, "arrivals"), work_path(spark, label), work_path(spark, label + "-state")
+    key, stream = "spark.sql.streaming.noDataMicroBatches.enabled", None
+    old = spark.conf.get(key)
+    for part in (*parts, None):
+        if part is None:
+            end_replay(spark, path)
+        else:
+            part.write.mode("append").parquet(path)
+        stream = stream if stream is not None else build(positions(spark, path))
+        spark.conf.set(key, old if part is None else "false")
+        try:
+            with rocksdb(spark):
+                dropped = _drain(stream.writeStream.outputMode("append").trigger(availableNow=True).format("parquet")
+                                 .option("path", out).option("checkpointLocation", ckpt).start())
+        finally:
+            spark.conf.set(key, old)
+        if finished is not None:
+            finished.append(dropped)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def deliver(spark: SparkSession, parts) -> str:
-    """Write event frames one after the other into one folder, as files that arrive in this order."""
+    """Write small event frames one after the other into one folder, as one file each that arrive in this order.
+
+    One task writes a part; `replay` is for whole tables.
+    """
     path = work_path(spark, "arrivals")
     for part in parts:
         part.coalesce(1).write.mode("append").parquet(path)

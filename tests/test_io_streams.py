@@ -1,5 +1,7 @@
 """Readers on hand-written files, and streams fed out of order over several batches."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,6 +140,24 @@ def test_late_rows_are_dropped_and_counted(spark, sf):
     assert out.filter(late).count() == n - dropped - e.filter(~late).count()
 
 
+def test_late_rows_query_writes_its_parts_by_many_tasks(spark, sf, rows, tmp_path):
+    from driftgrid.catalog import ORACLES, QUERIES
+    from tests.oracle import connect
+    from driftgrid.plans.lineage import shared_dir
+    star.table(spark, sf, "events").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    old, key = set(Path(shared_dir(spark)).glob("arrivals-*")), "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64k")
+    try:
+        got = rows(QUERIES["str8_late_rows"](spark, str(tmp_path)), "hour", "n")
+    finally:
+        spark.conf.set(key, before)
+    made, = set(Path(shared_dir(spark)).glob("arrivals-*")) - old
+    assert len(list(made.glob("*.parquet"))) > 4         # three parts and the marker
+    want = connect(sf).execute(ORACLES["str8_late_rows"]).fetchall()
+    assert got == sorted(want)
+
+
 def test_hourly_steps_match_the_batch_view(spark, sf, rows):
     marker = marker_folder(spark)
     steps = real(run_to_table(hourly_steps(positions(spark, f"{sf}/events.parque[t]", marker=marker)), "steps", marker=marker))
