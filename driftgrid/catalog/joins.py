@@ -197,9 +197,8 @@ def join16(spark, d):
 
 @query("join16_align_or_fail", with_views("cells", "field") + "SELECT cell_id, t, salinity FROM field WHERE cell_id IN (SELECT cell_id FROM cells)")
 def join16f(spark, d):
-    """Every part has shipments, so the check passes and the forcing comes back aligned."""
-    held = star.field(spark, d).select("cell_id").distinct()
-    return lk.align_or_fail(star.cells(spark, d).join(held, "cell_id", "left_semi"), star.field(spark, d)).select("cell_id", "t", "salinity")
+    """Raises when a part has no shipments; else the forcing comes back aligned."""
+    return lk.align_or_fail(star.cells(spark, d), star.field(spark, d)).select("cell_id", "t", "salinity")
 
 
 @query("join17_origin_dispatch", with_views("agents") + """SELECT agent_id, CASE WHEN origin = 1 AND behavior = 1 THEN 1.5 WHEN origin = 1 AND behavior = 3 THEN 2.0

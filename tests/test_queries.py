@@ -3,6 +3,7 @@
 import pytest
 
 from driftgrid.catalog import ORACLES, QUERIES
+from driftgrid.plans import star
 from tests.oracle import both, connect
 
 
@@ -27,3 +28,10 @@ def test_entry_contract(spark):
 
 def test_every_query_without_sql_is_known():
     assert set(QUERIES) - set(ORACLES) == {"grf5_bridge_gaps", "grf15_expand_ranges", "join5_encounter_totals"}
+
+
+def test_align_or_fail_query_sees_cells_without_forcing(spark, sf, tmp_path):
+    star.table(spark, sf, "part").write.parquet(f"{tmp_path}/part.parquet")
+    star.table(spark, sf, "lineitem").filter("l_partkey != 7").write.parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.raises(ValueError, match="1 cell.* 7$"):
+        QUERIES["join16_align_or_fail"](spark, str(tmp_path))
