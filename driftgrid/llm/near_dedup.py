@@ -15,6 +15,7 @@ from driftgrid.llm.common import stored
 WORDS, SIMILAR = 5, 0.8
 DRAWS, KEEP = 16, 3
 BINS, BLOCK = 256, 64
+SLIDE = 4096
 SHARES = (1 / 64, 1 / 8, 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.uint64)
@@ -61,6 +62,52 @@ def order_minhash(s: np.ndarray, draws: int = DRAWS, keep: int = KEEP) -> list[i
     return out
 
 
+def in_order(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose matches lie within the band.
+
+    One bit for each position of b, a zero where a match ends. Only bits inside the band can change: those
+    below are settled, those above are still ones, so a window is held that moves SLIDE positions at a
+    time. Positions of a shingle are a slice of one sorted array; a shingle at more than 1 / 1024 of b has a
+    mask, and there are fewer than 2,048 of these. Memory is linear in the text.
+    """
+    m = len(b)
+    by = np.argsort(b, kind="stable")
+    first, end = np.searchsorted(b[by], a, "left"), np.searchsorted(b[by], a, "right")
+    met = np.flatnonzero(end > first)
+    where, masks, few = by.tolist(), {}, m >> 10
+    wide = (1 << (2 * band + 1)) - 1
+    v = base = top = settled = turn = 0
+    for i, s, e in zip(met.tolist(), first[met].tolist(), end[met].tolist(), strict=True):
+        if i >= turn:
+            low, high = min(max(i - band, 0), m), min(i + SLIDE + band + 1, m)
+            v |= ((1 << (high - top)) - 1) << (top - base)
+            settled += low - base - (v & ((1 << (low - base)) - 1)).bit_count()
+            v >>= low - base
+            base, top, turn = low, high, i + SLIDE
+            full = (1 << (top - base)) - 1
+        if e - s == 1:
+            j = where[s]
+            if not -band <= j - i <= band:
+                continue
+            hit = 1 << (j - base)
+        elif e - s <= few:
+            hit = 0
+            for j in where[s:e]:
+                if -band <= j - i <= band:
+                    hit |= 1 << (j - base)
+        else:
+            hit = masks.get(s)
+            if hit is None:
+                bits = np.zeros(m, np.uint8)
+                bits[by[s:e]] = 1
+                hit = masks[s] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+            low = i - band - base
+            hit = hit >> base & (wide << low if low > 0 else wide >> -low)
+        u = v & hit
+        v = ((v + u) | (v - u)) & full
+    return settled + top - base - v.bit_count()
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """Shingles matched in order over shingles in either: common / (|a| + |b| - common); 0 if it can't reach `least`.
 
@@ -77,22 +124,10 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     top = min(len(a), len(b))
     same = a[len(a) - top:][::-1] == b[len(b) - top:][::-1]
     tail = top if same.all() else int(same.argmin())
-    a, b = a[:len(a) - tail].tolist(), b[:len(b) - tail].tolist()
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
     common = head + tail
-    if a and b:
-        band = int((n + m) * (1 - least) / (1 + least)) + 1
-        where: dict[int, int] = {}
-        for j, x in enumerate(b):
-            where[x] = where.get(x, 0) | (1 << j)
-        full = (1 << len(b)) - 1
-        v, wide = full, (1 << (2 * band + 1)) - 1
-        for i, x in enumerate(a):
-            hit = where.get(x)
-            if hit is None:
-                continue
-            u = v & hit & (wide << (i - band) if i > band else wide >> (band - i))
-            v = ((v + u) | (v - u)) & full
-        common += len(b) - v.bit_count()
+    if len(a) and len(b):
+        common += in_order(a, b, int((n + m) * (1 - least) / (1 + least)) + 1)
     s = common / (n + m - common)
     return s if s >= least else 0.0
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -145,6 +146,39 @@ def test_near_duplicates(docs, odd, empty):
     assert near_dedup.without_near_copies(odd).columns == odd.columns and near_dedup.near_duplicates(empty).count() == 0
 
 
+def in_order_matches(a, b):
+    """Longest common subsequence by the textbook table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        left = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(left[j] + 1 if x == y else max(row[j], left[j + 1]))
+    return row[-1]
+
+
+def test_alignment_of_long_texts_holds_only_the_band(monkeypatch):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 60, 60_000).astype(np.uint64)
+    b = a.copy()
+    b[[0, *range(5, 60_000, 30), 59_999]] = 7            # both ends differ, so nothing is stripped; 7 is in b alone
+    tracemalloc.start()
+    try:
+        found, peak = near_dedup.aligned(a, b), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    common = int((a == b).sum())
+    assert found == common / (2 * len(a) - common) and peak < 40_000_000
+    monkeypatch.setattr(near_dedup, "SLIDE", 3)          # many slides of the window on small texts
+    for k in range(300):
+        x = rng.integers(0, (3, 12, 1000)[k % 3], int(rng.integers(1, 60))).astype(np.uint64)
+        y = np.insert(np.delete(x, rng.integers(0, len(x), k % 7)), 0, rng.integers(0, 12, k % 4).astype(np.uint64))
+        if len(y):
+            common = in_order_matches(x.tolist(), y.tolist())
+            s = common / (len(x) + len(y) - common)
+            assert near_dedup.aligned(x, y) == (s if s >= 0.8 else 0.0)
+
+
 def near_classes(texts):
     """Class of each text by brute force: all pairs that share a draw are aligned."""
     bags = [near_dedup.shingles(near_dedup.word_ids(t)) for t in texts]
