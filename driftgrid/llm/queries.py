@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftgrid.llm import exact_dedup, language, near_dedup, packing, pivot_search, quality, repeats, sharding, toxicity, word_bpe
+from driftgrid.llm import (exact_dedup, fill_middle, language, near_dedup, packing, pivot_search, quality, repair, repeats, sharding,
+                           toxicity, vector_dedup, word_bpe)
 from driftgrid.llm.common import table
 
 
@@ -53,8 +54,24 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(talks), talks.select(F.col("conv_id").alias("conv"))).withColumnRenamed("conv", "conv_id")
+
+
+def op12_fill_middle(spark, sf_dir):
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_vector_dedup(spark, sf_dir):
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_pivot_search, op2_suffix_repeats, op3_packing, op4_toxicity, op5_word_bpe, op6_sharding,
-                                   op7_quality, op8_order_minhash, op9_language, op10_exact_dedup)}
+                                   op7_quality, op8_order_minhash, op9_language, op10_exact_dedup, op11_conversation_repair, op12_fill_middle, op13_vector_dedup)}
 
 ORACLES = {
     "op1_pivot_search": """
@@ -69,4 +86,25 @@ ORACLES = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY k) AS group_size, row_number() OVER w = 1 AS kept,
                sha256(k) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY k ORDER BY points DESC, doc_id)""",
+    "op12_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        k AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+                     ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+        u AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+                     CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+        p AS (SELECT *, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:b], '') AS mid, array_to_string(w[b + 1:n], '') AS suf FROM u)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_vector_dedup": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                                     AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.r AS r, b.r AS s FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+              WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach AS (SELECT r, r AS s FROM v UNION SELECT reach.r, l.s FROM reach JOIN l ON l.r = reach.s),
+        c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.s GROUP BY reach.r)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.r = v.r) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+        FROM v JOIN c USING (r)""",
 }
