@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftgrid.functions.domain import daily_to_hourly
 from driftgrid.functions.rand import Key, categorical, count_le, draw, hash_u, normal, poisson
 from driftgrid.operators.filters import active_mask
+from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked, running
 
 
@@ -81,22 +82,24 @@ def pick_mate(parents: DataFrame, members: DataFrame, seed: int) -> DataFrame:
 def weighted_cells(draws: DataFrame, cells: DataFrame, weight: str, seed: int, buckets: int | None = None) -> DataFrame:
     """One cell per draw(agent_id), with probability proportional to weight; -1 with no weight at all.
 
-    The cumulative weight is a span scan. Every cell owns an interval of [0,1) and is listed in the
-    buckets it overlaps, so a draw meets only the few cells of its bucket. The number of buckets
-    follows the number of cells, and a heavy cell simply covers many buckets.
+    The cumulative weight is a scan whose spans follow the cells' ids. Every cell owns an interval that begins where the one
+    before it ends, exactly, and is listed in the buckets it overlaps, so a draw meets only the few cells of its
+    bucket. The number of buckets follows the number of cells, and a heavy cell simply covers many buckets.
     """
     live = cells.filter(F.col(weight) > 0).select("cell_id", F.col(weight).cast("double").alias("__w"))
-    stats = live.agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("total")).first()
+    sums = cut(running(live, [], "cell_id", {"__sum": ("sum", F.col("__w"))}, span=None))
+    # Sums of neighbouring spans may differ in their last bit; the largest sum so far is where an interval begins.
+    cum = running(sums, [], "cell_id", {"__before": ("max", F.col("__sum"))}, before=True, span=None)
+    cum = cut(cum.select("cell_id", F.coalesce("__before", F.lit(0.0)).alias("__lo"), F.greatest("__before", "__sum").alias("__hi")))
+    stats = cum.agg(F.count(F.lit(1)).alias("n"), F.max("__hi").alias("total")).first()
     if not stats["n"]:
         return draws.withColumn("cell", F.lit(-1).cast("long"))
     b = buckets or stats["n"]
     total = F.lit(float(stats["total"]))
-    cum = running(live, [], "cell_id", {"__hi": ("sum", F.col("__w"))}, span=65536)
     # Bounds stay in weight units, so a draw is compared with exact sums when weights are integers.
-    lo, hi = F.col("__hi") - F.col("__w"), F.col("__hi")
     last = F.lit(b - 1)
-    per = cum.select("cell_id", lo.alias("__lo"), hi.alias("__hi"), F.explode(F.sequence(
-        F.least(F.floor(lo / total * b), last), F.least(F.floor(hi / total * b), last))).alias("__b"))
+    per = cum.filter("__lo < __hi").select("cell_id", "__lo", "__hi", F.explode(F.sequence(
+        F.least(F.floor(F.col("__lo") / total * b), last), F.least(F.floor(F.col("__hi") / total * b), last))).alias("__b"))
     u = hash_u(seed, "introduce", "agent_id")
     drawn = draws.withColumn("__u", u * total).withColumn("__b", F.least(F.floor(F.col("__u") / total * b), last))
     hit = drawn.join(per, "__b").filter((F.col("__lo") <= F.col("__u")) & (F.col("__u") < F.col("__hi")))

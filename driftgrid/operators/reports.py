@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.rand import Key, hash_u
+from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import previous
 from driftgrid.plans.quantile import quantiles
 
@@ -63,11 +64,10 @@ def dispersal(tracks: DataFrame, centroids: DataFrame) -> DataFrame:
     xy = centroids.select(F.col("cell_id").alias("cell"), "x", "y")
     placed = tracks.select("time", "agent_id", "cell").join(xy, "cell")
     first = placed.groupBy("agent_id").agg(F.min_by(F.struct("x", "y"), "time").alias("o"))
-    moved = placed.join(first, "agent_id").select(
-        "time", F.sqrt(F.pow(F.col("x") - F.col("o.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("o.y"), F.lit(2.0))).alias("d"))
-    mid = quantiles(moved, ["time"], "d", {"median_displacement": 0.5})
-    return (moved.groupBy("time").agg(F.avg("d").alias("mean_displacement"), F.max("d").alias("max_displacement"))
-            .join(mid, "time"))
+    moved = cut(placed.join(first, "agent_id").select(
+        "time", F.sqrt(F.pow(F.col("x") - F.col("o.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("o.y"), F.lit(2.0))).alias("d")))
+    return quantiles(moved, ["time"], "d", {"median_displacement": 0.5},
+                     also={"mean_displacement": F.avg("d"), "max_displacement": F.max("d")})
 
 
 def genetic_report(genotypes: DataFrame, locus: str, n_alleles: int) -> DataFrame:
@@ -178,10 +178,10 @@ def cross_region_links(cells: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ensemble_summary(runs: DataFrame, value: str = "size") -> DataFrame:
     """Mean, population sd, min, median and max over the replicates of each step."""
-    q = quantiles(runs.withColumn(value, F.col(value).cast("double")), ["step"], value, {"median": 0.5}, scale=1.0)
-    return runs.groupBy("step").agg(
-        F.count(F.lit(1)).alias("n_runs"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"),
-        F.min(value).alias("low"), F.max(value).alias("high")).join(q, "step")
+    kind = runs.schema[value].dataType
+    out = quantiles(runs.withColumn(value, F.col(value).cast("double")), ["step"], value, {"median": 0.5}, also={
+        "n_runs": F.count(F.lit(1)), "mean": F.avg(value), "sd": F.stddev_pop(value), "low": F.min(value).cast(kind), "high": F.max(value).cast(kind)})
+    return out.select("step", "n_runs", "mean", "sd", "low", "high", "median")
 
 
 def final_state(runs: DataFrame) -> DataFrame:

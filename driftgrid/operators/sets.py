@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.plans.ordered import ranked_by_value
@@ -52,9 +52,13 @@ def unmatched(cells: DataFrame, matched: DataFrame, default: str) -> DataFrame:
 def rank_frontier(frontier: DataFrame, layer: DataFrame, value: str, threshold: float, most: int) -> DataFrame:
     """Best cells of each individual's frontier by value, ties by cell; most is the range limit.
 
-    The rank is distributed, so a wide frontier does not have to fit one task.
+    A rank that is filtered to a small limit keeps at most that many rows of an individual per task before anything is shuffled,
+    so a wide frontier does not have to fit one task. Above the limit that the optimizer cuts early, the rank itself is distributed.
     """
     worth = (frontier.select("agent_id", "cell_id").distinct()
              .join(layer.select("cell_id", F.col(value).alias("worth")), "cell_id").filter(F.col("worth") >= threshold))
-    out = ranked_by_value(worth, ["agent_id"], "worth", "cell_id", descending=True)
+    if most <= int(worth.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        out = worth.withColumn("rank", F.row_number().over(Window.partitionBy("agent_id").orderBy(F.desc("worth"), "cell_id")).cast("long"))
+    else:
+        out = ranked_by_value(worth, ["agent_id"], "worth", "cell_id", descending=True)
     return out.filter(F.col("rank") <= most).select("agent_id", "cell_id", "worth", "rank")

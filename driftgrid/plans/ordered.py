@@ -1,6 +1,7 @@
-"""Prefix scans over (key, integer order) that never put a whole key in one task.
+"""Prefix scans over (key, order) that never put a whole key in one task.
 
-A plain window puts every row of a key in one task. Here the order axis is cut into fixed spans:
+A plain window puts every row of a key in one task. Here the order axis is cut into spans, of fixed
+width where the order is a time step, or by the counts of the rows (plans/spans.py) where it is an id or a value:
 each (key, span) is reduced to one total with map-side combine, the totals (smaller than the rows
 by the span) are scanned per key, and each span gets its carry back as one extra seed row that
 sorts first. The row-level window then runs per (key, span), so a key that holds a third of the
@@ -12,8 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftgrid.plans.spans import with_spans
+
 STEP_SPAN = 4096        # time steps per span; (key, step) is unique in tracks
-ID_SPAN = 65536         # ids per span; ids are unique
 
 _FOLD = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min,
          "row": F.last, "last": lambda c: F.last(c, ignorenulls=True),
@@ -35,21 +37,30 @@ def _total(kind: str, value: Column, order: Column) -> Column:
 
 
 def running(df: DataFrame, keys, order: str, folds: dict, *, ties=(), before: bool = False,
-            span: int = STEP_SPAN) -> DataFrame:
+            span: int | None = STEP_SPAN, **depth) -> DataFrame:
     """Add one running value per entry of folds = {name: (kind, column)}.
 
     kind is sum, count, max, min, last or first (the last two skip nulls), or row, the last row's
-    value even when null. before=True excludes the current row, so row is then lag. order is an integral column
-    whose values per key are unique, or unique together with the ties columns; with ties, rows of
-    one order value must be few.
+    value even when null. before=True excludes the current row, so row is then lag. Values of order are unique
+    per key, or unique together with the ties columns; with ties, rows of one order value must be few.
+
+    span is the fixed width of spans on an integral order: at most 2^19 of them for a 32-bit step, whatever the
+    steps are. None cuts spans by counts (span_rows and most in depth, see plans/spans.py), for ids and values of any
+    spread; a key that fits one span is then an ordinary window, and an integral or floating order will do.
     """
     keys = list(keys)
     folds = {n: ("count" if k == "count" else k, F.lit(1).cast("long") if k == "count" else _col(c))
              for n, (k, c) in folds.items()}
     tmp = {n: f"__in_{n}" for n in folds}
-    rows = df.select("*", F.expr(f"cast(`{order}` as bigint) div {span}").alias("__span"),
-                     F.lit(False).alias("__seed"),
-                     *[c.alias(tmp[n]) for n, (_, c) in folds.items()])
+    frame = (Window.unboundedPreceding, -1 if before else 0)
+    if span is None:
+        cut_up = with_spans(df, keys, order, **depth)
+        if cut_up is None:
+            w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(order), *[_col(t) for t in ties]).rowsBetween(*frame)
+            return df.select("*", *[_FOLD[k](c).over(w).alias(n) for n, (k, c) in folds.items()])
+    else:
+        cut_up = df.withColumn("__span", F.expr(f"cast(`{order}` as bigint) div {span}"))
+    rows = cut_up.select("*", F.lit(False).alias("__seed"), *[c.alias(tmp[n]) for n, (_, c) in folds.items()])
     # A tie-broken order is compared as a struct, so the last value is the one the window sees last.
     rank = F.struct(F.col(order), *[_col(t) for t in ties]) if ties else F.col(order)
     totals = rows.groupBy(*keys, "__span").agg(
@@ -61,7 +72,7 @@ def running(df: DataFrame, keys, order: str, folds: dict, *, ties=(), before: bo
                             for n, (k, _) in folds.items()])
     w = (Window.partitionBy(*keys, "__span")
          .orderBy(F.col("__seed").desc(), F.col(order), *[_col(t) for t in ties])
-         .rowsBetween(Window.unboundedPreceding, -1 if before else 0))
+         .rowsBetween(*frame))
     out = rows.unionByName(seeds, allowMissingColumns=True)
     return (out.select("*", *[_FOLD[k](F.col(tmp[n])).over(w).alias(n) for n, (k, _) in folds.items()])
             .filter(~F.col("__seed")).drop("__span", "__seed", *tmp.values()))
@@ -94,25 +105,23 @@ def previous(df: DataFrame, keys, order: str, cols: dict, *, span: int = STEP_SP
     return running(df, keys, order, {n: ("row", c) for n, c in cols.items()}, before=True, span=span)
 
 
-def ranked(df: DataFrame, keys, order: str, name: str = "rank", *, ties=(), span: int = ID_SPAN) -> DataFrame:
-    """1-based row number per key in order, without gathering a key."""
-    return running(df, keys, order, {name: ("count", F.lit(1))}, ties=ties, span=span)
+def ranked(df: DataFrame, keys, order: str, name: str = "rank", *, ties=(), span: int | None = None, **depth) -> DataFrame:
+    """1-based row number per key in order, without gathering a key; ids may be as sparse as they like."""
+    return running(df, keys, order, {name: ("count", F.lit(1))}, ties=ties, span=span, **depth)
 
 
-def ranked_by_value(df: DataFrame, keys, value: str, tie: str, name: str = "rank", *, descending: bool = False,
-                    scale: float = 1000.0, span: int = 4096) -> DataFrame:
+def ranked_by_value(df: DataFrame, keys, value: str, tie: str, name: str = "rank", *, descending: bool = False, **depth) -> DataFrame:
     """1-based rank by a numeric value, ties by the integral column tie.
 
     Distinct values are counted and scanned for the offset of each value; rows of one value are
-    ranked by tie in id spans. Neither a key nor a popular value has to fit one task.
+    ranked by tie. Both scans cut their spans by counts, so neither a key nor a popular value nor a crowded
+    stretch of values has to fit one task.
     """
     keys = list(keys)
     sign = F.lit(-1.0) if descending else F.lit(1.0)
-    counts = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-              .withColumn("__axis", F.col(value) * sign)
-              .withColumn("__tick", F.floor(F.col("__axis") * F.lit(scale)).cast("long")))
-    ahead = running(counts, keys, "__tick", {"__ahead": ("sum", F.col("__n"))}, ties=["__axis"], before=True, span=span)
-    inner = ranked(df, [*keys, value], tie, "__pos")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__axis", F.col(value) * sign)
+    ahead = running(counts, keys, "__axis", {"__ahead": ("sum", F.col("__n"))}, before=True, span=None, **depth)
+    inner = ranked(df, [*keys, value], tie, "__pos", **depth)
     return (inner.join(ahead.select(*keys, value, "__ahead"), [*keys, value])
             .withColumn(name, F.coalesce("__ahead", F.lit(0)) + F.col("__pos")).select(*df.columns, name))
 

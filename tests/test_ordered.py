@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.plans.ordered import previous, ranked, ranked_by_value, running
 from driftgrid.plans.quantile import quantiles
+from driftgrid.plans.spans import with_spans
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,60 @@ def test_running_equals_window(skewed, rows, span):
     assert sorted(map(repr, rows(got, *cols))) == sorted(map(repr, rows(want, *cols)))
 
 
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Ids over 63 bits, half of them in one crowded stretch; a key that holds a third of the rows, and as many with a null key."""
+    rnd = random.Random(11)
+    ids = rnd.sample(range(1 << 62, (1 << 62) + 4000), 2000) + [rnd.randrange(-(1 << 63), (1 << 63) - 1) for _ in range(2000)]
+    rows = [(None if i % 3 == 0 else 1 if i % 3 == 1 else rnd.randrange(2, 300), t, rnd.random(), i % 7) for i, t in enumerate(ids)]
+    return spark.createDataFrame(rows, "k long, t long, v double, c long").repartition(6).cache()
+
+
+def test_spans_follow_the_rows(sparse):
+    whole = with_spans(sparse, [], "t", span_rows=100)
+    sizes = [r["count"] for r in whole.groupBy("__span").count().collect()]
+    assert len(sizes) == 40 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert whole.groupBy("__span").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("__span").toPandas().pipe(lambda p: (p["a"][1:].to_numpy() > p["b"][:-1].to_numpy()).all())
+    keyed = with_spans(sparse, ["k"], "t", span_rows=100, most=16)
+    sizes = keyed.groupBy("k", "__span").count().toPandas()
+    assert sizes[sizes["k"].isna()]["count"].max() <= 2 * 1334 / 16 and sizes[sizes["k"] == 1]["count"].max() <= 2 * 1334 / 16
+    assert with_spans(sparse, [], "t") is None and with_spans(sparse, ["k"], "t") is None
+
+
+@pytest.mark.parametrize("depth", [{"span_rows": 100}, {"span_rows": 7, "most": 64}, {}])
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_running_over_sparse_ids_equals_window(sparse, rows, keys, depth):
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    got = running(sparse, keys, "t", {"s": ("sum", F.col("c")), "n": ("count", F.lit(1)), "hi": ("max", F.col("v"))}, span=None, **depth)
+    got = running(got, keys, "t", {"p": ("row", F.col("c"))}, before=True, span=None, **depth)
+    want = sparse.select("*", F.sum("c").over(w).alias("s"), F.count(F.lit(1)).over(w).alias("n"), F.max("v").over(w).alias("hi"), F.last("c").over(before).alias("p"))
+    assert sorted(map(repr, rows(got, "t", "s", "n", "hi", "p"))) == sorted(map(repr, rows(want, "t", "s", "n", "hi", "p")))
+
+
+def test_rank_of_crowded_values(sparse, rows):
+    crowded = sparse.withColumn("v", F.when(F.col("c") < 3, F.col("v") * 1e-12).when(F.col("c") < 5, F.lit(0.5)).otherwise(F.col("v") * 1e12))
+    for keys in ([], ["k"]):
+        got = ranked_by_value(crowded.filter("k is not null"), keys, "v", "t", "r", span_rows=50, most=32)
+        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("v", "t")
+        want = crowded.filter("k is not null").select("*", F.row_number().over(w).cast("long").alias("r"))
+        assert rows(got, "t", "r") == rows(want, "t", "r")
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
+def test_quantiles_of_values_between_zero_and_one(sparse, accuracy):
+    wanted = {"low": 0.0, "a": 0.37, "mid": 0.5, "top": 1.0}
+    frames = [sparse, sparse.withColumn("v", F.round("v", 1)), sparse.withColumn("v", F.when(F.col("c") == 0, float("nan")).otherwise(F.exp(F.col("v") * 600)))]
+    for f in frames:
+        v = f.filter("not isnan(v)")
+        for keys in ([], ["k"]):
+            got = quantiles(f, keys, "v", wanted, also={"n": F.count(F.lit(1))}, accuracy=accuracy).toPandas()
+            want = v.groupBy(*keys).agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in wanted.items()], F.count(F.lit(1)).alias("n")).toPandas()
+            key = keys + ["n"]
+            a, b = got.sort_values(key)[[*key, *wanted]].to_numpy(), want.sort_values(key)[[*key, *wanted]].to_numpy()
+            assert a.shape == b.shape and all(pytest.approx(y, rel=1e-9, nan_ok=True) == x for x, y in zip(a.astype(float).ravel(), b.astype(float).ravel()))
+
+
 @pytest.mark.parametrize("span", [1, 64, 10 ** 9])
 def test_previous_is_lag(skewed, rows, span):
     w = Window.partitionBy("k").orderBy("t")
@@ -37,18 +92,18 @@ def test_previous_is_lag(skewed, rows, span):
 
 
 def test_ranked_global_and_by_value(skewed, rows):
-    got = ranked(skewed, [], "t", "r", span=50)
+    got = ranked(skewed, [], "t", "r", span_rows=50)
     want = skewed.select("*", F.row_number().over(Window.orderBy("t")).cast("long").alias("r"))
     assert rows(got, "t", "r") == rows(want, "t", "r")
     solid = skewed.withColumn("v", F.col("c").cast("double"))       # heavy ties
-    got = ranked_by_value(solid, ["k"], "v", "t", "r", descending=True, scale=1.0, span=2)
+    got = ranked_by_value(solid, ["k"], "v", "t", "r", descending=True, span_rows=2, most=16)
     want = solid.select("*", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("v"), "t")).cast("long").alias("r"))
     assert rows(got, "k", "t", "r") == rows(want, "k", "t", "r")
 
 
 def test_quantiles_are_exact(skewed):
     v = skewed.filter("v is not null")
-    got = {r["k"]: (r["a"], r["b"]) for r in quantiles(v, ["k"], "v", {"a": 0.5, "b": 0.9}, scale=3.0, span=4).collect()}
+    got = {r["k"]: (r["a"], r["b"]) for r in quantiles(v, ["k"], "v", {"a": 0.5, "b": 0.9}, accuracy=40).collect()}
     want = {r["k"]: (r["a"], r["b"]) for r in v.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("a"), F.percentile("v", F.lit(0.9)).alias("b")).collect()}
     assert got.keys() == want.keys()
     for k in want:
