@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -18,11 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()     # where stored() wrote a frame
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read back: lost executors cost no recomputation, and row ids freeze."""
     path = work_path(df.sparkSession, label)
+    for scope in _SCOPES:
+        scope.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+@contextmanager
+def written_tables() -> Iterator[list[str]]:
+    """The paths of all tables that stored() writes inside the block; whoever writes the block's result can delete them then."""
+    _SCOPES.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _SCOPES.remove(paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders through the file system that holds them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the tables of frames from stored() that nothing reads any more."""
+    for frame in frames:
+        delete(frame.sparkSession, [_PATHS[frame]])
 
 
 def lean_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from driftgrid.llm.common import chunks, stored
+from driftgrid.llm.common import chunks, discard, stored
 
 GRAM = 64
 LETTER = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -135,9 +135,9 @@ def maximal_repeats(places: list[tuple[bytes, bytes]], least: int) -> Iterator[t
                 yield reach, right, who
 
 
-def sorted_reach(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
+def sorted_reach(rows: DataFrame, side: str, other: str, name: str) -> tuple[DataFrame, DataFrame]:
     """rows with `name`, how many bytes of column `side` each row shares at most with any other row of its anchor,
-    and `name`_with, how many bytes of `other` it shares with the neighbour that shares so many.
+    and `name`_with, how many bytes of `other` it shares with the neighbour that shares so many; and the written table behind it.
 
     A distributed suffix sort: rows are range-partitioned and sorted by (anchor, bytes), so an anchor of any
     size spreads over tasks, and the longest common prefix is with a neighbour. The two end rows of a
@@ -178,8 +178,9 @@ def sorted_reach(rows: DataFrame, side: str, other: str, name: str) -> DataFrame
             patch += [(x["part"], x["edge"], n), (y["part"], y["edge"], n)]
     more = rows.sparkSession.createDataFrame(patch, "part int, edge int, more long").groupBy("part", "edge").agg(F.max("more").alias("more"))
     best = F.greatest("best", F.coalesce("more", F.lit(0)))
-    return (out.join(F.broadcast(more), ["part", "edge"], "left")           # two rows per task at most
-            .withColumns({name: F.shiftright(best, 32), f"{name}_with": best.bitwiseAND(F.lit((1 << 32) - 1))}).drop("part", "edge", "best", "more"))
+    reached = (out.join(F.broadcast(more), ["part", "edge"], "left")        # two rows per task at most
+               .withColumns({name: F.shiftright(best, 32), f"{name}_with": best.bitwiseAND(F.lit((1 << 32) - 1))}).drop("part", "edge", "best", "more"))
+    return reached, out
 
 
 def _key(text: str = "text"):
@@ -246,7 +247,8 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, Data
     found = stored(texts.filter(F.octet_length("text") >= length).mapInPandas(_anchors(length), "d1 long, d2 long, pos long, a long, b long"), "repeat-anchors")
     place = F.xxhash64("d1", "d2", "pos")
     again = stored(found.groupBy("a").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi").select("a"), "repeat-again")
-    found = stored(found.join(again.hint("merge"), "a"), "repeat-found")
+    every, found = found, stored(found.join(again.hint("merge"), "a"), "repeat-found")
+    discard(every, again)
     several = stored(found.groupBy("a", "b").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.min(F.struct("d1", "d2", "pos")).alias("at"))
                      .select("a", "b", (F.col("lo") != F.col("hi")).alias("full"), "at.*"), "repeat-contexts")
     reach = length - GRAM
@@ -259,11 +261,16 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, Data
     blobs = _packed(texts.filter(F.octet_length("text") >= length)).groupBy("d1", "d2").agg(F.first("blob").alias("blob"))
     context = stored(blobs.join(wanted.hint("merge"), ["d1", "d2"]).select("d1", "d2", "blob", "places").mapInPandas(
         _contexts(length), "a long, d1 long, d2 long, pos long, full boolean, left binary, right binary"), "repeat-bytes")
-    reached = sorted_reach(context, "right", "left", "r")
-    reached = sorted_reach(reached, "left", "right", "l").filter(F.col("l") + F.col("r") >= length)
+    discard(wanted)
+    reached, right = sorted_reach(context, "right", "left", "r")
+    discard(context)
+    reached, both = sorted_reach(reached, "left", "right", "l")
+    discard(right)
+    reached = reached.filter(F.col("l") + F.col("r") >= length)
     met = (F.col("r") + F.col("r_with") >= length) & (F.col("l") + F.col("l_with") >= length)        # both bounds are reached by repeats
     cut = stored(reached.select("a", "d1", "d2", "pos", (met | F.col("full")).alias("met"), F.expr("substring(left, 1, int(l))").alias("left"),
                                 F.expr("substring(right, 1, int(r))").alias("right")), "repeat-cut")
+    discard(both)
     shared = cut.filter("met").select("d1", "d2", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
     rest = cut.filter("not met").select("a").distinct()
     same = (cut.join(rest.hint("merge"), "a").groupBy("a", "left", "right").agg(F.min(F.struct("d1", "d2", "pos", "met")).alias("at"), F.count(F.lit(1)).alias("n"))
