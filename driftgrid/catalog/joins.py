@@ -6,6 +6,7 @@ from driftgrid.catalog.base import query
 from driftgrid.operators import encounters as enc
 from driftgrid.operators import lookups as lk
 from driftgrid.operators import neighbours as nb
+from driftgrid.operators.nearest import nearest_cell
 from driftgrid.plans import star
 from driftgrid.plans.star import FIELD_STEPS, SEED, sql_u, with_views
 
@@ -187,7 +188,7 @@ def join14(spark, d):
   QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY sqrt(power(x - px, 2) + power(y - py, 2)), cell_id) = 1""")
 def join15(spark, d):
     pts = star.table(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), ((F.col("c_acctbal") + 1000) / 130 - 5).alias("x"), (F.col("c_custkey") / 18.0 - 5).alias("y"))
-    return lk.nearest_cell(pts, star.cells(spark, d), 2.0).withColumn("dist", F.round("dist", 6))
+    return nearest_cell(pts, star.cells(spark, d), 2.0).withColumn("dist", F.round("dist", 6))
 
 
 @query("join16_align_missing", with_views("cells", "ranges") + "SELECT cell_id FROM cells WHERE cell_id NOT IN (SELECT cell_id FROM ranges)")

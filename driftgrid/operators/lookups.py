@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.rand import Key, hash_u
-from driftgrid.plans.lineage import cut
 
 
 def sample_field(rows: DataFrame, field: DataFrame, values, keys=("cell",)) -> DataFrame:
@@ -97,48 +96,6 @@ def barrier_classes(edges: DataFrame, class_map: dict) -> DataFrame:
     return edges.select(F.explode(both).alias("e")).select(F.col("e.s").alias("src"), F.col("e.d").alias("dst"), "e.o.*")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, size: float, point_key: str = "point_id", by=()) -> DataFrame:
-    """(point key, by..., cell_id, dist) of the nearest centre; ties go to the smallest id.
-
-    Points meet only cells of the 3x3 buckets around them. A hit within one bucket width is final;
-    points without one try again with buckets four times as wide, so each round handles only the remainder.
-    by names columns that must match on both sides.
-    """
-    by, key = list(by), [point_key, *by]
-    xy = cells.select("cell_id", "x", "y", *by)
-    box = xy.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    left, done = points.select(*key, F.col("x").alias("px"), F.col("y").alias("py")), None
-    if box["x0"] is None:
-        return left.select(*key, F.lit(None).cast("long").alias("cell_id"), F.lit(None).cast("double").alias("dist")).limit(0)
-    # Points may lie outside the cells; the farthest one bounds the number of rounds.
-    far = left.agg(F.max(F.greatest(F.abs(F.col("px") - box["x0"]), F.abs(F.col("px") - box["x1"]),
-                                    F.abs(F.col("py") - box["y0"]), F.abs(F.col("py") - box["y1"]))).alias("m")).first()["m"] or 0.0
-    reach = max(far, box["x1"] - box["x0"], box["y1"] - box["y0"]) * 1.5 + size
-    while True:
-        found = _nearest_round(left, xy, size, key, by)
-        final = cut(found.filter(F.col("dist") <= size) if size < reach else found)
-        done = final if done is None else done.unionByName(final)
-        if size >= reach:
-            return done
-        left = cut(left.join(final.select(*key), key, "left_anti"))
-        if left.isEmpty():
-            return done
-        size *= 4.0
-
-
-def _nearest_round(points: DataFrame, xy: DataFrame, size: float, key, by) -> DataFrame:
-    def bucket(c):
-        return F.floor(F.col(c) / F.lit(size)).cast("long")
-    shifts = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    # The cell side is replicated: it is the smaller table and each cell lands in nine buckets.
-    around = xy.withColumn("o", F.explode(shifts)).select(
-        "cell_id", "x", "y", *by, (bucket("x") + F.col("o.a")).alias("bx"), (bucket("y") + F.col("o.b")).alias("by"))
-    pairs = points.withColumns({"bx": bucket("px"), "by": bucket("py")}).join(around, ["bx", "by", *by])
-    dist = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") - F.col("py"), F.lit(2.0)))
-    return (pairs.withColumn("dist", dist).groupBy(*key)
-            .agg(F.min(F.struct("dist", "cell_id")).alias("m")).select(*key, "m.cell_id", "m.dist"))
-
-
 def row_neighbours(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """(cell_id, neighbour, slot) for every edge leaving a known cell."""
     return cells.select("cell_id").join(

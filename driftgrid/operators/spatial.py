@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.operators.lookups import nearest_cell
+from driftgrid.operators.nearest import nearest_cell
 
 M_PER_DEG = 111000.0    # metres per degree used for lattice spacing
 

@@ -207,7 +207,7 @@ def test_barriers_at_the_ends(spark, p):
 
 
 def test_nearest_cell_brute_force(spark):
-    from driftgrid.operators.lookups import nearest_cell
+    from driftgrid.operators.nearest import nearest_cell
     rng = np.random.default_rng(5)
     c = rng.uniform(0, 50, (300, 2))
     pts = np.vstack([rng.uniform(-40, 120, (200, 2)), [[1000.0, -700.0]]])
