@@ -39,7 +39,7 @@ def cell_points(spark, d):
 @query("spa1_point_in_polygon", with_views("cells") + SQL_IN + """SELECT cell_id AS point_id, CASE WHEN NOT water THEN -1 ELSE coalesce(region, 9) END AS region FROM cells
   LEFT JOIN (SELECT cell_id, arg_min(region, prio) AS region FROM inn GROUP BY 1) USING (cell_id)""")
 def spa1(spark, d):
-    return spa.point_in_polygon(cell_points(spark, d), rings(spark), 5.0, 9)
+    return spa.point_in_polygon(cell_points(spark, d), rings(spark), 9)
 
 
 @query("agg22_agreement_share", with_views("cells") + SQL_IN + """, f AS (SELECT cell_id IN (SELECT cell_id FROM inn WHERE region = 3) AS a, cell_id IN (SELECT cell_id FROM inn WHERE region IN (1, 4)) AS b FROM cells)
@@ -47,8 +47,8 @@ def spa1(spark, d):
   count(*) FILTER (a) / count(*) AS share_in_a, count(*) FILTER (b) / count(*) AS share_in_b, count(*) FILTER (a AND b) / count(*) AS share_both, count(*) FILTER (a OR b) / count(*) AS share_either,
   count(*) FILTER (NOT a AND NOT b) / count(*) AS share_neither FROM f""")
 def agg22(spark, d):
-    p = spa.inside_any(cell_points(spark, d), rings(spark, {3}), 5.0, "a")
-    return rep.agreement_share(spa.inside_any(p, rings(spark, {1, 4}), 5.0, "b"), "a", "b")
+    p = spa.inside_any(cell_points(spark, d), rings(spark, {3}), "a")
+    return rep.agreement_share(spa.inside_any(p, rings(spark, {1, 4}), "b"), "a", "b")
 
 
 SQL_GRID = """WITH grid AS (SELECT p_size - 1 AS gi, substr(p_brand, 7)::BIGINT - 1 AS gj, max(p_retailprice) AS value FROM part GROUP BY 1, 2),

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.operators.nearest import nearest_cell
+from driftgrid.plans.lineage import cut
 
+SIDES = 32              # sides of a polygon that one tile may hold before it is quartered
+DEEPEST = 30            # quarterings of the whole
 M_PER_DEG = 111000.0    # metres per degree used for lattice spacing
 
 
@@ -20,34 +24,133 @@ def ring_edges(rings: DataFrame) -> DataFrame:
     return a.join(b, ["region", "ring", "next"]).select("region", "priority", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
 
 
-def polygons_of_points(points: DataFrame, rings: DataFrame, band: float) -> DataFrame:
+def _hits(side, x: Column, y: Column, upto: Column) -> Column:
+    """The side meets the ray from (x, y) to the right, not beyond `upto`; a side owns its lower end."""
+    over = (side["y1"] > y) != (side["y2"] > y)
+    at = (side["x2"] - side["x1"]) * (y - side["y1"]) / F.nullif(side["y2"] - side["y1"], F.lit(0.0)) + side["x1"]
+    return F.coalesce(over & (x < at) & (at <= upto), F.lit(False))
+
+
+def _turns(side, x: Column, a: Column, b: Column) -> Column:
+    """The side crosses the vertical line x between the heights a and b."""
+    over = (side["x1"] > x) != (side["x2"] > x)
+    at = (side["y2"] - side["y1"]) * (x - side["x1"]) / F.nullif(side["x2"] - side["x1"], F.lit(0.0)) + side["y1"]
+    return F.coalesce(over & ((at > a) != (at > b)), F.lit(False))
+
+
+def _touches(side, left: Column, low: Column, width: Column) -> Column:
+    """The side meets the closed square."""
+    right, top = left + width, low + width
+    box = ((F.least(side["x1"], side["x2"]) <= right) & (F.greatest(side["x1"], side["x2"]) >= left)
+           & (F.least(side["y1"], side["y2"]) <= top) & (F.greatest(side["y1"], side["y2"]) >= low))
+    turn = [(side["x2"] - side["x1"]) * (y - side["y1"]) - (side["y2"] - side["y1"]) * (x - side["x1"]) for x in (left, right) for y in (low, top)]
+    return box & (F.least(*turn) <= 0) & (F.greatest(*turn) >= 0)
+
+
+class Tiles:
+    """Squares of a common grid; those of level k are 2^k times smaller than the whole."""
+
+    def __init__(self, x0: float, y0: float, extent: float):
+        self.x0, self.y0, self.extent = x0, y0, extent
+
+    def width(self, level: Column) -> Column:
+        return F.lit(self.extent) / F.pow(F.lit(2.0), level)
+
+    def left(self, tile: Column, level: Column) -> Column:
+        return F.lit(self.x0) + tile * self.width(level)
+
+    def low(self, tile: Column, level: Column) -> Column:
+        return F.lit(self.y0) + tile * self.width(level)
+
+    def middle(self, tile: Column, level: Column) -> Column:
+        return F.lit(self.y0) + (tile + F.lit(0.5)) * self.width(level)
+
+    def of(self, x: Column, y: Column, level: Column) -> list[Column]:
+        return [F.floor((x - F.lit(self.x0)) / self.width(level)).cast("long"), F.floor((y - F.lit(self.y0)) / self.width(level)).cast("long")]
+
+
+SIDE = ("x1", "y1", "x2", "y2")
+TILE = ("region", "priority", "level", "tx", "ty")
+
+
+def tile_cover(rings: DataFrame, most: int = SIDES) -> tuple[DataFrame, Tiles] | None:
+    """(region, priority, level, tx, ty, odd, sides): the tiles that meet a polygon, each with at most `most` sides, and their grid.
+
+    A polygon begins with the few tiles of about its own size. Tiles with more sides are quartered, level by level; what
+    is inside without a side is kept whole, what is outside goes. odd says whether the ray to the right from the middle of the tile's
+    right edge meets an odd number of sides. A child gets it from its parent's by counting the parent's sides between the two places, so no
+    tile ever looks at the whole polygon. Tiles DEEPEST levels down keep all their sides.
+    """
+    sides = cut(ring_edges(rings).filter(" AND ".join(f"abs({c}) < double('inf')" for c in SIDE)))
+    ends = [F.least(F.min(f"{c}1"), F.min(f"{c}2")).alias(f"{c}0") for c in "xy"] + [F.greatest(F.max(f"{c}1"), F.max(f"{c}2")).alias(f"{c}3") for c in "xy"]
+    box = sides.agg(*ends).first()
+    if box["x0"] is None:
+        return None
+    grid = Tiles(box["x0"], box["y0"], max(box["x3"] - box["x0"], box["y3"] - box["y0"], 1e-300) * 1.001)
+    own = F.greatest(F.col("x3") - F.col("x0"), F.col("y3") - F.col("y0"))
+    level = F.when(own > 0, F.greatest(F.lit(0), F.least(F.lit(DEEPEST), F.floor(F.log2(F.lit(grid.extent) / own))))).otherwise(DEEPEST).cast("int")
+    span = sides.groupBy("region", "priority").agg(*ends).withColumn("level", level)
+    (ax, ay), (bx, by) = (grid.of(F.col(f"x{i}"), F.col(f"y{i}"), F.col("level")) for i in (0, 3))
+    roots = (span.select("region", "priority", "level", F.explode(F.sequence(ax, bx)).alias("tx"), ay.alias("a"), by.alias("b"))
+             .select("region", "priority", "level", "tx", F.explode(F.sequence("a", "b")).alias("ty")))
+    side = {c: F.col(c) for c in SIDE}
+    here = [F.col("tx"), F.col("ty"), F.col("level")]
+    right, middle = grid.left(here[0] + 1, here[2]), grid.middle(here[1], here[2])
+    inside = _touches(side, grid.left(here[0], here[2]), grid.low(here[1], here[2]), grid.width(here[2]))
+    rows = cut(sides.join(roots, ["region", "priority"]).select(*TILE, *SIDE, _hits(side, right, middle, F.lit(float("inf"))).alias("flip"), inside.alias("touch"), F.lit(False).alias("was")))
+    leaves = []
+    while True:
+        tiles = rows.groupBy(*TILE).agg(F.sum(F.col("touch").cast("long")).alias("n"), (F.sum(F.col("flip").cast("long")) % 2 == 1).alias("odd"), F.max("was").alias("was"))
+        tiles = cut(tiles.withColumn("odd", F.col("odd") != F.col("was")).drop("was").filter("n > 0 OR odd"))
+        touching = rows.filter("touch").select(*TILE, *SIDE)
+        full = (F.col("n") > most) & (F.col("level") < DEEPEST)
+        leaves.append(tiles.filter(~full).select(*TILE, "odd").join(touching, list(TILE), "left")
+                      .groupBy(*TILE, "odd").agg(F.collect_list(F.when(F.col("x1").isNotNull(), F.struct(*SIDE))).alias("sides")))
+        split = tiles.filter(full)
+        if split.isEmpty():
+            break
+        quarter = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+        rows = touching.join(split.select(*TILE, "odd"), list(TILE)).withColumn("q", F.explode(quarter))
+        cx, cy, deeper = F.col("tx") * 2 + F.col("q.i"), F.col("ty") * 2 + F.col("q.j"), F.col("level") + 1
+        new_right, new_middle = grid.left(cx + 1, deeper), grid.middle(cy, deeper)
+        flip = _hits(side, new_right, new_middle, right).cast("int") + _turns(side, right, middle, new_middle).cast("int") == 1
+        inside_child = _touches(side, grid.left(cx, deeper), grid.low(cy, deeper), grid.width(deeper))
+        rows = cut(rows.select("region", "priority", deeper.cast("int").alias("level"), cx.alias("tx"), cy.alias("ty"), *SIDE, flip.alias("flip"), inside_child.alias("touch"), F.col("odd").alias("was")))
+    return cut(reduce(DataFrame.unionByName, leaves)), grid
+
+
+def polygons_of_points(points: DataFrame, rings: DataFrame, most: int = SIDES) -> DataFrame:
     """(point_id, region, priority) for every polygon that contains the point; holes are honoured.
 
-    Sides are listed in the horizontal bands they touch, points in theirs; an odd number of sides
-    to the right of a point means inside.
+    An odd number of sides to the right of a point means inside. Points join the tiles that polygons cover by equality and
+    test only the sides of their tile, at most `most`; tiles inside a polygon have none to test. A point without finite
+    coordinates is in no polygon.
     """
-    e = ring_edges(rings).filter(F.col("y1") != F.col("y2"))
-    def band_of(c):
-        return F.floor(c / F.lit(float(band))).cast("long")
-    e = e.withColumn("band", F.explode(F.sequence(band_of(F.least("y1", "y2")), band_of(F.greatest("y1", "y2")))))
-    p = points.select("point_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("band", band_of(F.col("py")))
-    hit = p.join(e, "band").filter(((F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))) &
-                                   (F.col("px") < (F.col("x2") - F.col("x1")) * (F.col("py") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")))
-    return (hit.groupBy("point_id", "region", "priority").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % 2 == 1)
-            .select("point_id", "region", "priority"))
-
-
-def point_in_polygon(points: DataFrame, rings: DataFrame, band: float, default: int, land: int = -1) -> DataFrame:
+    cover = tile_cover(rings, most)
+    if cover is None:
+        kinds = dict(rings.dtypes)
+        return points.select("point_id", F.lit(None).cast(kinds["region"]).alias("region"), F.lit(None).cast(kinds["priority"]).alias("priority")).limit(0)
+    leaves, grid = cover
+    levels = [r["level"] for r in leaves.select("level").distinct().collect()]
+    p = points.select("point_id", F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).filter("abs(px) < double('inf') AND abs(py) < double('inf')")
+    at = F.array(*[F.struct(F.lit(k).alias("level"), *[c.alias(n) for c, n in zip(grid.of(F.col("px"), F.col("py"), F.lit(k)), ("tx", "ty"), strict=True)]) for k in levels])
+    met = p.withColumn("a", F.explode(at)).select("point_id", "px", "py", "a.*").join(leaves, ["level", "tx", "ty"])
+    right, middle = grid.left(F.col("tx") + 1, F.col("level")), grid.middle(F.col("ty"), F.col("level"))
+    n = F.size(F.filter("sides", lambda s: _hits(s, F.col("px"), F.col("py"), right) != _turns(s, right, middle, F.col("py"))))
+    return met.filter((n % 2 == 1) != F.col("odd")).select("point_id", "region", "priority")
+
+
+def point_in_polygon(points: DataFrame, rings: DataFrame, default: int, land: int = -1, most: int = SIDES) -> DataFrame:
     """(point_id, region): first polygon by priority; dry points are land, other water is default."""
-    first = (polygons_of_points(points.filter("water"), rings, band).groupBy("point_id")
+    first = (polygons_of_points(points.filter("water"), rings, most).groupBy("point_id")
              .agg(F.min_by("region", "priority").alias("region")))
     out = points.select("point_id", "water").join(first, "point_id", "left")
     return out.select("point_id", F.when(~F.col("water"), F.lit(land)).otherwise(F.coalesce("region", F.lit(default))).alias("region"))
 
 
-def inside_any(points: DataFrame, rings: DataFrame, band: float, name: str) -> DataFrame:
+def inside_any(points: DataFrame, rings: DataFrame, name: str, most: int = SIDES) -> DataFrame:
     """points with a flag: inside at least one polygon."""
-    hit = polygons_of_points(points, rings, band).select("point_id").distinct().withColumn("__in", F.lit(True))
+    hit = polygons_of_points(points, rings, most).select("point_id").distinct().withColumn("__in", F.lit(True))
     return points.join(hit, "point_id", "left").withColumn(name, F.coalesce("__in", F.lit(False))).drop("__in")
 
 
