@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.functions.domain import haversine
@@ -10,9 +15,10 @@ from driftgrid.functions.rand import Key, hash_u
 from driftgrid.operators.grid import cube
 from driftgrid.plans.lineage import cut, frontier
 from driftgrid.plans.ordered import ranked
-
+from driftgrid.plans.spans import place, table_bounds
 
 MERGE_EVERY = 8         # rounds between merges of the improvement log
+BLOCK_CELLS = 1 << 14   # cells that one task settles by itself
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "downstream") -> DataFrame:
@@ -49,29 +55,71 @@ def haversine_edges(cells: DataFrame, edges: DataFrame) -> DataFrame:
             .select("src", "dst", haversine(F.col("la"), F.col("lo"), F.col("lb"), F.col("ob")).alias("weight")))
 
 
-def distance_from_sources(cells: DataFrame, edges: DataFrame, sources: DataFrame, weight: str = "weight") -> DataFrame:
+def _relaxed(edges: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+    """One block settled by its own edges: cells that got nearer (out false), and what reaches cells of other blocks (out true)."""
+    known = {c: d for c, d, fresh in zip(state["cell_id"], state["dist"], state["fresh"], strict=True) if not fresh}
+    heap = [(d, c) for c, d, fresh in zip(state["cell_id"], state["dist"], state["fresh"], strict=True) if fresh and d < known.get(c, math.inf)]
+    block, edges = state["block"].iloc[0] if len(state) else -1, edges.sort_values("src")
+    src, dst, w, home = (edges[c].to_numpy() for c in ("src", "dst", "w", "dst_block"))
+    ids, first = np.unique(src, return_index=True)
+    span = {c: (a, b) for c, a, b in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), len(src)], strict=True)}
+    dst, w, home = dst.tolist(), w.tolist(), home.tolist()
+    nearer, away = {}, {}
+    for d, c in heap:
+        nearer[c] = min(d, nearer.get(c, math.inf))
+    heapq.heapify(heap)
+    while heap:
+        d, c = heapq.heappop(heap)
+        if d > nearer[c]:
+            continue
+        for i in range(*span.get(c, (0, 0))):
+            to, far = dst[i], d + w[i]
+            if home[i] != block:
+                if far < away.get(to, (math.inf,))[0]:
+                    away[to] = (far, home[i])
+            elif far < nearer.get(to, known.get(to, math.inf)):
+                nearer[to] = far
+                heapq.heappush(heap, (far, to))
+    rows = [(c, d, block, False) for c, d in nearer.items()] + [(c, d, b, True) for c, (d, b) in away.items()]
+    return pd.DataFrame(rows, columns=["cell_id", "dist", "block", "out"])
+
+
+def distance_from_sources(cells: DataFrame, edges: DataFrame, sources: DataFrame, weight: str = "weight", block_cells: int = BLOCK_CELLS) -> DataFrame:
     """(cell_id, dist) of the shortest path over water cells; unreached water is +Inf, land NaN.
 
-    Only cells whose distance improved in the last round relax their edges in the next one; a land
-    neighbour is never entered.
+    Block relaxation: cells are cut by id into blocks of about block_cells, and a block with news is settled inside one task.
+    Only what crosses a border goes on to the next round, so rounds grow with the number of borders on a path and not with
+    its cells. Ids of neighbouring cells are mostly close; where they are not, results are the same and rounds are more. A land
+    neighbour is never entered. Weights are not negative.
     """
     wet = cut(cells.select("cell_id", "water"))
-    e = cut(edges.select("src", "dst", F.col(weight).alias("w"))
-            .join(wet.filter("water").select(F.col("cell_id").alias("dst")), "dst", "left_semi"))
-    # Improvements are only appended; a cell's distance is its smallest entry. A round reads the log
-    # for the candidate cells alone and writes nothing but the new frontier.
-    front, n = frontier(sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct().select("cell_id", F.lit(0.0).alias("dist")))
-    log, rounds = front, 0
-    while n:
-        cand, _ = frontier(front.select(F.col("cell_id").alias("src"), "dist").join(e, "src")
-                           .groupBy(F.col("dst").alias("cell_id")).agg(F.min(F.col("dist") + F.col("w")).alias("cand")))
+    bounds = table_bounds(wet, F.col("cell_id"), block_cells, 1 << 14)
+
+    def with_blocks(rows: DataFrame, **names: str) -> DataFrame:
+        """rows with the block of each named column; past a generator, so that no filter is inferred from the search."""
+        cuts = F.lit(bounds) if bounds else F.array().cast("array<long>")
+        found = F.array(F.struct(*[place(F.col(c), cuts, 1 << 14).alias(n) for n, c in names.items()]))
+        return rows.select("*", F.explode(found).alias("__at")).select("*", "__at.*").drop("__at")
+
+    e = cut(with_blocks(edges.select("src", "dst", F.col(weight).cast("double").alias("w")), block="src", dst_block="dst")
+            .join(wet.filter("water").select(F.col("cell_id").alias("dst")), "dst", "left_semi").repartition("block"))
+    begin = sources.select("cell_id").join(wet.filter("water"), "cell_id", "left_semi").distinct()
+    front = cut(with_blocks(begin, block="cell_id").select("cell_id", F.lit(0.0).alias("dist"), "block"))
+    # Improvements are only appended; a cell's distance is its smallest entry, and only blocks with news are read.
+    log, rounds = front.limit(0), 0
+    while not front.isEmpty():
+        news = front.select("block").distinct()
+        state = (log.join(news, "block", "left_semi").groupBy("cell_id", "block").agg(F.min("dist").alias("dist")).withColumn("fresh", F.lit(False))
+                 .unionByName(front.withColumn("fresh", F.lit(True))))
+        out = cut(e.join(news, "block", "left_semi").groupBy("block").cogroup(state.groupBy("block"))
+                  .applyInPandas(_relaxed, f"cell_id {e.schema['dst'].dataType.simpleString()}, dist double, block int, out boolean"))
+        log = log.unionByName(out.filter("not out").drop("out"))
+        cand = out.filter("out").groupBy("cell_id", "block").agg(F.min("dist").alias("cand"))
         known = log.join(cand.select("cell_id"), "cell_id", "left_semi").groupBy("cell_id").agg(F.min("dist").alias("dist"))
-        better = cand.join(known, "cell_id", "left").filter(F.col("dist").isNull() | (F.col("cand") < F.col("dist")))
-        front, n = frontier(better.select("cell_id", F.col("cand").alias("dist")))
-        log = log.unionByName(front)
+        front = cut(cand.join(known, "cell_id", "left").filter(F.col("dist").isNull() | (F.col("cand") < F.col("dist"))).select("cell_id", F.col("cand").alias("dist"), "block"))
         rounds += 1
         if rounds % MERGE_EVERY == 0:
-            log = cut(log.groupBy("cell_id").agg(F.min("dist").alias("dist")))
+            log = cut(log.groupBy("cell_id", "block").agg(F.min("dist").alias("dist")))
     dist = log.groupBy("cell_id").agg(F.min("dist").alias("dist"))
     value = F.when(~F.col("water"), F.lit(float("nan"))).otherwise(F.coalesce("dist", F.lit(float("inf"))))
     return wet.join(dist, "cell_id", "left").select("cell_id", value.alias("dist"))

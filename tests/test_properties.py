@@ -175,13 +175,23 @@ def test_distance_against_dijkstra(spark):
                 dist[b] = d + w
                 heapq.heappush(heap, (d + w, b))
     cells = spark.createDataFrame(list(water.items()), "cell_id long, water boolean")
-    out = g.distance_from_sources(cells, spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(s,) for s in src], "cell_id long"))
-    for r in out.collect():
-        c = r["cell_id"]
-        if not water[c]:
-            assert math.isnan(r["dist"])
-        else:
-            assert r["dist"] == pytest.approx(dist.get(c, math.inf))
+    for size in (40, g.BLOCK_CELLS):
+        out = g.distance_from_sources(cells, spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame([(s,) for s in src], "cell_id long"), block_cells=size)
+        for r in out.collect():
+            c = r["cell_id"]
+            if not water[c]:
+                assert math.isnan(r["dist"])
+            else:
+                assert r["dist"] == pytest.approx(dist.get(c, math.inf))
+
+
+def test_distance_along_a_chain_takes_a_round_per_border(spark, monkeypatch):
+    n, rounds, cut = 2000, [], g.cut
+    monkeypatch.setattr(g, "cut", lambda df: rounds.append(1) or cut(df))
+    cells = spark.range(n).select(F.col("id").alias("cell_id"), F.lit(True).alias("water"))
+    chain = spark.range(1, n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))
+    out = g.distance_from_sources(cells, chain, cells.limit(1).select("cell_id"), block_cells=250)
+    assert out.filter("dist = cell_id").count() == n and len(rounds) <= 2 * 10 + 5
 
 
 def test_walk_modes(spark):
