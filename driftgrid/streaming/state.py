@@ -1,14 +1,17 @@
-"""Per-individual state on a position stream.
+"""Per-individual state on a position stream, in columns.
 
-Rows wait in keyed state until the watermark passes them and are then handled in event-time order,
-so results do not depend on arrival order within the watermark delay. Rows older than the watermark
-are dropped by Spark and counted in numRowsDroppedByWatermark.
+Individuals are dealt into buckets, and a bucket is the key of the state: one call handles all rows of a
+bucket whose time has come as one ordered frame, with vector steps. Rows wait in a map from hour to rows until
+the watermark has passed the hour, so a timer reads only the rows that are ripe. Hours are handled in order, so results do not depend on
+arrival order within the watermark delay. Rows older than the watermark are dropped by Spark and
+counted in numRowsDroppedByWatermark.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,160 +20,203 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftgrid.plans.lineage import ship
 
-TRAIL = 40
+TRAIL = 40              # waypoints of a trip unless the caller says otherwise
+SLOT_MS = 3_600_000     # rows wait by the hour
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-          "array<long>": T.ArrayType(T.LongType()), "array<double>": T.ArrayType(T.DoubleType())}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
 
 
-def _struct(ddl: str) -> T.StructType:
-    """StructType of "name type, ..."; workers have no session to parse DDL with."""
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (part.strip().split(" ") for part in ddl.split(","))])
+def _fields(ddl: str) -> list[tuple[str, T.DataType]]:
+    """Names and types of "name type, ..."; workers have no session to parse DDL with."""
+    out = []
+    for part in ddl.split(","):
+        name, kind = part.strip().split(" ")
+        out.append((name, T.ArrayType(_TYPES[kind[6:-1]]) if kind.startswith("array<") else _TYPES[kind]))
+    return out
+
+
+def _struct(fields: list[tuple[str, T.DataType]]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
 
 
 class InOrder(StatefulProcessor):
-    """Buffers rows and steps through them in (ts, event_id) order once the watermark has passed.
+    """Buffers the rows of a bucket and hands them on in (individual, ts, event_id) order once the watermark has passed their hour.
 
-    Subclasses give the carried columns, the memo schema with its start value, and step().
+    Subclasses give the carried columns, the memo kept per individual, the output, and advance(), which gets the ripe rows and the
+    memo of every individual in them, and returns output rows and the new memo.
     """
 
-    carry: list[str] = []
-    carry_types: str = ""
-    memo_types: str = ""
-    start: tuple = ()
+    carry: str = ""
+    memo: str = ""
+    schema: str = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", _struct(f"us long, event_id long, {self.carry_types}"))
-        self.memo = handle.getValueState("memo", _struct(self.memo_types))
+        self.columns = ["agent_id", "us", "event_id", *[n for n, _ in _fields(self.carry)]]
+        rows = _fields("agent_id long, us long, event_id long, " + self.carry)
+        self.pending = handle.getMapState("pending", _struct([("slot", T.LongType())]), _struct([(n, T.ArrayType(t)) for n, t in rows]))
+        self.kept = handle.getListState("memo", _struct(_fields("agent_id long, " + self.memo)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:
-            us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            cols = [us, pdf["event_id"], *[pdf[c] for c in self.carry]]
-            self.pending.appendList(list(zip(*[c.tolist() for c in cols])))
-            low = int(us.min())
-            first = low if first is None else min(first, low)
-        if first is not None:
-            # A timer earlier than needed is harmless; it looks at the buffer and sets the next one.
-            self.handle.registerTimer(first // 1000 + 1)
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame["us"] = frame["ts"].astype("datetime64[us]").astype("int64")
+        for slot, part in frame.groupby(frame["us"] // (SLOT_MS * 1000), sort=False):
+            new = [part[c].tolist() for c in self.columns]
+            at = (int(slot),)
+            if self.pending.containsKey(at):
+                new = [[*old, *more] for old, more in zip(self.pending.getValue(at), new, strict=True)]
+            else:
+                self.handle.registerTimer((int(slot) + 1) * SLOT_MS)
+            self.pending.updateValue(at, tuple(new))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.pending.get())
-        ready = [r for r in rows if r[0] <= mark]
-        later = [r for r in rows if r[0] > mark]
-        if later:
-            self.pending.put(later)
-            self.handle.registerTimer(later[0][0] // 1000 + 1)
-        else:
-            self.pending.clear()
-        if not ready:
+        # After a jump of the watermark many hours are ripe at once: the first timer takes them all and ends the others.
+        open_, fired = timerValues.getCurrentWatermarkInMs() // SLOT_MS, expiredTimerInfo.getExpiryTimeInMs()
+        slots = sorted(slot for slot, in self.pending.keys() if slot < open_)
+        if not slots:
             return
-        memo = tuple(self.memo.get()) if self.memo.exists() else self.start
-        out = []
-        for r in ready:
-            memo, emitted = self.step(memo, r[0], r[1], *r[2:])
-            out.extend((key[0], *e) for e in emitted)
-        self.memo.update(memo)
-        out.extend((key[0], *e) for e in self.finish(memo))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
-
-    def step(self, memo, us, event_id, *values):
+        ripe = pd.concat([pd.DataFrame(dict(zip(self.columns, self.pending.getValue((slot,)), strict=True))) for slot in slots], ignore_index=True)
+        for slot in slots:
+            self.pending.removeKey((slot,))
+            if (slot + 1) * SLOT_MS != fired:
+                self.handle.deleteTimer((slot + 1) * SLOT_MS)
+        ripe = ripe.sort_values(["agent_id", "us", "event_id"], ignore_index=True)
+        names = ["agent_id", *[n for n, _ in _fields(self.memo)]]
+        memo = pd.DataFrame([tuple(r) for r in self.kept.get()], columns=names)
+        here = memo["agent_id"].isin(ripe["agent_id"].unique())
+        out, new = self.advance(ripe, memo[here].set_index("agent_id"))
+        both = pd.concat([f for f in (memo[~here], new.reset_index()[names]) if len(f)])
+        self.kept.put(list(zip(*[both[c].tolist() for c in names], strict=True)))
+        if len(out):
+            yield out[[n for n, _ in _fields(self.schema)]]
+
+    def advance(self, rows: pd.DataFrame, memo: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
         raise NotImplementedError
 
-    def finish(self, memo):
-        return []
-
     def close(self) -> None:
         pass
 
 
+def _before(rows: pd.DataFrame, memo: pd.DataFrame, column: str, start) -> pd.Series:
+    """The memo of each row's individual, or the start value."""
+    known = memo[column] if len(memo) else pd.Series(dtype="float64")
+    return rows["agent_id"].map(known).where(rows["agent_id"].isin(memo.index), start)
+
+
+def _carried(rows: pd.DataFrame, value: pd.Series, at: pd.Series, before: pd.Series) -> pd.Series:
+    """value where `at` holds, else the last one of the individual before, else what it had before these rows."""
+    return value.where(at).groupby(rows["agent_id"]).ffill().where(at.groupby(rows["agent_id"]).cummax(), before)
+
+
+def _last(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.drop_duplicates("agent_id", keep="last").set_index("agent_id")
+
+
 class RollingMean(InOrder):
     """Mean of the last three active values, frozen while dead or arrived."""
-    carry, carry_types = ["value", "active"], "value double, active boolean"
-    memo_types, start = "a double, b double, mean double", (15.0, 15.0, 15.0)
-    columns, schema = ["agent_id", "event_id", "mean3"], "agent_id long, event_id long, mean3 double"
+    carry, memo = "value double, active boolean", "a double, b double, mean double"
+    schema = "agent_id long, event_id long, mean3 double"
 
-    def step(self, memo, us, event_id, value, active):
-        a, b, mean = memo
-        if active:
-            a, b, mean = value, a, (value + a + b) / 3.0
-        return (a, b, mean), [(event_id, mean)]
+    def advance(self, rows, memo):
+        a, b, mean = (_before(rows, memo, c, 15.0).astype("float64") for c in ("a", "b", "mean"))
+        on = rows["active"].astype(bool)
+        act = rows[on]
+        nth = act.groupby("agent_id").cumcount()
+        one = act.groupby("agent_id")["value"].shift(1).where(nth > 0, a[on])
+        two = act.groupby("agent_id")["value"].shift(2).where(nth > 1, a[on].where(nth == 1, b[on]))
+        rows = rows.assign(a=_carried(rows, rows["value"], on, a), b=_carried(rows, one.reindex(rows.index), on, b),
+                           mean=_carried(rows, ((act["value"] + one + two) / 3.0).reindex(rows.index), on, mean))
+        return rows.assign(mean3=rows["mean"]), _last(rows)
 
 
 class Residence(InOrder):
     """Steps in a state and since it."""
-    carry, carry_types = ["in_state", "active"], "in_state boolean, active boolean"
-    memo_types, start = "hours long, since long", (0, 999)
-    columns, schema = ["agent_id", "event_id", "hours_in", "steps_since"], "agent_id long, event_id long, hours_in long, steps_since long"
+    carry, memo = "in_state boolean, active boolean", "hours long, since long"
+    schema = "agent_id long, event_id long, hours_in long, steps_since long"
 
-    def step(self, memo, us, event_id, in_state, active):
-        hours, since = memo
-        if active:
-            hours, since = (hours + 1, 0) if in_state else (0, since + 1)
-        return (hours, since), [(event_id, hours, since)]
+    def advance(self, rows, memo):
+        hours, since = _before(rows, memo, "hours", 0).astype("int64"), _before(rows, memo, "since", 999).astype("int64")
+        on, inside = rows["active"].astype(bool), rows["in_state"].astype(bool)
+        n = on.astype("int64").groupby(rows["agent_id"]).cumsum()
+        left = n.where(on & ~inside, 0).groupby(rows["agent_id"]).cummax()
+        been = n.where(on & inside, 0).groupby(rows["agent_id"]).cummax()
+        h = (n - left + hours.where(left == 0, 0)).where(inside, 0)
+        s = (n - been + since.where(been == 0, 0)).where(~inside, 0)
+        rows = rows.assign(hours=_carried(rows, h, on, hours).astype("int64"), since=_carried(rows, s, on, since).astype("int64"))
+        return rows.assign(hours_in=rows["hours"], steps_since=rows["since"]), _last(rows)
 
 
 class Sticky(InOrder):
     """First touch, ever-in and arrival of one pass. Region, the taggable region (-1 = none),
     at_sea and upper (far enough up its region) come with the row; the first row's region is natal."""
-    carry = ["alive", "region", "tag_region", "at_sea", "upper"]
-    carry_types = "alive boolean, region int, tag_region int, at_sea boolean, upper boolean"
-    memo_types, start = "natal int, tag int, ever boolean, arrived boolean", (-2, -1, False, False)
-    columns = ["agent_id", "event_id", "tag", "ever_in", "arrived"]
+    carry = "alive boolean, region int, tag_region int, at_sea boolean, upper boolean"
+    memo = "natal int, tag int, ever boolean, arrived boolean"
     schema = "agent_id long, event_id long, tag int, ever_in boolean, arrived boolean"
 
-    def step(self, memo, us, event_id, alive, region, tag_region, at_sea, upper):
-        natal, tag, ever, arrived = memo
-        natal = int(region) if natal == -2 else natal
-        if alive:
-            tag = int(tag_region) if tag == -1 and tag_region >= 0 else tag
-            ever = bool(ever or at_sea)
-            arrived = bool(arrived or (ever and natal >= 0 and region == natal and upper))
-        return (natal, tag, ever, arrived), [(event_id, tag, ever, arrived)]
+    def advance(self, rows, memo):
+        who, alive = rows["agent_id"], rows["alive"].astype(bool)
+        first = rows.groupby("agent_id")["region"].transform("first")
+        known = who.isin(memo.index)
+        natal = _before(rows, memo, "natal", -2).astype("int64").where(known, first)
+        tag, ever, arrived = (_before(rows, memo, c, start) for c, start in (("tag", -1), ("ever", False), ("arrived", False)))
+        tag, ever, arrived = tag.astype("int64"), ever.astype(bool), arrived.astype(bool)
+        hit = alive & (rows["tag_region"] >= 0)
+        own = rows["tag_region"].where(hit).groupby(who).transform("first")
+        tag = tag.where(tag != -1, own.where(hit.groupby(who).cummax(), -1)).astype("int32")
+        ever = ever | (alive & rows["at_sea"].astype(bool)).groupby(who).cummax()
+        up = alive & ever & (natal >= 0) & (rows["region"] == natal) & rows["upper"].astype(bool)
+        rows = rows.assign(natal=natal.astype("int32"), tag=tag, ever=ever, arrived=arrived | up.groupby(who).cummax())
+        return rows.assign(ever_in=rows["ever"]), _last(rows)
 
 
 class Trips(InOrder):
-    """The last waypoints of a living individual; one row per individual whenever it advanced."""
-    carry, carry_types = ["alive", "x", "y", "behavior"], "alive boolean, x double, y double, behavior int"
-    memo_types, start = "us array<long>, xs array<double>, ys array<double>, behavior int", ([], [], [], -1)
-    columns = ["agent_id", "us", "xs", "ys", "behavior"]
+    """The last `length` waypoints of a living individual; one row per individual whenever it advanced."""
+    carry, memo = "alive boolean, x double, y double, behavior int", "us array<long>, xs array<double>, ys array<double>, behavior int"
     schema = "agent_id long, us array<long>, xs array<double>, ys array<double>, behavior int"
 
-    def step(self, memo, us, event_id, alive, x, y, behavior):
-        t, xs, ys, b = memo
-        if alive:
-            b = int(behavior)
-            if x is not None and x == x:
-                t, xs, ys = [*t, us][-TRAIL:], [*xs, x][-TRAIL:], [*ys, y][-TRAIL:]
-        return (t, xs, ys, b), []
-
-    def finish(self, memo):
-        t, xs, ys, b = memo
-        moved = any(x != xs[0] or y != ys[0] for x, y in zip(xs, ys))
-        return [(t, xs, ys, b)] if len(t) >= 2 and moved else []
+    def __init__(self, length: int = TRAIL):
+        self.length = length
+
+    def advance(self, rows, memo):
+        alive = rows[rows["alive"].astype(bool)]
+        behavior = alive.groupby("agent_id")["behavior"].last()
+        old = memo.reset_index()[["agent_id", "us", "xs", "ys"]].explode(["us", "xs", "ys"]).dropna(subset=["us"])
+        new = alive[alive["x"].notna()].rename(columns={"x": "xs", "y": "ys"})[["agent_id", "us", "xs", "ys"]]
+        points = pd.concat([f for f in (old, new) if len(f)]).astype({"us": "int64", "xs": "float64", "ys": "float64"}) if len(old) + len(new) else new
+        points = points.groupby("agent_id", sort=False).tail(self.length).sort_values("agent_id", kind="stable")
+        who = np.sort(rows["agent_id"].unique())
+        cut = np.searchsorted(points["agent_id"].to_numpy(), who)
+        lists = {c: [p.tolist() for p in np.split(points[c].to_numpy(), cut)[1:]] for c in ("us", "xs", "ys")}
+        out = pd.DataFrame({"agent_id": who, **lists}).set_index("agent_id")
+        out["behavior"] = behavior.reindex(who).fillna(memo["behavior"].reindex(who)).fillna(-1).astype("int32")
+        spread = points.groupby("agent_id")[["xs", "ys"]].agg(["min", "max"])
+        moved = (spread[("xs", "min")] != spread[("xs", "max")]) | (spread[("ys", "min")] != spread[("ys", "max")])
+        gone = out.index[moved.reindex(who, fill_value=False).to_numpy()]
+        return out.loc[gone].reset_index(), out
 
 
 class Moves(InOrder):
     """Arrivals (+1) and departures (-1) per cell of living movers."""
-    carry, carry_types = ["alive", "cell"], "alive boolean, cell long"
-    memo_types, start = "cell long", (-2,)
-    columns, schema = ["agent_id", "event_id", "cell_id", "d"], "agent_id long, event_id long, cell_id long, d int"
+    carry, memo = "alive boolean, cell long", "cell long"
+    schema = "agent_id long, event_id long, cell_id long, d int"
+
+    def advance(self, rows, memo):
+        before = _before(rows, memo, "cell", -2).astype("int64")
+        old = rows.groupby("agent_id")["cell"].shift(1, fill_value=-2).where(rows.groupby("agent_id").cumcount() > 0, before)
+        hit = rows["alive"].astype(bool) & (old != -2) & (old != rows["cell"])
+        came = rows[hit].assign(cell_id=rows.loc[hit, "cell"], d=1)
+        return pd.concat([came, came.assign(cell_id=old[hit], d=-1)]).astype({"d": "int32"}), _last(rows)
 
-    def step(self, memo, us, event_id, alive, cell):
-        (old,) = memo
-        out = [(event_id, cell, 1), (event_id, old, -1)] if alive and old != -2 and old != cell else []
-        return (cell,), out
 
+def keyed(stream: DataFrame, processor: InOrder, buckets: int | None = None) -> DataFrame:
+    """Run a processor in event time over buckets of individuals, four for each shuffle partition unless given.
 
-def keyed(stream: DataFrame, processor: InOrder) -> DataFrame:
-    """Run a processor per individual in event time."""
+    The number of buckets is part of a checkpoint: a query that goes on from one must keep it.
+    """
     ship(type(processor))
-    return (stream.groupBy("agent_id").transformWithStateInPandas(
+    n = buckets or 4 * int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (stream.withColumn("bucket", F.pmod(F.xxhash64("agent_id"), F.lit(n)).cast("int")).groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.schema, outputMode="append", timeMode="EventTime"))
 
 
@@ -198,11 +244,11 @@ def sticky(positions: DataFrame, cells: DataFrame, thresholds: DataFrame, tag_re
                           F.coalesce("upper", F.lit(False)).alias("upper")), Sticky())
 
 
-def trips(positions: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Trails as they advance; the row with the latest waypoint is the current one."""
+def trips(positions: DataFrame, centroids: DataFrame, length: int = TRAIL) -> DataFrame:
+    """Trails of the last `length` waypoints as they advance; the row with the latest waypoint is the current one."""
     xy = centroids.select(F.col("cell_id").alias("cell"), "x", "y")
     p = positions.join(xy, "cell", "left")
-    return keyed(p.select("agent_id", "event_id", "ts", "alive", "x", "y", "behavior"), Trips())
+    return keyed(p.select("agent_id", "event_id", "ts", "alive", "x", "y", "behavior"), Trips(length))
 
 
 def moves(positions: DataFrame) -> DataFrame:
