@@ -16,6 +16,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from driftgrid.llm.common import chunks, discard, stored
 
 GRAM = 64
+CROWD = 512                                          # open contexts of one anchor that go through one interval tree
 LETTER = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = np.uint64(0x5851F42D4C957F2D)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -238,11 +239,12 @@ def _groups(length: int):
     return run
 
 
-def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(texts: DataFrame, length: int = 400, most: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Covered spans (d1, d2, start, stop), possibly overlapping, of the distinct texts, and (d1, d2, copies).
 
     texts: (d1, d2, text), text not null. A text with copies is covered whole and keeps one row as a partner
-    for others.
+    for others. An anchor with at most `most` open contexts goes through the interval tree in one row; one with more is
+    settled by counting strings, spread over tasks.
     """
     found = stored(texts.filter(F.octet_length("text") >= length).mapInPandas(_anchors(length), "d1 long, d2 long, pos long, a long, b long"), "repeat-anchors")
     place = F.xxhash64("d1", "d2", "pos")
@@ -278,8 +280,22 @@ def repeated_spans(texts: DataFrame, length: int = 400) -> tuple[DataFrame, Data
     same = stored(same, "repeat-same")
     twins = cut.filter("not met").join(same.filter("n > 1").select("a", "left", "right").hint("merge"), ["a", "left", "right"])
     twins = twins.select("d1", "d2", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
-    groups = same.groupBy("a").agg(F.collect_list(F.struct("d1", "d2", "pos", "left", "right")).alias("places"), F.max((F.col("n") == 1) & ~F.col("met")).alias("some"))
-    single = groups.filter(F.col("some") & (F.size("places") > 1)).select("places").mapInPandas(_groups(length), "d1 long, d2 long, start long, stop long")
+    open_ = (F.col("n") == 1) & ~F.col("met")
+    nl, nr = F.length("left"), F.length("right")
+    sizes = stored(same.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.max(open_).alias("some"), F.min(F.when(open_, length - nr)).alias("lo"),
+                                         F.max(F.when(open_, nl)).alias("hi")).filter("some and size > 1").drop("some"), "repeat-sizes")
+    few = same.join(sizes.filter(F.col("size") <= most).select("a").hint("merge"), "a").groupBy("a").agg(F.collect_list(F.struct("d1", "d2", "pos", "left", "right")).alias("places"))
+    single = few.select("places").mapInPandas(_groups(length), "d1 long, d2 long, start long, stop long")
+    # A crowded anchor is not gathered: an open place and a partner share a string of `length` bytes around the anchor, and only the few strings
+    # that lie within the reach of some open place are compared, by counting.
+    many = same.join(sizes.filter(F.col("size") > most).hint("merge"), "a")
+    low, high = F.greatest(F.col("lo"), length - nr), F.least(F.col("hi"), nl)
+    many = many.withColumn("s", F.explode(F.when(low <= high, F.sequence(low, high))))
+    window = F.unhex(F.sha2(F.concat(F.expr("substring(left, 1, s)"), F.expr(f"substring(right, 1, {length} - s)")), 256))
+    many = many.select("a", "s", window.alias("h"), "n", "d1", "d2", "pos", open_.alias("open"))
+    again = many.groupBy("a", "s", "h").agg(F.sum("n").alias("c")).filter("c > 1").select("a", "s", "h")
+    crowded = many.filter("open").join(again.hint("merge"), ["a", "s", "h"], "left_semi").select("d1", "d2", (F.col("pos") - F.col("s")).alias("start"), (F.col("pos") + length - F.col("s")).alias("stop"))
+    single = single.unionByName(crowded)
     spans = reduce(DataFrame.unionByName, [whole, shared, twins, single])
     copies = texts.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"))
     return spans.groupBy("d1", "d2", "start").agg(F.max("stop").alias("stop")), copies
@@ -296,7 +312,8 @@ def merged(spans, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", carry: bool = False,
+                    most: int = CROWD) -> DataFrame:
     """Every byte covered by a string of `length` bytes that also starts elsewhere is removed, at all its places.
 
     Texts are UTF-8 bytes; strings don't cross texts and are judged on the input. Per row: key, n_bytes, n_removed,
@@ -307,11 +324,12 @@ def without_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", tex
     that occur again go on. 2. An anchor whose whole context occurs again is settled by counting. 3. For the rest a
     distributed suffix sort to either side tells how far each place agrees with any other; contexts are
     cut there, and equal ones are settled. 4. What is left, few different contexts per anchor, goes through
-    an enhanced suffix array whose interval tree gives the maximal repeats with all their places.
+    an enhanced suffix array whose interval tree gives the maximal repeats with all their places; an anchor with more than `most`
+    of them compares strings by counting instead. An empty table gives no rows. Places are counted in 28 bits, so a text holds less than 2^28 bytes.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *([F.struct("*").alias("row")] if carry else []))
     rows = rows.select(*_key(), *rows.columns)
-    spans, copies = repeated_spans(rows.select("d1", "d2", "text"), length)
+    spans, copies = repeated_spans(rows.select("d1", "d2", "text"), length, most)
     side = stored(copies.join(spans.groupBy("d1", "d2").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).hint("merge"), ["d1", "d2"], "left"), "repeat-spans")
 
     def cut(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:

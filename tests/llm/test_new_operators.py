@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftgrid.llm import fill_middle, queries, repair, vector_dedup
+from driftgrid.llm import fill_middle, queries, repair, repeats, vector_dedup
 from driftgrid.llm.common import table
 
 TALK = "conv_id long, turn long, role string, text string, conv string, fault int"
@@ -209,3 +209,21 @@ def test_quantisation_bound_holds():
         assert (vector_dedup.products(q, q) == q.astype(np.int64) @ q.astype(np.int64).T).all()
         gap = np.abs(u @ u.T - s[:, None] * s * vector_dedup.products(q, q))
         assert (gap <= e[:, None] * (1 + e) + e + 1e-12).all()
+
+
+def test_crowded_anchors_give_the_same_removals(spark):
+    rnd = np.random.default_rng(6)
+    letters = list("abcdefghij")
+    middle = "".join(rnd.choice(letters, 396))
+    texts = ["".join(rnd.choice(list("xyz"), 150)) + "".join(rnd.choice(list("pq"), 4)) + middle + "".join(rnd.choice(list("rs"), 4)) + "".join(rnd.choice(list("uvw"), 150)) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(table(spark, "/root/testdata/sf0.001", "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    seen = collections.Counter(t[i:i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for k, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if seen[t[i:i + 400]] > 1:
+                gone[i:i + 400] = True
+        want[k] = int(gone.sum())
+    outs = [{r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.without_repeats(frame, most=most).collect()} for most in (repeats.CROWD, 1)]
+    assert outs[0] == outs[1] and {k: outs[0][k][0] for k in want} == want and 0 < sum(v > 0 for v in want.values())
