@@ -59,9 +59,23 @@ def grf4c(spark, d):
     return g.component_counts(c, g.components(c, star.edges(spark, d), "region_id"), "region_id")
 
 
-@query("grf5_bridge_gaps")
+SQL_GAPS = with_views("cells", recursive=True) + f""", land AS (SELECT cell_id, r, c, c - floor((r - r % 2) / 2)::BIGINT AS q FROM cells WHERE depth > 25),
+  near AS (SELECT a.cell_id AS src, b.cell_id AS dst FROM land a JOIN land b ON a.cell_id <> b.cell_id AND abs(a.q - b.q) <= 1 AND abs(a.r - b.r) <= 1 AND abs(a.q - b.q + a.r - b.r) <= 1),
+  reach(n, m) AS (SELECT cell_id, cell_id FROM land UNION SELECT reach.n, near.dst FROM reach JOIN near ON near.src = reach.m),
+  lab AS (SELECT n AS cell_id, min(m) AS component FROM reach GROUP BY 1),
+  home AS (SELECT component FROM lab GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1),
+  spot AS (SELECT l.*, component, component = (SELECT component FROM home) AS home FROM land l JOIN lab USING (cell_id)),
+  pr AS (SELECT o.component, greatest(abs(o.q - h.q), abs(o.r - h.r), abs(o.q - h.q + o.r - h.r)) AS hops, o.q AS oq, o.r AS orr, h.q, h.r FROM spot o JOIN spot h ON NOT o.home AND h.home),
+  best AS (SELECT * FROM pr WHERE hops <= 4 QUALIFY row_number() OVER (PARTITION BY component ORDER BY hops, oq, orr, q, r) = 1),
+  ln AS (SELECT oq + 1e-6::DOUBLE + (q - oq) * (i / hops) AS fq, orr + 2e-6::DOUBLE + (r - orr) * (i / hops) AS fr FROM (SELECT *, unnest(range(0, hops + 1)) AS i FROM best)),
+  rd AS (SELECT *, floor(fq + 0.5) AS a, floor(fr + 0.5) AS b, floor(-fq - fr + 0.5) AS c FROM ln),
+  dd AS (SELECT *, abs(a - fq) AS da, abs(b - fr) AS db, abs(c + fq + fr) AS dc FROM rd),
+  hx AS (SELECT (CASE WHEN da > db AND da > dc THEN -b - c ELSE a END)::BIGINT AS hq, (CASE WHEN NOT (da > db AND da > dc) AND db > dc THEN -a - c ELSE b END)::BIGINT AS hr FROM dd)
+  SELECT DISTINCT hr AS row, hq + (hr - ((hr % 2) + 2) % 2) // 2 AS col FROM hx WHERE NOT EXISTS (SELECT 1 FROM land WHERE land.r = hr AND land.c = hq + (hr - ((hr % 2) + 2) % 2) // 2)"""
+
+
+@query("grf5_bridge_gaps", SQL_GAPS)
 def grf5(spark, d):
-    """The bridging line depends on the tie between equally close pairs, so tests check properties."""
     c = star.cells(spark, d).filter("depth > 25").select("cell_id", "row", "col")
     e = star.hex_adjacency(c, WIDTH)
     return g.bridge_gaps(c, g.components(c, e), 4)
@@ -157,9 +171,14 @@ def grf15c(spark, d):
     return ter.expansion_candidates(star.ranges(spark, d), star.edges(spark, d), star.cells(spark, d), "resource", 2.0, 15)
 
 
-@query("grf15_expand_ranges")
+SQL_EXPAND = SQL_CAND.replace("WITH ", "WITH RECURSIVE ", 1) + """, turn AS (SELECT owner, max(room) AS room, list(cell_id ORDER BY worth DESC, cell_id) AS l, row_number() OVER (ORDER BY owner) AS k FROM cand GROUP BY 1),
+  served(k, owner, pick, taken) AS (SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+   SELECT k, owner, pick, list_concat(taken, pick) FROM (SELECT t.k, t.owner, list_filter(t.l, lambda x: NOT list_contains(s.taken, x))[1:t.room] AS pick, s.taken FROM served s JOIN turn t ON t.k = s.k + 1))
+  SELECT owner, unnest(pick) AS cell_id FROM served WHERE k > 0"""
+
+
+@query("grf15_expand_ranges", SQL_EXPAND)
 def grf15(spark, d):
-    """Serial priority has no set-based SQL; tests replay it one owner at a time."""
     return ter.expand_ranges(star.ranges(spark, d), star.edges(spark, d), star.cells(spark, d), "resource", 2.0, 15)
 
 

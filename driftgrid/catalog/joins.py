@@ -79,9 +79,23 @@ def join5g(spark, d):
     return enc.gains(star.predators(spark, d), killed(spark, d), "acc1", 2.5).select("agent_id", "acc1")
 
 
-@query("join5_encounter_totals")
+BITS = enc.TRIAL_BITS
+SQL_TOTALS = PP + f""", na AS (SELECT cell, count(*) AS n_a FROM predators WHERE alive GROUP BY 1), nb AS (SELECT cell, count(*) AS n_b FROM prey WHERE alive GROUP BY 1),
+  dr AS (SELECT cell, floor(ln(1 - {sql_u('encounter', 'agent_id')}) / ln(1 - {P}::DOUBLE))::BIGINT AS hit FROM prey WHERE alive),
+  per AS (SELECT cell, n_a, n_b, count(*) FILTER (hit < n_a) AS kills, coalesce(sum(n_a - 1 - hit) FILTER (hit < n_a), 0)::BIGINT AS rest FROM dr JOIN na USING (cell) JOIN nb USING (cell) GROUP BY 1, 2, 3),
+  part AS (SELECT cell, k AS bits, 0 AS part FROM per, range(0, {BITS}) t(k) WHERE (rest >> k) & 1 = 1 UNION ALL SELECT cell, {BITS}, unnest(range(1, (rest >> {BITS}) + 1)) FROM per),
+  lim AS (SELECT k, 1::BIGINT << k AS n, sqrt((1::BIGINT << k) * {P}::DOUBLE * {1 - P}::DOUBLE) AS sd FROM range(0, {BITS + 1}) t(k)),
+  ends AS (SELECT k, n, greatest(0, floor(n * {P}::DOUBLE - 14 * sd - 14))::BIGINT AS a, least(n, ceil(n * {P}::DOUBLE + 14 * sd + 14))::BIGINT AS b FROM lim),
+  pmf AS (SELECT k, a, b, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({P}::DOUBLE) + (n - i) * ln(1 - {P}::DOUBLE)) AS f FROM (SELECT *, unnest(range(a, b + 1)) AS i FROM ends)),
+  cdf AS (SELECT k, a, c FROM (SELECT k, a, b, i, sum(f) OVER (PARTITION BY k ORDER BY i) AS c FROM pmf) WHERE i < b),
+  u AS (SELECT cell, bits, {sql_u('encounter.rest', 'cell', 'bits', 'part')} AS u FROM part),
+  x AS (SELECT u.cell, u.bits, u.u, ends.a + (SELECT count(*) FROM cdf WHERE cdf.k = u.bits AND cdf.c <= u.u) AS hits FROM u JOIN ends ON ends.k = u.bits),
+  ex AS (SELECT cell, sum(hits)::BIGINT AS hits FROM x GROUP BY 1)
+  SELECT cell, n_a * n_b AS pairs, kills + coalesce(hits, 0) AS encounters, kills FROM per LEFT JOIN ex USING (cell)"""
+
+
+@query("join5_encounter_totals", SQL_TOTALS)
 def join5t(spark, d):
-    """Totals hold one binomial draw per cell, so there is no SQL twin; tests check the distribution."""
     return enc.encounter_totals(star.predators(spark, d), star.prey(spark, d), P, SEED)
 
 

@@ -66,6 +66,21 @@ def test_encounter_distribution(spark):
     assert t["encounters"] == pytest.approx(n * m * p, rel=0.03) and t["kills"] == sum(counts.values())
 
 
+def test_binomial_draws_have_the_right_moments(spark):
+    p, sizes = 0.07, [1, 5, 1000, 70_000, 1 << 16, 3_000_000]
+    rows = spark.createDataFrame([(k * 1000 + i, m) for k, m in enumerate(sizes) for i in range(400)], "cell long, n long")
+    got = enc.binomial(rows, ["cell"], "n", p, 5, "t").toPandas().set_index("cell")["hits"].sort_index()
+    for k, m in enumerate(sizes):
+        x = got.loc[k * 1000:k * 1000 + 399]
+        sd = math.sqrt(m * p * (1 - p))
+        assert len(x) == 400 and x.between(0, m).all() and abs(x.mean() - m * p) < 4 * sd / 20 and (m < 1000 or 0.85 < x.std() / sd < 1.15)
+    low, cdf = enc.binomial_table(10, 0.3)
+    assert low == 0 and cdf == pytest.approx([sum(math.comb(10, j) * 0.3 ** j * 0.7 ** (10 - j) for j in range(i + 1)) for i in range(10)])
+    odd = spark.createDataFrame([(None, 5), (None, 4), (3, 0)], "cell long, n long")
+    assert [tuple(r) for r in enc.binomial(odd, ["cell"], "n", 1.0, 5, "t").collect()] == [(None, 9)]
+    assert [r["cell"] for r in enc.binomial(odd, ["cell"], "n", 0.5, 5, "t").collect()] == [None]
+
+
 def test_gains_conserve(crowd):
     a, b = crowd
     k = enc.kills(a, b, 0.2, 3)
