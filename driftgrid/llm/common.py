@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,8 +97,18 @@ def bounded(rows: DataFrame, order: str, most: int) -> DataFrame:
     return rows.orderBy(order).limit(most)
 
 
+def trim() -> None:
+    """Hands back to the system what earlier work of this Python worker has freed; a worker serves many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
 def chunks(frames: Iterator[pd.DataFrame], column: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
     """Arrow batches cut further so that the texts of a chunk hold about `chars` characters (a long text stays whole)."""
+    trim()
     for frame in frames:
         if not len(frame):
             continue

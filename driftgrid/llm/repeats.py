@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from driftgrid.llm.common import chunks, discard, stored
 
 GRAM = 64
-CROWD = 512                                          # open contexts of one anchor that go through one interval tree
+CROWD = 4096                                         # open contexts of one anchor that go through one interval tree
 LETTER = np.random.default_rng(2).integers(1, 1 << 63, 256, dtype=np.uint64)
 BASE = np.uint64(0x5851F42D4C957F2D)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
