@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from driftgrid.functions.domain import haversine
 from driftgrid.functions.rand import Key, hash_u
 from driftgrid.operators.grid import cube
-from driftgrid.plans.lineage import cut, frontier
+from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked
+from driftgrid.plans.skew import split_join
 from driftgrid.plans.spans import place, table_bounds
 
 MERGE_EVERY = 8         # rounds between merges of the improvement log
@@ -22,19 +23,28 @@ BLOCK_CELLS = 1 << 14   # cells that one task settles by itself
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, direction: str = "downstream") -> DataFrame:
-    """(seed, node) for every node reachable from each seed; the seed itself only on a cycle."""
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if direction == "downstream" else \
-        edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    e = cut(e.distinct())
-    front, n = frontier(seeds.select("seed", F.col("seed").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
-    seen = front
-    while n:
-        step, _ = frontier(front.select("seed", F.col("node").alias("a")).join(e, "a").select("seed", F.col("b").alias("node")).distinct())
-        # Only the part of seen that the step touches decides what is new.
-        old = seen.join(step, ["seed", "node"], "left_semi")
-        front, n = frontier(step.join(old, ["seed", "node"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
+    """(seed, node) for every node reachable from each seed; the seed itself only on a cycle.
+
+    Path doubling: one table holds what lies exactly k steps from every node, k = 1, 2, 4, ..., and what a seed reaches
+    in k steps, followed by exactly k more, is what it reaches in 2k. Rounds grow with the logarithm of the depth. In a
+    stream network nearly every node has one successor, so the table of exact steps shrinks from round to round; nodes that
+    very many seeds reach, such as an outlet, are dealt over tasks.
+    """
+    ends = ("src", "dst") if direction == "downstream" else ("dst", "src")
+    step = cut(edges.select(F.col(ends[0]).alias("node"), F.col(ends[1]).alias("to")).distinct())
+    found, reached = None, 0
+    while not step.isEmpty():
+        begin = seeds.select("seed", F.col("seed").alias("node")).distinct()
+        have = begin if found is None else cut(begin.unionByName(found))
+        on = split_join(have, step, "node", "inner").select("seed", F.col("to").alias("node"))
+        found = cut((on if found is None else on.unionByName(found)).distinct())
+        n = found.count()
+        if n == reached:
+            break
+        reached = n
+        twice = step.select(F.col("node").alias("from"), F.col("to").alias("node"))
+        step = cut(split_join(twice, step, "node", "inner").select(F.col("from").alias("node"), "to").distinct())
+    return found if found is not None else seeds.select("seed", F.col("seed").alias("node")).limit(0)
 
 
 def headwaters(segments: DataFrame, edges: DataFrame) -> DataFrame:
@@ -135,7 +145,8 @@ def components(cells: DataFrame, edges: DataFrame, by: str | None = None) -> Dat
     """(cell_id, component) with the smallest member id, over undirected edges.
 
     Each round takes the smallest label among the neighbours and then the label of that label,
-    so the number of rounds grows with the logarithm of long chains rather than their length.
+    so the number of rounds grows with the logarithm of long chains rather than their length. Joins by label or by
+    a cell of very many edges deal the rows of a hot key, such as the label of a giant component, over tasks.
     """
     e = edges.select("src", "dst")
     if by:
@@ -145,15 +156,13 @@ def components(cells: DataFrame, edges: DataFrame, by: str | None = None) -> Dat
     e = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     lab = cut(cells.select("cell_id", F.col("cell_id").alias("component")))
     while True:
-        near = (lab.select(F.col("cell_id").alias("src"), "component").join(e, "src")
-                .groupBy(F.col("dst").alias("cell_id")).agg(F.min("component").alias("near")))
+        near = (split_join(e, lab.withColumnRenamed("cell_id", "src"), "src", "inner").groupBy(F.col("dst").alias("cell_id")).agg(F.min("component").alias("near")))
         low = cut(lab.join(near, "cell_id", "left").select("cell_id", "component", F.least("component", F.coalesce("near", F.col("component"))).alias("low")))
         # Hook: the old label learns the smallest label any of its members saw.
-        hook = low.groupBy(F.col("component").alias("old")).agg(F.min("low").alias("to"))
-        new = low.join(hook, F.col("component") == F.col("old"), "left").select("cell_id", "component", F.least("low", F.coalesce("to", F.col("low"))).alias("nxt"))
-        jump = new.select(F.col("cell_id").alias("k"), F.col("nxt").alias("further"))
-        out = cut(new.join(jump, F.col("nxt") == F.col("k"), "left")
-                  .select("cell_id", F.least("nxt", F.coalesce("further", F.col("nxt"))).alias("component"), F.col("component").alias("was")))
+        hook = low.groupBy("component").agg(F.min("low").alias("to"))
+        new = cut(split_join(low, hook, "component").select("cell_id", "component", F.least("low", F.coalesce("to", F.col("low"))).alias("nxt")))
+        jump = new.select(F.col("cell_id").alias("nxt"), F.col("nxt").alias("further"))
+        out = cut(split_join(new, jump, "nxt").select("cell_id", F.least("nxt", F.coalesce("further", F.col("nxt"))).alias("component"), F.col("component").alias("was")))
         changed = not out.filter(F.col("component") != F.col("was")).isEmpty()
         lab = out.select("cell_id", "component")
         if not changed:
