@@ -8,7 +8,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,20 +36,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-BROADCAST_ROWS = 200_000    # a few narrow columns each: well under the default broadcast threshold
-
-
-def frontier(df: DataFrame) -> tuple[DataFrame, int]:
-    """Cut df and count it; up to BROADCAST_ROWS it is marked for broadcast.
-
-    A small frontier then meets a large table without shuffling that table; a larger one is joined
-    by shuffle. Only for frames of a few narrow columns.
-    """
-    out = cut(df)
-    n = out.count()
-    return (F.broadcast(out) if n <= BROADCAST_ROWS else out), n
-
-
 def ship(obj) -> None:
     """Send the module of a class or function along with it, so workers need no installed package."""
     module = sys.modules.get(obj.__module__)
