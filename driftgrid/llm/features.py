@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -76,9 +75,3 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: in
     every = np.arange(width + 1)
     w = weights(every)
     return w[:width], w[width]
-
-
-def spread(frames: Iterator[pd.DataFrame], fn) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        if len(f):
-            yield fn(f)
