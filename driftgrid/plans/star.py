@@ -12,7 +12,7 @@ Rules (fixed values):
   agents       customer, one row per individual
   predators, prey   supplier and customer on the nation key
   segments     customer as a stream network that branches upstream
-  ranges       lineitem rows with quantity 50: part is a cell, smallest supplier key owns it
+  ranges       lineitem per part: the smallest supplier key owns the cell if its largest quantity is 50
   genotypes    customer x four loci
   runs         orders: five replicates, one size per step
 """
@@ -162,8 +162,9 @@ def network(spark, sf_dir) -> DataFrame:
 
 
 def ranges(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") >= 50)
-    return li.groupBy(F.col("l_partkey").alias("cell_id")).agg(F.min("l_suppkey").alias("owner"))
+    li = table(spark, sf_dir, "lineitem")
+    g = li.groupBy(F.col("l_partkey").alias("cell_id")).agg(F.min("l_suppkey").alias("owner"), F.max("l_quantity").alias("most"))
+    return g.filter("most >= 50").select("cell_id", "owner")
 
 
 def genotypes(spark, sf_dir) -> DataFrame:
@@ -237,7 +238,7 @@ SQL["prey"] = "prey AS (SELECT c_custkey AS agent_id, c_nationkey::BIGINT AS cel
 SQL["segments"] = "segments AS (SELECT c_custkey AS segment_id, 50.0::DOUBLE + abs(c_acctbal) / 100 AS length FROM customer)"
 SQL["network"] = """network AS (SELECT c_custkey AS src, (c_custkey - 1) // 3 AS dst FROM customer WHERE c_custkey > 0
   UNION ALL SELECT c_custkey, (c_custkey - 1) // 2 FROM customer WHERE c_custkey > 5 AND c_custkey % 5 = 0)"""
-SQL["ranges"] = "ranges AS (SELECT l_partkey AS cell_id, min(l_suppkey) AS owner FROM lineitem WHERE l_quantity >= 50 GROUP BY 1)"
+SQL["ranges"] = "ranges AS (SELECT l_partkey AS cell_id, min(l_suppkey) AS owner FROM lineitem GROUP BY 1 HAVING max(l_quantity) >= 50)"
 SQL["genotypes"] = f"""loci(locus_idx, locus, n_alleles, position_cm) AS (VALUES {', '.join(f"({i},'{n}',{k},{c}::DOUBLE)" for i, (n, k, c) in enumerate(LOCI))}),
 genotypes AS (SELECT c_custkey AS agent_id, locus_idx, locus, n_alleles, position_cm,
   floor({sql_u('allele0', 'c_custkey', 'locus_idx')} * n_alleles)::INTEGER AS a0,
