@@ -132,15 +132,35 @@ def test_maximal_repeats_need_left_diversity():
     assert found == {(6, 6): [0, 1], (4, 4): [0, 1, 2]}
 
 
+def similar_pairs(texts, least):
+    """Pairs whose words match in order over words in either by `least` or more; all pairs, by the textbook table."""
+    words = [t.lower().split() for t in texts]
+    bags = [collections.Counter(w) for w in words]
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[:i]):
+            if min(len(a), len(b)) < least * max(len(a), len(b)):
+                continue
+            most = (bags[i] & bags[j]).total()
+            if most and most >= least * (len(a) + len(b) - most):
+                common = in_order_matches(a, b)
+                if common >= least * (len(a) + len(b) - common):
+                    yield i, j
+
+
 def test_near_duplicates(docs, odd, empty):
     rows = docs.collect()
-    bags = [collections.Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in (r["text"].lower().split() for r in rows)]
     cls = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
-    for i, a in enumerate(bags):
-        for j in range(i):
-            common = (a & bags[j]).total()
-            if common >= 0.85 * (a.total() + bags[j].total() - common):
-                assert cls[rows[i]["doc_id"]] == cls[rows[j]["doc_id"]]
+    reach = {r["doc_id"]: r["doc_id"] for r in rows}     # components over all pairs from 0.8 on
+    found = {least: [] for least in (0.8, 0.85)}
+    for least, hits in found.items():
+        for i, j in similar_pairs([r["text"] for r in rows], least):
+            a, b = rows[i]["doc_id"], rows[j]["doc_id"]
+            hits.append(cls[a] == cls[b])
+            if least == 0.8 and reach[a] != reach[b]:
+                low, high = sorted((reach[a], reach[b]))
+                reach = {d: low if c == high else c for d, c in reach.items()}
+    assert all(len(hits) > 5 and sum(hits) >= share * len(hits) for hits, share in zip(found.values(), (0.9, 0.95), strict=True))
+    assert all(reach[d] == reach[c] for d, c in cls.items())
     out = near_dedup.near_duplicates(odd).collect()
     assert len(out) == len(ROWS) and {r["class_size"] for r in out if r["doc_id"] in (1, 2)} == {1} and sum(r["kept"] for r in out) == 8
     assert near_dedup.without_near_copies(odd).columns == odd.columns and near_dedup.near_duplicates(empty).count() == 0
@@ -181,13 +201,13 @@ def test_alignment_of_long_texts_holds_only_the_band(monkeypatch):
 
 def near_classes(texts):
     """Class of each text by brute force: all pairs that share a draw are aligned."""
-    bags = [near_dedup.shingles(near_dedup.word_ids(t)) for t in texts]
-    draws = [set(near_dedup.order_minhash(s)) if len(s) else set() for s in bags]
+    words = [near_dedup.word_ids(t) for t in texts]
+    draws = [set(near_dedup.order_minhash(near_dedup.shingles(w))) if len(w) else set() for w in words]
     same = [" ".join(t.lower().split()) for t in texts]
     cls = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            linked = same[i] == same[j] and same[i] or draws[i] & draws[j] and near_dedup.aligned(bags[i], bags[j])
+            linked = same[i] == same[j] and same[i] or draws[i] & draws[j] and near_dedup.aligned(words[i], words[j])
             if linked and cls[i] != cls[j]:
                 lo, hi = sorted((cls[i], cls[j]))
                 cls = [lo if c == hi else c for c in cls]
