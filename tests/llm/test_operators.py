@@ -312,6 +312,37 @@ def test_toxicity(docs, odd, empty, labels, spark, sf):
 
 
 def test_quality(docs, odd, empty, labels, spark, sf):
-    out = quality.resample(docs, table(spark, sf, "labels"), share=0.5).toPandas()
-    assert out["kept"].sum() == 100 and out[out["kept"]]["gumbel_key"].min() >= out[~out["kept"]]["gumbel_key"].max() - 1e-9
+    """Counts, weights and the cut again in plain Python; the noise is what the key has above the weight."""
+    known = table(spark, sf, "labels")
+    good = collections.defaultdict(set)
+    for r in known.collect():
+        if r["doc_id"] is not None and r["quality"] in (0, 1):
+            good[r["doc_id"]].add(r["quality"])
+    rows = docs.collect()
+    raw, wanted = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(quality.bag(r["text"]).tolist())
+        if good.get(r["doc_id"]) == {1}:
+            wanted.update(quality.bag(r["text"]).tolist())
+    ratio = [np.log((wanted[b] + 1) / (wanted.total() + quality.BUCKETS)) - np.log((raw[b] + 1) / (raw.total() + quality.BUCKETS)) for b in range(quality.BUCKETS)]
+    want = {r["doc_id"]: sum(ratio[b] for b in quality.bag(r["text"])) for r in rows}
+    out = quality.resample(docs, known, share=0.5).toPandas()
+    assert {r.doc_id: r.log_weight for r in out.itertuples()} == pytest.approx(want)
+    noise = out["gumbel_key"] - out["log_weight"]
+    assert -3 < noise.min() < noise.max() < 14 and 0.2 < noise.mean() < 1 and 0.9 < noise.std() < 1.7
+    best = set(out.sort_values("gumbel_key", ascending=False)["doc_id"][:100])
+    assert set(out[out["kept"]]["doc_id"]) == best
+    assert quality.resample(docs, known).filter("kept").count() == round(len(rows) * sum(g == {1} for g in good.values()) / len(good))
     assert quality.resample(odd, labels).count() == len(ROWS) and quality.resample(empty, labels.limit(0)).count() == 0
+    assert quality.resample(odd, labels, share=0.0).filter("kept").count() == 0 and quality.resample(odd, labels, share=1.0).filter("kept").count() == len(ROWS)
+
+
+def test_quality_keeps_ties_at_the_cut_whole(spark, labels):
+    rows = [(None, "the same words")] * 60 + [(i, f"word{i} other{i * 7}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for share in (0.01, 0.3, 0.5, 0.9):
+        out = quality.resample(frame, labels, share=share).toPandas()
+        cut = out["gumbel_key"].sort_values(ascending=False).iloc[round(100 * share) - 1]
+        assert (out["kept"] == (out["gumbel_key"] >= cut)).all() and out["kept"].sum() >= 100 * share
+    ranks = spark.createDataFrame([(-(1 << 63), 1), (-5, 2), (7, 3), ((1 << 63) - 1, 1)], "key long, weight long")
+    assert [quality.cut_key(ranks, k) for k in range(1, 8)] == [-(1 << 63), -5, -5, 7, 7, 7, (1 << 63) - 1]
