@@ -288,10 +288,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                        .select("bucket", F.col("m.comp").alias("big"), F.expr("size - m.c").alias("rest"), "size"), "near-open")
         if open_.isEmpty():
             break
-        live = stored(named.join(open_.hint("merge"), "bucket").join(cards.hint("merge"), "node")
+        met_now = F.expr(f"pmod(shiftright(turn, 8), 64) < {round(64 * share)}")
+        part = named.join(open_.hint("merge"), "bucket").filter((F.col("comp") != F.col("big")) | met_now)     # others have no part in this round
+        live = stored(part.join(cards.hint("merge"), "node")
                       .select("bucket", "turn", "big", "rest", "size", (F.col("comp") != F.col("big")).alias("probe"), F.concat("card", "comp").alias("body")), "near-live")
         probes = (live.filter("probe").groupBy("bucket", "big", F.expr(f"pmod(turn, ceil(rest / {BLOCK}))").alias("block")).agg(F.collect_list("body").alias("probes")).drop("block"))
-        targets = (live.filter(F.expr(f"pmod(shiftright(turn, 8), 64) < {round(64 * share)}"))
+        targets = (live.filter(met_now)
                    .groupBy("bucket", F.expr(f"pmod(shiftright(turn, 16), ceil(size * {share} / {BLOCK}))").alias("block")).agg(F.collect_list("body").alias("targets")).drop("block"))
         pairs = probes.join(targets.hint("merge"), "bucket").select("bucket", "big", "probes", "targets")
         pairs = pairs.mapInPandas(_candidates(draws, similar, share == 1), "node binary, lead binary, comp binary, lead_comp binary")
