@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftgrid import schemas
+from driftgrid.plans.lineage import cut
 
 COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'     # commas outside quotes
 
@@ -16,9 +17,13 @@ def read_tracks(spark: SparkSession, path) -> DataFrame:
     return spark.read.schema(schemas.TRACKS).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").csv(path)
 
 
-def read_lines(spark: SparkSession, glob) -> DataFrame:
-    """(file, block, line_no, value): text lines with an order within their file."""
-    return spark.read.text(glob).select(
+def read_lines(spark: SparkSession, glob, blank: bool = True) -> DataFrame:
+    """(file, block, line_no, value): text lines with an order within their file.
+
+    Inside a block line_no has no gaps; without blank, lines of white space are neither kept nor counted.
+    """
+    text = spark.read.text(glob)
+    return (text if blank else text.filter(F.trim("value") != "")).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"), F.col("value"))
 
@@ -123,15 +128,21 @@ def file_name(path: str) -> str:
 
 
 def read_matrix_csv(spark: SparkSession, path) -> DataFrame:
-    """(row, col, value) of a numeric matrix; a first line that is not numeric is a header.
+    """(row, col, value) of a numeric matrix; a first line that is not numeric is a header, blank lines do not count.
 
-    Row numbers need the whole file, so each file is one value; these are small lookup tables.
+    A large file is read by many tasks, one per block. Lines are numbered inside their block; a block's numbers start after
+    the lines of the blocks before it in its file, one counted row per block. The lines are checkpointed between the two passes,
+    since a block must not be cut anew when executors come or go.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    numeric = F.forall(F.split(F.get("lines", F.lit(0)), ","), lambda x: F.trim(x).try_cast("double").isNotNull())
-    body = whole.select(F.when(numeric, F.col("lines")).otherwise(F.slice("lines", F.lit(2), F.size("lines"))).alias("lines"))
-    return (body.select(F.posexplode("lines").alias("row", "line")).select("row", F.posexplode(F.split("line", ",")).alias("col", "v"))
-            .select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.trim("v").cast("double").alias("value")))
+    lines = cut(read_lines(spark, path, blank=False))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first"), F.min_by("value", "line_no").alias("line"))
+    numeric = F.forall(F.split("line", ","), lambda x: F.trim(x).try_cast("double").isNotNull())
+    in_file = Window.partitionBy("file").orderBy("block")
+    header = F.when(F.first(numeric).over(in_file), 0).otherwise(1)
+    starts = blocks.select("file", "block", (F.sum("n").over(in_file) - F.col("n") - F.col("first") - header).alias("shift"))
+    rows = lines.join(starts, ["file", "block"]).select((F.col("line_no") + F.col("shift")).alias("row"), "value").filter("row >= 0")
+    return (rows.select("row", F.posexplode(F.split("value", ",")).alias("col", "v"))
+            .select("row", F.col("col").cast("long").alias("col"), F.trim("v").cast("double").alias("value")))
 
 
 def read_layer_csv(spark: SparkSession, path) -> DataFrame:

@@ -79,6 +79,23 @@ def test_matrix_layer_and_names(spark, tmp_path):
     assert sorted(tuple(r) for r in rd.read_layer_csv(spark, str(tmp_path / "layer")).collect()) == [(0, 1.5), (4, 2.25)]
 
 
+def test_matrix_of_many_blocks(spark, tmp_path):
+    headed = [[r * 3.0 + c for c in range(3)] for r in range(400)]
+    plain = [[-r * 2.0, r / 4] for r in range(150)]
+    put(tmp_path / "m" / "headed.csv", "\n  \n" + "x,y,z\r\n" + "".join(",".join(map(str, r)) + ("\n\n" if i % 7 == 0 else "\n") for i, r in enumerate(headed)))
+    put(tmp_path / "m" / "plain.csv", "\n".join(",".join(map(str, r)) for r in plain))
+    put(tmp_path / "m" / "empty.csv", "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        path = str(tmp_path / "m")
+        assert rd.read_lines(spark, path).select("file", "block").distinct().count() > 10
+        got = sorted(tuple(r) for r in rd.read_matrix_csv(spark, path).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted((r, c, float(v)) for m in (headed, plain) for r, row in enumerate(m) for c, v in enumerate(row))
+
+
 def test_snapshot_without_folder_writes_nothing(spark):
     wr.write_snapshot(spark.range(1), None)
 
