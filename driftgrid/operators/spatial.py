@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.operators.nearest import nearest_cell
 from driftgrid.plans.lineage import cut
+from driftgrid.plans.ordered import ranked
 
 SIDES = 32              # sides of a polygon that one tile may hold before it is quartered
 DEEPEST = 30            # quarterings of the whole
@@ -174,9 +175,9 @@ def bilinear(points: DataFrame, grid: DataFrame, origin, step, shape, keys=(), f
     i = F.least(F.greatest(F.floor(fi), F.lit(0)), F.lit(ni - 2)).cast("long")
     j = F.least(F.greatest(F.floor(fj), F.lit(0)), F.lit(nj - 2)).cast("long")
     p = points.select("point_id", "lat", "lon", inside.alias("inside"), i.alias("i"), j.alias("j"), fi.alias("fi"), fj.alias("fj"))
-    if keys:    # every point has a value in every (time, variable) layer; the layers are few
-        layers = grid.agg(F.collect_set(F.struct(*keys))).scalar()
-        p = p.withColumn("__k", F.explode(layers)).select("*", "__k.*").drop("__k")
+    if keys:    # every point has a value in every (time, variable) layer; layers are numbered, and points join the numbers
+        layers = cut(ranked(grid.select(*keys).distinct().withColumn("__h", F.xxhash64(*keys)), [], "__h", "__k", ties=keys).drop("__h"))
+        p = p.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(layers.count())))).join(layers, "__k").drop("__k")
     out = p.join(sq, [*keys, "i", "j"], "left")
     wi, wj = F.col("fi") - F.col("i"), F.col("fj") - F.col("j")
     value = (F.col("v00") * (1 - wi) * (1 - wj) + F.col("v01") * (1 - wi) * wj + F.col("v10") * wi * (1 - wj) + F.col("v11") * wi * wj)

@@ -13,6 +13,7 @@ from driftgrid.operators import encounters as enc
 from driftgrid.operators import generation as gen
 from driftgrid.operators import graph as g
 from driftgrid.operators import neighbours as nb
+from driftgrid.operators import spatial as spa
 from driftgrid.operators import steps
 from driftgrid.operators import territories as ter
 from driftgrid.operators import traits
@@ -306,3 +307,30 @@ def test_repeated_steps_draw_anew(spark):
     df = spark.range(2000).select(F.col("id").alias("agent_id"), F.lit(0).alias("stage"))
     step = lambda d: traits.markov_transition(d, "stage", [[0.9, 0.1], [0.0, 1.0]], 3, ("agent_id", "iteration"))
     assert steps.repeat(df, [step], 10).agg(F.avg("stage")).first()[0] == pytest.approx(1 - 0.9 ** 10, abs=0.04)
+
+
+def test_bilinear_of_layers_against_loops(spark):
+    rng, ni, nj, nan = np.random.default_rng(5), 6, 5, float("nan")
+    layers = {(t, v): rng.normal(size=(ni, nj)) for t in range(3) for v in ("so", "tos")}
+    layers[1, "so"][2:5, 1:4] = nan                  # a hole
+    layers[2, "tos"][:] = nan                        # nothing to fill from
+    rows = [(t, v, i, j, float(z[i, j])) for (t, v), z in layers.items() for i in range(ni) for j in range(nj) if i + j != 7]   # some nodes are absent
+    grid = spark.createDataFrame(rows, "t int, var string, gi long, gj long, value double")
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform((9, 19), (17, 24), (60, 2)))]
+    pts = spark.createDataFrame(points, "point_id int, lat double, lon double")
+    (lat0, lon0), (dlat, dlon) = (10.0, 20.0), (1.0, 0.5)
+    for fill in (True, False):
+        out = spa.bilinear(pts, grid, (lat0, lon0), (dlat, dlon), (ni, nj), keys=("t", "var"), fill=fill)
+        got = {(r["point_id"], r["t"], r["var"]): r["value"] for r in out.collect()}
+        assert len(got) == len(points) * len(layers)
+        for (t, v), z in layers.items():
+            node = {(i, j): z[i, j] for i in range(ni) for j in range(nj) if i + j != 7 and not math.isnan(z[i, j])}
+            for k, lat, lon in points:
+                fi, fj = (lat - lat0) / dlat, (lon - lon0) / dlon
+                i, j = min(max(math.floor(fi), 0), ni - 2), min(max(math.floor(fj), 0), nj - 2)
+                corners = [node.get((i + a, j + b), nan) * abs(1 - a - (fi - i)) * abs(1 - b - (fj - j)) for a in (0, 1) for b in (0, 1)]
+                want = sum(corners) if 0 <= fi <= ni - 1 and 0 <= fj <= nj - 1 else nan
+                if fill and math.isnan(want) and node:
+                    want = node[min(node, key=lambda n: math.hypot(lat0 + n[0] * dlat - lat, lon0 + n[1] * dlon - lon))]
+                assert got[k, t, v] == pytest.approx(want, nan_ok=True), (k, t, v, fill)
+    assert spa.bilinear(pts, grid.limit(0), (lat0, lon0), (dlat, dlon), (ni, nj), keys=("t", "var")).count() == 0
