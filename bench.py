@@ -57,6 +57,36 @@ def step_update(spark):
     return secs, n, n / (secs * 1000)
 
 
+def step_events(spark):
+    """Seconds and agents per millisecond of one step of an event list over copied agents.
+
+    A random move, barriers on the way, predation in shared cells, and accumulator updates of who is left.
+    """
+    from pyspark.sql import functions as F
+
+    from driftgrid.catalog import joins as queries
+    from driftgrid.operators import accumulators as acc
+    from driftgrid.operators import encounters as enc
+    from driftgrid.operators import neighbours as nb
+    from driftgrid.plans import star
+
+    a = star.agents(spark, SF_DIR).select("agent_id", "cell").repartition(4 * int(CPUS))
+    a = a.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(COPIES)))).select((F.col("agent_id") * (COPIES + 1) + F.col("copy")).alias("agent_id"), "cell")
+    n = a.count()
+    t0 = time.perf_counter()
+    moves = nb.random_neighbour(a, queries.adj(spark, SF_DIR), 1)
+    there = (nb.barrier_outcome(moves, queries.edge_probs(spark, SF_DIR), 1).filter("outcome <> 'died'")
+             .select("agent_id", F.col("final_cell").alias("cell"), F.lit(True).alias("alive"), F.lit(0.0).alias("energy"), F.lit(0.0).alias("age"), F.lit(0.0).alias("clock")))
+    predators, prey = there.filter("agent_id % 10 = 0"), there.filter("agent_id % 10 <> 0")
+    killed = enc.kills(predators, prey, 0.05, 1)
+    left = enc.gains(predators, killed, "energy", 1.0).unionByName(enc.survivors(prey, killed))
+    out = acc.apply_updaters(left, [{"function": "Increment", "accumulator": "age", "parameters": [1.0]}, {"function": "TimeStep", "accumulator": "clock", "parameters": [24]},
+                                    {"function": "Expression", "accumulator": "energy", "parameters": ["energy * 0.9 + age"]}], t=7)
+    out.agg(F.count(F.lit(1)), F.sum("energy"), F.sum("clock")).first()
+    secs = time.perf_counter() - t0
+    return secs, n, n / (secs * 1000)
+
+
 def main() -> None:
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.sql.adaptive.enabled", "true")
@@ -75,6 +105,8 @@ def main() -> None:
     if not sys.argv[1:]:
         secs, n, rate = step_update(spark)
         extra = {"step_update": {"sec": round(secs, 3), "agent_steps": n, "agent_steps_per_ms": round(rate, 1)}}
+        secs, n, rate = step_events(spark)
+        extra["step_events"] = {"sec": round(secs, 3), "agents": n, "agents_per_ms": round(rate, 1)}
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took,
                       "sf": Path(SF_DIR).name.removeprefix("sf"), **extra}))
     spark.stop()
