@@ -57,7 +57,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     n, target = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     raw = bucket_counts(rows.select("text")) + 1
-    wanted = bucket_counts(rows.join(known.filter("good = 1"), "key", "left_semi").select("text")) + 1
+    wanted = bucket_counts(rows.join(known.filter("good = 1").hint("merge"), "key", "left_semi").select("text")) + 1
     return np.log(wanted / wanted.sum()) - np.log(raw / raw.sum()), (target / n if n else 1.0)
 
 
