@@ -15,7 +15,7 @@ from driftgrid.functions.rand import Key, hash_u
 from driftgrid.operators.grid import cube
 from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked
-from driftgrid.plans.skew import split_join
+from driftgrid.plans.skew import shuffled, split_join
 from driftgrid.plans.spans import place, table_bounds
 
 MERGE_EVERY = 8         # rounds between merges of the improvement log
@@ -232,9 +232,9 @@ def edge_adjacency(triangles: DataFrame) -> DataFrame:
                       for i, (a, b) in enumerate([("n0", "n1"), ("n1", "n2"), ("n2", "n0")])])
     s = triangles.select("tri", F.explode(sides).alias("s")).select("tri", "s.*")
     first = s.groupBy("a", "b").agg(F.min("tri").alias("m1"))
-    tagged = s.join(first, ["a", "b"])
+    tagged = s.join(shuffled(first), ["a", "b"])
     second = tagged.filter(F.col("tri") != F.col("m1")).groupBy("a", "b").agg(F.min("tri").alias("m2"))
-    out = tagged.join(second, ["a", "b"], "left")
+    out = tagged.join(shuffled(second), ["a", "b"], "left")
     nb = F.when(F.col("tri") != F.col("m1"), F.col("m1")).otherwise(F.col("m2"))
     return out.select("tri", "slot", nb.alias("neighbour")).filter("neighbour is not null")
 

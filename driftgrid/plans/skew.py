@@ -10,6 +10,15 @@ from driftgrid.plans.spans import SPAN_ROWS
 HOT_KEYS = 1000         # keys that can hold more than one part in HOT_KEYS of the rows: there are fewer
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """table for a join that sorts and shuffles both sides, whatever the optimizer guesses of its size.
+
+    The guess is the file's compressed size, cut down by columns, and knows of no generator, so a table of millions of rows
+    passes for a few megabytes and would be broadcast: built in the driver and held by every task.
+    """
+    return table.hint("merge")
+
+
 def split_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
     """rows joined with table on the column key, with rows of a hot key dealt to several tasks.
 
