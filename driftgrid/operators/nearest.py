@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgrid.plans.lineage import cut
+from driftgrid.plans.skew import shuffled
 
 CROWD = 64              # cells that the buckets of a region may hold together before the region is split
 RING = 2                # a cell in the region's own bucket is nearer than any bucket further out
@@ -74,9 +75,9 @@ def candidates(points: DataFrame, pyramid: Pyramid, top: int, crowd: int = CROWD
 
     while True:
         here = pyramid.level(k)
-        open_ = cut(open_.join(here.select(*by, F.col("__bx").alias("__rx"), F.col("__by").alias("__ry"), F.lit(True).alias("own")), [*by, "__rx", "__ry"], "left"))
+        open_ = cut(open_.join(shuffled(here.select(*by, F.col("__bx").alias("__rx"), F.col("__by").alias("__ry"), F.lit(True).alias("own"))), [*by, "__rx", "__ry"], "left"))
         near = (open_.filter("own").drop("own").withColumn("o", F.explode(around))
-                .select(*by, "__rx", "__ry", (F.col("__rx") + F.col("o.a")).alias("__bx"), (F.col("__ry") + F.col("o.b")).alias("__by")).join(here, [*by, "__bx", "__by"]))
+                .select(*by, "__rx", "__ry", (F.col("__rx") + F.col("o.a")).alias("__bx"), (F.col("__ry") + F.col("o.b")).alias("__by")).join(shuffled(here), [*by, "__bx", "__by"]))
         settle(k, cut(_kept(near, by)))
         open_ = open_.filter("own is null").select(*by, F.shiftright("__rx", 1).alias("__rx"), F.shiftright("__ry", 1).alias("__ry")).distinct()
         if k == top or open_.isEmpty():
@@ -89,10 +90,10 @@ def candidates(points: DataFrame, pyramid: Pyramid, top: int, crowd: int = CROWD
         up = [F.shiftright(c, 1).alias(c) for c in ("__rx", "__ry")]
         held = points.select(*by, rx.alias("__cx"), ry.alias("__cy"), F.shiftright(rx, 1).alias("__rx"), F.shiftright(ry, 1).alias("__ry")).distinct()
         finer = pyramid.level(level - 1)
-        wide = (held.join(parents, [*by, "__rx", "__ry"]).select(*by, F.col("__cx").alias("__rx"), F.col("__cy").alias("__ry"), F.explode("b").alias("b"))
+        wide = (held.join(shuffled(parents), [*by, "__rx", "__ry"]).select(*by, F.col("__cx").alias("__rx"), F.col("__cy").alias("__ry"), F.explode("b").alias("b"))
                 .select(*by, "__rx", "__ry", F.col("b.__bx").alias("__ux"), F.col("b.__by").alias("__uy")))
         below = finer.select(*by, F.shiftright("__bx", 1).alias("__ux"), F.shiftright("__by", 1).alias("__uy"), "__bx", "__by", "n")
-        settle(level - 1, cut(_kept(wide.join(below, [*by, "__ux", "__uy"]), by)))
+        settle(level - 1, cut(_kept(wide.join(shuffled(below), [*by, "__ux", "__uy"]), by)))
     return {level: reduce(DataFrame.unionByName, parts) for level, parts in done.items()}
 
 
@@ -126,11 +127,11 @@ def nearest_cell(points: DataFrame, cells: DataFrame, size: float, point_key: st
     for k in levels:
         bx, by_ = pyramid.place(k)
         lists = (found[k].withColumn("b", F.explode("b")).select(*by, "__rx", "__ry", F.col("b.__bx").alias("__bx"), F.col("b.__by").alias("__by"))
-                 .join(pyramid.cells.withColumns({"__bx": bx, "__by": by_}), [*by, "__bx", "__by"])
+                 .join(shuffled(pyramid.cells.withColumns({"__bx": bx, "__by": by_})), [*by, "__bx", "__by"])
                  .groupBy(*by, "__rx", "__ry").agg(F.collect_list(F.struct("x", "y", "cell_id")).alias("near")))
         places.append(lists.withColumn("__k", F.lit(k)))
     at = F.array(*[F.struct(F.lit(k).alias("__k"), *[c.alias(n) for c, n in zip(pyramid.place(k, "__px", "__py"), ("__rx", "__ry"), strict=True)]) for k in levels])
-    seen = good.withColumn("a", F.explode(at)).select(point_key, *by, "__px", "__py", "a.*").join(reduce(DataFrame.unionByName, places), [*by, "__k", "__rx", "__ry"])
+    seen = good.withColumn("a", F.explode(at)).select(point_key, *by, "__px", "__py", "a.*").join(shuffled(reduce(DataFrame.unionByName, places)), [*by, "__k", "__rx", "__ry"])
     dist = F.transform("near", lambda c: F.struct(F.sqrt(F.pow(c["x"] - F.col("__px"), F.lit(2.0)) + F.pow(c["y"] - F.col("__py"), F.lit(2.0))).alias("dist"), c["cell_id"].alias("cell_id")))
     best = seen.withColumn("m", F.array_min(dist)).groupBy(point_key, *by).agg(F.min("m").alias("m"))
-    return own.select(point_key, *by).join(best, [point_key, *by], "left").select(point_key, *by, "m.cell_id", "m.dist")
+    return own.select(point_key, *by).join(shuffled(best), [point_key, *by], "left").select(point_key, *by, "m.cell_id", "m.dist")
