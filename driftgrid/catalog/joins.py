@@ -8,6 +8,7 @@ from driftgrid.operators import lookups as lk
 from driftgrid.operators import neighbours as nb
 from driftgrid.operators.nearest import nearest_cell
 from driftgrid.plans import star
+from driftgrid.plans.skew import shuffled
 from driftgrid.plans.star import FIELD_STEPS, SEED, sql_u, with_views
 
 CELL_VALUE = ("resource", "dist", "x", "y")
@@ -174,7 +175,7 @@ def join12(spark, d):
 def edge_probs(spark, d):
     """Edges into the most valuable cells carry outcome probabilities."""
     c = star.cells(spark, d).filter("depth >= 25").select(F.col("cell_id").alias("dst"))
-    return star.edges(spark, d).join(c, "dst", "left_semi").select("src", "dst", F.lit(0.2).alias("p_mort"), F.lit(0.5).alias("p_defl"), F.lit(0.3).alias("p_trans"))
+    return star.edges(spark, d).join(shuffled(c), "dst", "left_semi").select("src", "dst", F.lit(0.2).alias("p_mort"), F.lit(0.5).alias("p_defl"), F.lit(0.3).alias("p_trans"))
 
 
 @query("join13_barrier_outcome", SQL_RANDOM + f""", o AS (SELECT agent_id, cell, new_cell, CASE WHEN cell <> new_cell AND depth >= 25 AND {sql_u('barrier', 'agent_id')} < 0.2::DOUBLE THEN 'died'

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftgrid.functions.rand import Key, draw, hash_u
 from driftgrid.plans.lineage import cut
+from driftgrid.plans.skew import shuffled
 
 
 def adjacency(cells: DataFrame, edges: DataFrame, attrs=()) -> DataFrame:
@@ -21,11 +22,11 @@ def adjacency(cells: DataFrame, edges: DataFrame, attrs=()) -> DataFrame:
     levels); checks.degree finds edge tables that break this.
     """
     own = cells.select(F.col("cell_id").alias("cell"), *[F.col(a).alias(f"c_{a}") for a in attrs])
-    tagged = edges.join(cells.select(F.col("cell_id").alias("dst"), *attrs), "dst") if attrs else edges
+    tagged = edges.join(shuffled(cells.select(F.col("cell_id").alias("dst"), *attrs)), "dst") if attrs else edges
     packed = tagged.groupBy(F.col("src").alias("cell")).agg(
         F.sort_array(F.collect_list(F.struct("slot", "dst", *attrs))).alias("nbrs"))   # at most the degree
     kind = dict(packed.dtypes)["nbrs"]
-    return own.join(packed, "cell", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast(kind)))
+    return own.join(shuffled(packed), "cell", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast(kind)))
 
 
 def _best(nbrs: Column, value, largest: bool, keep=None) -> Column:
@@ -42,7 +43,7 @@ def best_neighbour(agents: DataFrame, adj: DataFrame, field: str, ascending: boo
 
     must_improve stays put unless the neighbour is strictly better than the current cell.
     """
-    out = agents.join(adj, "cell", "left")
+    out = agents.join(shuffled(adj), "cell", "left")
     best = _best(F.col("nbrs"), lambda n: n[field], ascending)
     new = best["dst"]
     if must_improve:
@@ -54,7 +55,7 @@ def best_neighbour(agents: DataFrame, adj: DataFrame, field: str, ascending: boo
 def toward_target(agents: DataFrame, adj: DataFrame, cells: DataFrame) -> DataFrame:
     """Neighbour nearest to the row's target cell when nearer than now; a negative target stays."""
     goal = cells.select(F.col("cell_id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    out = agents.join(adj, "cell", "left").join(goal, "target", "left")
+    out = agents.join(shuffled(adj), "cell", "left").join(shuffled(goal), "target", "left")
     def d2(x, y):
         return F.pow(x - F.col("tx"), F.lit(2.0)) + F.pow(y - F.col("ty"), F.lit(2.0))
     best = _best(F.col("nbrs"), lambda n: d2(n["x"], n["y"]), largest=False)
@@ -64,7 +65,7 @@ def toward_target(agents: DataFrame, adj: DataFrame, cells: DataFrame) -> DataFr
 
 def pick_affinity(agents: DataFrame, adj: DataFrame, field: str, lo: Column, hi: Column, strategy: str = "better") -> DataFrame:
     """Best neighbour whose field differs from here by lo..hi; none gives -1 and error 1."""
-    out = agents.join(adj, "cell", "left")
+    out = agents.join(shuffled(adj), "cell", "left")
     here = F.col(f"c_{field}")
     def inside(n):
         gap = F.abs(n[field] - here)
@@ -76,7 +77,7 @@ def pick_affinity(agents: DataFrame, adj: DataFrame, field: str, lo: Column, hi:
 
 def cold_neighbour(agents: DataFrame, adj: DataFrame, temperature: str, threshold: float) -> DataFrame:
     """Stay when cold enough, else the coldest neighbour even if it is warmer."""
-    out = agents.join(adj, "cell", "left")
+    out = agents.join(shuffled(adj), "cell", "left")
     best = _best(F.col("nbrs"), lambda n: n[temperature], largest=False)
     new = F.when(F.col(f"c_{temperature}") < threshold, F.col("cell")).otherwise(best["dst"])
     return out.select(*agents.columns, F.coalesce(new, F.col("cell")).alias("new_cell"))
@@ -90,7 +91,7 @@ def pick_slot(nbrs: Column, u: Column) -> Column:
 
 
 def random_neighbour(agents: DataFrame, adj: DataFrame, seed: int, stream: str = "hop", key: Key = "agent_id") -> DataFrame:
-    out = agents.join(adj, "cell", "left")
+    out = agents.join(shuffled(adj), "cell", "left")
     new = pick_slot(F.col("nbrs"), hash_u(seed, stream, key))
     return out.select(*agents.columns, F.coalesce(new, F.col("cell")).alias("new_cell"))
 
@@ -101,7 +102,7 @@ def flow_neighbour(agents: DataFrame, adj: DataFrame, seed: int, scale_x: float
 
     adj carries x, y, u and v; scale_x and scale_y turn centroid differences into metres.
     """
-    out = agents.join(adj, "cell", "left")
+    out = agents.join(shuffled(adj), "cell", "left")
     u, v = F.col("c_u"), F.col("c_v")
     speed = F.sqrt(u * u + v * v)
     norm = speed + F.lit(1e-12)
@@ -122,7 +123,7 @@ def barrier_outcome(moves: DataFrame, edge_probs: DataFrame, seed: int, key: Key
     probabilities, passes.
     """
     p = edge_probs.select(F.col("src").alias("cell"), F.col("dst").alias("new_cell"), "p_mort", "p_defl")
-    out = moves.join(p, ["cell", "new_cell"], "left")
+    out = moves.join(shuffled(p), ["cell", "new_cell"], "left")
     out = draw(out, "__u", seed, "barrier", key)
     moved, u = F.col("cell") != F.col("new_cell"), F.col("__u")
     state = (F.when(moved & (u < F.col("p_mort")), F.lit("died"))
@@ -146,7 +147,7 @@ def bounded_walk(agents: DataFrame, adj: DataFrame, field: str, mode: str, hops:
     """
     cur = agents.select(key, F.col("cell"), F.lit(1.0).alias("__budget"), F.lit(0.0).alias("__dist"))
     for h in range(hops):
-        row = cur.join(adj, "cell", "left")
+        row = cur.join(shuffled(adj), "cell", "left")
         nbrs = F.col("nbrs")
         if mode == "random" or (mode == "directed" and h % 2 == 1):
             new = pick_slot(nbrs, hash_u(seed, f"walk.{h}", key))
