@@ -10,6 +10,7 @@ from driftgrid.functions.rand import Key, categorical, count_le, draw, hash_u, n
 from driftgrid.operators.filters import active_mask
 from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked, running
+from driftgrid.plans.skew import shuffled
 
 
 def bernoulli(df: DataFrame, name: str, p, seed: int, stream: str, key: Key = "agent_id") -> DataFrame:
@@ -188,10 +189,10 @@ def disperse_seeds(producers: DataFrame, adj: DataFrame, layer: DataFrame, resou
     for h in range(radius):
         hop = pick_slot(F.col("nbrs"), hash_u(seed, f"seed.hop.{h}", "parent_id", "seed_no"))
         goes = hash_u(seed, f"seed.go.{h}", "parent_id", "seed_no") < 0.5
-        seeds = seeds.join(adj.select("cell", "nbrs"), "cell", "left").select(
+        seeds = seeds.join(shuffled(adj.select("cell", "nbrs")), "cell", "left").select(
             "parent_id", "seed_no", F.when(goes, F.coalesce(hop, F.col("cell"))).otherwise(F.col("cell")).alias("cell"))
     good = layer.filter(F.col(resource) >= threshold).select(F.col("cell_id").alias("cell"))
-    return seeds.join(good, "cell", "left_semi").withColumns({"mass_g": F.lit(1.0), "ed_kJ_g": F.lit(1.0)})
+    return seeds.join(shuffled(good), "cell", "left_semi").withColumns({"mass_g": F.lit(1.0), "ed_kJ_g": F.lit(1.0)})
 
 
 # --- parameters -------------------------------------------------------------------------------
