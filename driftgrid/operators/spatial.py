@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftgrid.operators.nearest import nearest_cell
 from driftgrid.plans.lineage import cut
 from driftgrid.plans.ordered import ranked
+from driftgrid.plans.skew import shuffled
 
 SIDES = 32              # sides of a polygon that one tile may hold before it is quartered
 DEEPEST = 30            # quarterings of the whole
@@ -206,7 +207,7 @@ def nearest_raster(points: DataFrame, raster: DataFrame, bbox, shape) -> DataFra
 def node_to_cell_mean(field: DataFrame, triangles: DataFrame, value: str = "value", keys=("t",)) -> DataFrame:
     """(tri, keys..., value): mean of the three node values; NaN where a node has none."""
     nodes = triangles.select("tri", F.explode(F.array("n0", "n1", "n2")).alias("node"))
-    out = nodes.join(field.select("node", *keys, value), "node").groupBy("tri", *keys).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
+    out = nodes.join(shuffled(field.select("node", *keys, value)), "node").groupBy("tri", *keys).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("n"))
     return out.select("tri", *keys, F.when(F.col("n") == 3, F.col(value)).otherwise(F.lit(float("nan"))).alias(value))
 
 
