@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftgrid import schemas
 from driftgrid.plans.lineage import cut
+from driftgrid.plans.skew import shuffled
 
 COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'     # commas outside quotes
 
@@ -113,11 +114,11 @@ def read_edge_outcomes(spark: SparkSession, path, cells: DataFrame, edges: DataF
         F.trim("from_h3").alias("from_id"), F.trim("to_h3").alias("to_id"),
         *[F.col(c).cast("double").alias(n) for c, n in (("mortality", "p_mort"), ("deflection", "p_defl"), ("transmission", "p_trans"))])
     ids = cells.select(F.col("cell_id").cast("string").alias("id"))
-    known = raw.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    known = raw.join(shuffled(ids.withColumnRenamed("id", "from_id")), "from_id", "left_semi").join(shuffled(ids.withColumnRenamed("id", "to_id")), "to_id", "left_semi")
     raise_on(probabilities_sum(known, ["p_mort", "p_defl", "p_trans"]), "edge probabilities do not sum to 1")
     if edges is not None:
         nb = edges.select(F.col("src").cast("string").alias("from_id"), F.col("dst").cast("string").alias("to_id"))
-        raise_on(known.join(nb, ["from_id", "to_id"], "left_anti"), "edge endpoints are not neighbours")
+        raise_on(known.join(shuffled(nb), ["from_id", "to_id"], "left_anti"), "edge endpoints are not neighbours")
     packed = known.withColumn("p", F.struct("p_mort", "p_defl", "p_trans"))
     return _last_wins(packed, ["from_id", "to_id"], "p").select("from_id", "to_id", "p.*")
 
