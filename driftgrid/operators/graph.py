@@ -157,7 +157,7 @@ def components(cells: DataFrame, edges: DataFrame, by: str | None = None) -> Dat
     lab = cut(cells.select("cell_id", F.col("cell_id").alias("component")))
     while True:
         near = (split_join(e, lab.withColumnRenamed("cell_id", "src"), "src", "inner").groupBy(F.col("dst").alias("cell_id")).agg(F.min("component").alias("near")))
-        low = cut(lab.join(near, "cell_id", "left").select("cell_id", "component", F.least("component", F.coalesce("near", F.col("component"))).alias("low")))
+        low = cut(lab.join(shuffled(near), "cell_id", "left").select("cell_id", "component", F.least("component", F.coalesce("near", F.col("component"))).alias("low")))
         # Hook: the old label learns the smallest label any of its members saw.
         hook = low.groupBy("component").agg(F.min("low").alias("to"))
         new = cut(split_join(low, hook, "component").select("cell_id", "component", F.least("low", F.coalesce("to", F.col("low"))).alias("nxt")))
@@ -208,19 +208,19 @@ def bridge_gaps(cells: DataFrame, labels: DataFrame, max_len: int = 10) -> DataF
     sized = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     anchor = sized.agg(F.min_by("component", F.struct(-F.col("n"), "component"))).scalar()
     q, r = cube(F.col("row"), F.col("col"))
-    at = (cells.join(labels, "cell_id").withColumns({"q": q.cast("long"), "r": r.cast("long")})
+    at = (cells.join(shuffled(labels), "cell_id").withColumns({"q": q.cast("long"), "r": r.cast("long")})
           .withColumn("home", F.col("component") == anchor))
     disc = [(dq, dr) for dq in range(-max_len, max_len + 1) for dr in range(-max_len, max_len + 1) if abs(dq + dr) <= max_len]
     around = F.array(*[F.struct(F.lit(a).alias("dq"), F.lit(b).alias("dr"), F.lit(max(abs(a), abs(b), abs(a + b))).alias("hops")) for a, b in disc])
     probe = (at.filter(~F.col("home")).select("component", F.col("q").alias("oq"), F.col("r").alias("orr"), F.explode(around).alias("o"))
              .select("component", "oq", "orr", (F.col("oq") + F.col("o.dq")).alias("q"), (F.col("orr") + F.col("o.dr")).alias("r"), "o.hops"))
-    best = (probe.join(at.filter("home").select("q", "r"), ["q", "r"]).groupBy("component")
+    best = (probe.join(shuffled(at.filter("home").select("q", "r")), ["q", "r"]).groupBy("component")
             .agg(F.min(F.struct("hops", "oq", "orr", "q", "r")).alias("b")).select("component", "b.*"))
     t = F.col("i") / F.col("hops")
     # A small fixed offset keeps points on a shared border on one side.
     line = best.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hops").cast("long"))).alias("i")).select(
         (F.col("oq") + 1e-6 + (F.col("q") - F.col("oq")) * t).alias("fq"), (F.col("orr") + 2e-6 + (F.col("r") - F.col("orr")) * t).alias("fr"))
-    return hex_round(line, "fq", "fr", "row", "col").distinct().join(cells.select("row", "col"), ["row", "col"], "left_anti")
+    return hex_round(line, "fq", "fr", "row", "col").distinct().join(shuffled(cells.select("row", "col")), ["row", "col"], "left_anti")
 
 
 def edge_adjacency(triangles: DataFrame) -> DataFrame:

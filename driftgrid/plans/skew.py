@@ -29,10 +29,10 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -
     n = rows.count()
     limit = max(SPAN_ROWS, n // HOT_KEYS)
     if n <= limit:
-        return rows.join(table, key, how)
+        return rows.join(shuffled(table), key, how)
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / limit).cast("int").alias("__shares"))
     hot = F.broadcast(hot.limit(HOT_KEYS))
     one = F.coalesce("__shares", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("__share", F.pmod(F.xxhash64(*rows.columns), one).cast("int")).drop("__shares")
     held = table.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), one - 1))).drop("__shares")
-    return dealt.join(held, [key, "__share"], how).drop("__share")
+    return dealt.join(shuffled(held), [key, "__share"], how).drop("__share")
