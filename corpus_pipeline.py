@@ -63,12 +63,12 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def no_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the passages of 400 bytes and more that occur elsewhere too.
+    """All rows, without the passages of 400 bytes and more that occur elsewhere too, and those of 50 words and more in other rows too.
 
-    Null texts stay null; texts below 400 bytes stay as they are; repeated rows of 400 bytes and more lose their whole text. A
-    character that a span cuts goes whole. n_chars follows the text; other columns pass unchanged. An empty table gives no rows.
+    Null texts stay null; texts below both sizes stay as they are; repeated rows of 400 bytes and more lose their whole text, those of
+    50 words and more all their words. Words are divided by ASCII white space. A character that a span cuts goes whole. n_chars follows the text; other columns pass unchanged. An empty table gives no rows.
     """
-    return _stage(spark, docs, repeats.without_repeats_text)
+    return _stage(spark, docs, lambda d: repeats.without_repeats_text(d, words=50))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

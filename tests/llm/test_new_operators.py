@@ -227,3 +227,39 @@ def test_crowded_anchors_give_the_same_removals(spark):
         want[k] = int(gone.sum())
     outs = [{r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.without_repeats(frame, most=most).collect()} for most in (repeats.CROWD, 1)]
     assert outs[0] == outs[1] and {k: outs[0][k][0] for k in want} == want and 0 < sum(v > 0 for v in want.values())
+
+
+def test_repeats_stage_takes_passages_of_fifty_words(spark):
+    """Passages of 50 words and more in two rows go, below 400 bytes too; 49 words, or places within one row, stay."""
+    import corpus_pipeline
+
+    rnd = np.random.default_rng(8)
+    word = lambda: "".join(rnd.choice(list("abcdefgé"), rnd.integers(1, 8)))
+    some = lambda n: [word() for _ in range(n)]
+    short, exact, under, wide, own = (some(n) for n in (58, 50, 49, 140, 60))
+    tiny = ["a", "b"] * 40
+    texts = [" ".join([*some(40), *p, *some(30)]) for p in (short, short, exact, exact, under, under, wide, wide[20:90], wide[60:], [*own, *some(5), *own], tiny, tiny[3:])]
+    texts += ["\n\t ".join(short) + " ", " ".join(tiny), " ".join(tiny), " ".join(some(300)), "", None, " \n"]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    where = collections.defaultdict(set)
+    for k, w in enumerate(words):
+        for i in range(len(w) - 49):
+            where[tuple(w[i:i + 50])].add(k)
+    seen = collections.Counter((t or "").encode()[i:i + 400] for t in texts for i in range(len((t or "").encode()) - 399))
+    want = {}
+    for k, t in enumerate(texts):
+        data = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        gone = np.zeros(len(data), bool)
+        for i in range(len(at) - 49):
+            if len(where[tuple(words[k][i:i + 50])]) > 1:
+                gone[at[i][0]:at[i + 49][1]] = True
+        for i in range(len(data) - 399):
+            if seen[data[i:i + 400]] > 1:
+                gone[i:i + 400] = True
+        want[k] = None if t is None else bytes(np.frombuffer(data, np.uint8)[~gone]).decode(errors="ignore")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.no_repeats(spark, frame, "").collect()}
+    assert got == want and got[4] == texts[4] and got[9] == texts[9] and len(" ".join(short).encode()) < 400
+    assert [len((got[k] or "").split()) for k in (0, 1, 2, 12, 13)] == [70, 70, 70, 0, 0]
+    assert corpus_pipeline.no_repeats(spark, frame.limit(0), "").count() == 0
