@@ -7,7 +7,9 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from driftgrid.llm import fill_middle, queries, repair, repeats, vector_dedup
@@ -229,6 +231,54 @@ def test_crowded_anchors_give_the_same_removals(spark):
     assert outs[0] == outs[1] and {k: outs[0][k][0] for k in want} == want and 0 < sum(v > 0 for v in want.values())
 
 
+def test_repeats_hold_one_anchor_in_python():
+    """Places come as rows: an anchor that goes on over batches is settled once, and earlier ones before the rest is read."""
+    rnd = np.random.default_rng(9)
+    middle = bytes(rnd.integers(97, 107, 60))
+    rows = [(a, a, 7, 100 + k, middle[:20] + bytes(rnd.integers(110, 120, 30)), middle[20:] + bytes(rnd.integers(110, 120, 30)))
+            for a, n in ((1, 2), (2, 9), (3, 2), (4, 3)) for k in range(n)]
+    whole = pd.DataFrame(rows, columns=["a", "d1", "d2", "pos", "left", "right"])
+    read = []
+
+    def batches(n):
+        for k in range(0, len(whole), n):
+            read.append(k)
+            yield whole.iloc[k:k + n].reset_index(drop=True)
+
+    run = repeats._groups(50)
+    want = pd.concat(run(batches(len(whole))), ignore_index=True)
+    assert len(want) == len(whole) and (want["stop"] - want["start"] >= 50).all()
+    for n in (1, 2, 3, 5):
+        assert pd.concat(run(batches(n)), ignore_index=True).equals(want)
+    read.clear()
+    next(run(batches(2)))
+    assert read == [0, 2]
+
+
+def test_repeats_hand_back_few_contexts_at_once():
+    data = bytes(np.random.default_rng(10).integers(97, 107, 3 * repeats.HELD))
+    places = [{"a": 1, "pos": k, "full": False} for k in range(2 * repeats.HELD + 5)]
+    texts = pd.DataFrame({"d1": [1, 2], "d2": [1, 2], "blob": [zstandard.compress(data)] * 2, "places": [places, places[:3]], "grams": [[], []]})
+    out = list(repeats._contexts(400, None)(iter([texts])))
+    assert max(map(len, out)) <= repeats.HELD and pd.concat(out)["pos"].tolist() == [p["pos"] for p in places + places[:3]]
+    assert all(r.right == data[r.pos:r.pos + 400] and r.left == data[max(0, r.pos - 336):r.pos][::-1] for f in out for r in f.itertuples())
+
+
+def test_repeats_take_small_batches_and_give_the_same(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, frame = spark.conf.get(name), table(spark, "/root/testdata/sf0.001", "documents")
+    outs = []
+    try:
+        for n in (10_000, 3):
+            spark.conf.set(name, n)
+            out = repeats.without_repeats(frame)
+            assert int(spark.conf.get(name)) == min(n, 1000)
+            outs.append(sorted((r["doc_id"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()))
+    finally:
+        spark.conf.set(name, before)
+    assert outs[0] == outs[1] and any(r[1] for r in outs[0])
+
+
 def test_repeats_stage_takes_passages_of_fifty_words(spark):
     """Passages of 50 words and more in two rows go, below 400 bytes too; 49 words, or places within one row, stay."""
     import corpus_pipeline
