@@ -313,3 +313,14 @@ def test_repeats_stage_takes_passages_of_fifty_words(spark):
     assert got == want and got[4] == texts[4] and got[9] == texts[9] and len(" ".join(short).encode()) < 400
     assert [len((got[k] or "").split()) for k in (0, 1, 2, 12, 13)] == [70, 70, 70, 0, 0]
     assert corpus_pipeline.no_repeats(spark, frame.limit(0), "").count() == 0
+
+
+def test_repeats_text_takes_one_python_step_between_exchanges(spark):
+    again = "é" * 300
+    frame = spark.createDataFrame([(1, "a" + again + "b"), (2, "\u00c3" + again[1:] + "c"), (3, None), (4, "")], "doc_id long, text string")
+    out = repeats.without_repeats_text(frame, words=50)
+    assert out._jdf.queryExecution().sparkPlan().toString().count("ArrowEvalPython") == 2       # texts packed before the exchange, cut after it
+    bytes_ = {r["doc_id"]: r["kept"] for r in repeats.without_repeats(frame, words=50).collect()}
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got == {1: bytes_[1].decode(errors="ignore"), 2: bytes_[2].decode(errors="ignore"), 3: None, 4: ""}
+    assert got[1].startswith("a") and got[1].endswith("b") and got[2].endswith("c") and len(got[1]) < 10 and len(got[2]) < 10
